@@ -28,3 +28,47 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
     return token_counts(documents(spark, sf_dir), model)
+
+
+@query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.mixing import mix
+
+    mixed = mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (mixed.size * mixed.copies).cast("long").alias("taken"), "copies")
+
+
+def _op5() -> str:
+    from tidewell.llm.mixing import ORACLE
+
+    return ORACLE
+
+
+ORACLES["op5_mix_sources"] = _op5()
+
+
+@query
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewell.llm.sharding import histogram_shards
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    put = histogram_shards(docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), 40)
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.warc import deduplicated_archives
+
+    return deduplicated_archives(table(spark, sf_dir, "pages"))
+
+
+def _op9() -> str:
+    from tidewell.llm.warc import ORACLE
+
+    return ORACLE
+
+
+ORACLES["op9_warc_revisits"] = _op9()
