@@ -72,3 +72,10 @@ def _op9() -> str:
 
 
 ORACLES["op9_warc_revisits"] = _op9()
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
