@@ -79,3 +79,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.url_filter import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.fingerprints import compare_with_next
+
+    return compare_with_next(documents(spark, sf_dir))
