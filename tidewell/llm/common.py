@@ -91,3 +91,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def seeds(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+HOT = 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, rows: Column, total: int, how: str = "left") -> DataFrame:
+    """left joined to right, which has one row for each key and knows the key's number of left rows (`rows`).
+
+    Keys with more than total / HOT rows are fewer than HOT, and so broadcast; no other key can fill a task.
+    """
+    most = total // HOT + 1
+    hot, cold = right.where(rows > most), right.where(rows <= most)
+    own = [c for c in right.columns if c != key]
+    flagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    first = flagged.where("_hot").drop("_hot")
+    rest = flagged.where("_hot IS NULL").drop("_hot", *own).join(cold, key, how)
+    return first.unionByName(rest)
