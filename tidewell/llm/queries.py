@@ -86,3 +86,31 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.fingerprints import compare_with_next
 
     return compare_with_next(documents(spark, sf_dir))
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.jaccard import jaccard_join
+
+    return jaccard_join(documents(spark, sf_dir))
+
+
+def _op6() -> str:
+    from tidewell.llm.jaccard import ORACLE
+
+    return ORACLE
+
+
+ORACLES["op6_jaccard_join"] = _op6()
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewell.llm import toxicity
+    from tidewell.llm.common import crc_mod
+
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
