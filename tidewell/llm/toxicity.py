@@ -7,7 +7,8 @@ composed machine runs over each clause with an insult or a threat, so that claus
 score is the sum of its words' lexical weights times the machine's factors.
 
 The lexicon holds some common English words; whole words and word beginnings that mark the labels are learned with it,
-those whose share of toxic documents can't be chance among all that were tried. A logistic regression then maps the
+those that explain toxic documents and can't be chance
+among all that were tried. A logistic regression then maps the
 clause scores of a document to a probability. Learning sees at most `sample` labelled rows (by hash of the id, none of
 them held out); scoring reads every whole text.
 
@@ -36,7 +37,9 @@ REPORTS = "said says say claimed claims called quoted quote wrote alleged sagte
 INTENTIONS = "will shall gonna going werde werden vais allons voy vamos i'll we'll".split()
 CLASSES = "OITNRMH"
 ENDS = ".,;:!?…"
-STEMS = (4, 5, 6, 8)
+AROUND = ".,;:!?…\"'()[]{}«»„“”-"
+STEMS = (4, 5, 6, 7)
+FAMILY, RELATED = 4, 1000
 
 
 @dataclass
@@ -129,7 +132,7 @@ class Reader(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > self.remember:
             self.clear()
-        bare = word.lower().strip(".,;:!?…\"'()[]{}«»„“”-")
+        bare = word.lower().strip(AROUND)
         hit = self.whole.get(bare)
         if hit is None:
             hit = next((self.stems[bare[:n]] for n in self.lengths if bare[:n] in self.stems), ("O", 0.0))
@@ -170,33 +173,75 @@ def document_features(scores: list[float]) -> list[float]:
     return [math.log1p(total), math.tanh(max(scores, default=0.0)), 1.0 if total > 0.5 else 0.0]
 
 
-BUILT_IN = {w: ("I", 1.0) for w in INSULTS} | {w: ("H", 1.0) for w in THREATS} | {w: ("T", 0.0) for w in TARGETS} | {w: ("N", 0.0) for w in NEGATIONS} | {w: ("R", 0.0) for w in REPORTS} | {w: ("M", 0.0) for w in INTENTIONS}
+BUILT_IN = {w: ("I", 2.0) for w in INSULTS} | {w: ("H", 1.0) for w in THREATS} | {w: ("T", 0.0) for w in TARGETS} | {w: ("N", 0.0) for w in NEGATIONS} | {w: ("R", 0.0) for w in REPORTS} | {w: ("M", 0.0) for w in INTENTIONS}
 
 
-def learned_lexicon(counts: list[tuple[str, int, int]], tried: int, toxic: int, clean: int, chance: float = 0.01) -> dict[str, tuple[str, float]]:
-    """Words and beginnings (with *) that toxic documents have more often than chance allows. counts: mark, toxic documents, clean ones.
+def weight_of(toxic: int, clean: int) -> float:
+    return round(min(3.0, max(0.1, math.log((toxic + 0.5) / (clean + 0.5)) / 2)), 6)
 
-    A mark is taken if, were documents toxic at their usual rate, so many or more of its documents would be toxic with a probability under
-    chance / tried, the number of all marks, and if nine in ten of them are. Marks that a shorter one covers are left out.
+
+def beyond_chance(toxic: int, clean: int, rate: float, limit: float) -> bool:
+    """Whether, if documents were toxic at this rate, so large a share of toxic ones had a probability below the limit (Chernoff's bound)."""
+    n, share = toxic + clean, toxic / max(1, toxic + clean)
+    if share <= rate:
+        return False
+    log = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
+    return -n * log < math.log(limit)
+
+
+def learned_lexicon(counts: dict[str, tuple[int, int]], having: list[list[str]], tried: int, toxic: int, clean: int, chance: float = 0.01) -> dict[str, tuple[str, float]]:
+    """Words and beginnings (with *) that toxic documents have more often than chance allows.
+
+    counts: mark -> toxic and clean documents with it; having: the marks of each toxic document; tried: the number of all marks. Greedily the
+    mark is taken that explains most documents not yet explained, nine times its clean ones taken off (ties: the longer, then by code point),
+    if its counts are beyond chance. So words that only stand beside others, or in copies of one text, aren't learned. Then words that share
+    a beginning with a learned one are taken if their counts are beyond chance among RELATED tries.
     """
     rate = max(1e-6, toxic / max(1, toxic + clean))
-    out: dict[str, tuple[str, float]] = {}
-    taken: list[str] = []
-    for mark, p, n in sorted(counts, key=lambda c: (len(c[0].rstrip("$*")), c[0])):
-        if p < 9 * n or p < 3:
+    where: dict[str, set[int]] = defaultdict(set)
+    for k, marks in enumerate(having):
+        for m in marks:
+            where[m].add(k)
+    open_, out = set(range(len(having))), {}
+    while where:
+        mark = max(where, key=lambda m: (len(where[m]) - 9 * counts[m][1], len(m), m))
+        explained, n = where.pop(mark), counts[mark][1]
+        if len(explained) <= 9 * n or len(explained) < 2:
+            break
+        if not beyond_chance(*counts[mark], rate, chance / max(1, tried)):
             continue
-        share = p / (p + n)
-        # Chernoff's bound on the binomial tail
-        log = -(p + n) * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)) if share > rate else 0.0
-        bare = mark.rstrip("$*")
-        if log < math.log(chance / max(1, tried)) and not any(bare.startswith(t) for t in taken):
-            if mark.endswith("*"):
-                taken.append(bare)
-            weight = min(3.0, math.log((p + 0.5) / (n + 0.5)) / 2)
-            out[bare + ("*" if mark.endswith("*") else "")] = ("I", round(weight, 6))
+        open_ -= explained
+        out[mark.rstrip("$")] = ("I", weight_of(*counts[mark]))
+        where = {m: left for m, ks in where.items() if (left := ks & open_)}
+    # inflections: words that begin as a learned one does have been looked for, so chance has fewer tries
+    families = {m[:FAMILY] for m in out if len(m.rstrip("*")) >= FAMILY}
+    for mark, (p, n) in counts.items():
+        if mark[:FAMILY] in families and mark.endswith("$") and p > 9 * n and beyond_chance(p, n, rate, chance / RELATED):
+            out[mark.rstrip("$")] = ("I", weight_of(p, n))
     return out
 
 
+def marks_in(text: str | None) -> set[str]:
+    """Words, with $, and their beginnings, with *."""
+    marks = set()
+    for word in set((text or "").lower().split()):
+        word = word.strip(AROUND)
+        if len(word) > 2:
+            marks.add(word + "$")
+            marks.update(word[:n] + "*" for n in STEMS if len(word) > n)
+    return marks
+
+
+def _marks_of(docs: DataFrame, wanted: set[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(marks_in(t) & shared.value) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["marks"])
+
+    return docs.select("text").mapInArrow(run, "marks array<string>")
+
+
 def _count_marks(docs: DataFrame) -> DataFrame:
     """mark, toxic, clean: in how many documents words ($) and beginnings (*) stand."""
 
@@ -211,13 +256,7 @@ def _count_marks(docs: DataFrame) -> DataFrame:
 
         for b in slices(batches, 0):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                marks = set()
-                for word in set((text or "").lower().split()):
-                    word = word.strip(".,;:!?…\"'()[]{}«»„“”-")
-                    if len(word) > 2:
-                        marks.add(word + "$")
-                        marks.update(word[:n] + "*" for n in STEMS if len(word) > n)
-                for m in marks:
+                for m in marks_in(text):
                     found[m][1 if label else 0] += 1
             if len(found) > 500_000:
                 yield flush()
@@ -268,8 +307,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
         return DEFAULT
     marks = materialize(_count_marks(rows), "marks")
     tried = marks.where("toxic + clean >= 3").count()
-    strong = [(r.mark, r.toxic, r.clean) for r in marks.where("toxic >= 3 AND toxic >= 9 * clean").collect()]
-    lexicon = BUILT_IN | learned_lexicon(strong, tried, n[1], n[0])
+    known = marks.where(F.col("mark").isin([w + "$" for w in INSULTS]) & (F.col("toxic") + F.col("clean") >= 3)).collect()
+    counts = {r.mark: (r.toxic, r.clean) for r in marks.where("toxic >= 3 AND toxic > 9 * clean").collect()}
+    rate = n[1] / (n[1] + n[0])
+    counts = {m: c for m, c in counts.items() if beyond_chance(*c, rate, 0.01 / RELATED)}
+    sure = {m for m, c in counts.items() if beyond_chance(*c, rate, 0.01 / max(1, tried))}
+    having = [r.marks for r in _marks_of(rows.where("y = 1"), sure).collect()]
+    lexicon = BUILT_IN | learned_lexicon(counts, having, tried, n[1], n[0]) | {r.mark[:-1]: ("I", weight_of(r.toxic, r.clean)) for r in known}
     found = _features(rows.select(F.col("y").alias("id"), "text"), lexicon, "int")
     got = found.groupBy("id", "f").count().collect()
     x = np.repeat(np.array([r.f for r in got]), [r["count"] for r in got], axis=0)
