@@ -126,3 +126,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.decontamination import contaminated
+
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -347,9 +348,7 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """docs' rows that are not rejected, in docs' columns; no shuffle: texts are judged where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader, w = Reader(shared.value.lexicon), shared.value.weights
         for batch in texts:
             f = [document_features(reader.clauses(t)) for t in batch]
