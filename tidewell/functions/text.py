@@ -39,7 +39,7 @@ def tokens(text: str | None) -> list[str]:
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     one, many = {}, []
-    for code in (*range(0xAA, 0x590), *range(0x1E00, 0x2000), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800)):
+    for code in (*range(0xAA, 0x590), *range(0x1E00, 0x2000), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800), *range(0xFB00, 0xFB07)):
         c = chr(code)
         if unicodedata.combining(c):
             continue
@@ -53,7 +53,7 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 #: Signs that fold to several and do occur; the rest of them are left to fold().
-_WIDE = "ßĳǆǉǌﬁﬂ"
+_WIDE = "ßﬀﬁﬂﬃﬄﬅﬆ"
 
 
 def fold_col(text: Column) -> Column:

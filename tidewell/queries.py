@@ -377,13 +377,17 @@ def q_stemmed_arm(spark, sf_dir):
     return df.select("doc_key", stems_col(F.col("title"), F.col("language")).alias("stems"))
 
 
-@query()
+@query(_CHANGES + "SELECT doc_key, title, status, CAST(seq AS BIGINT) AS seq FROM st")
 def q_stream_ingest(spark, sf_dir):
     """The change log as a stream of files, folded batch by batch; its state."""
     from tidewell.streaming.jobs import ingest_stream, latest_state
 
     folder = shared_scratch(spark, "stream")
-    corpora.changes(spark, sf_dir).repartitionByRange(4, "arrival").write.parquet(f"{folder}/log")
+    log = corpora.changes(spark, sf_dir)
+    last = log.agg(F.max("arrival")).first()[0]
+    for k in range(4):  # delivered in order: a stream reads files in the order in which they were written
+        part = F.least(F.floor(F.col("arrival") * 4 / F.lit(max(1, last))), F.lit(3))
+        log.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/log")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/log").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     q = ingest_stream(stream, ["title", "status"], f"{folder}/state", f"{folder}/checkpoint")
     q.awaitTermination()
