@@ -288,15 +288,15 @@ class Model:
 DEFAULT = Model(BUILT_IN, (1.0, 2.0, 2.0, -3.0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """text, y and the columns to keep of at most about `sample` labelled rows outside the held-out part, chosen by hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and y of at most about `sample` labelled rows outside the held-out part, chosen by hash of the id."""
     usable = labels.where(~held_out & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("y"))
     n = usable.count()
     if n > sample:
         usable = usable.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     # at most about `sample` rows of two numbers: bounded by a parameter
-    picked = docs.join(F.broadcast(usable), docs[id_col] == usable["_id"])
-    return materialize(picked.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col("y").cast("int").alias("y"), *keep), "labelled")
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return materialize(own.join(F.broadcast(usable), "_id").select("text", F.col("y").cast("int").alias("y")), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", held_out: Column | None = None) -> Model:

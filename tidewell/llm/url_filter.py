@@ -33,7 +33,14 @@ spam-farm.example/post link-farm.example/seo/backlinks content-farm.example/spun
 ads-track.example/click adserver-pop.example/banner ad-tracker.example/pixel popunder-ads.example/redirect track-clicks.example/ads/aff
 payday-loan-fast.example/apply easy-money-now.example/earn crypto-doubler.example/profit get-rich-quick.example/signup replica-watches.example/rolex
 warez-crack.example/keygen torrent-free-movies.example/download malware-update.example/flash.exe phish-login.example/verify-account free-iphone-prize.example/winner
-miracle-weightloss.example/pills hot-singles.example/meet cheap-replica-bags.example/sale clickbait-viral.example/you-wont-believe casino-bonus-codes.example/vip""".split()
+miracle-weightloss.example/pills hot-singles.example/meet cheap-replica-bags.example/sale clickbait-viral.example/you-wont-believe casino-bonus-codes.example/vip
+mega-casino.example/slots royal-slots.example/jackpot poker-room.example/bonus slots-jackpot.example/win free-spins-now.example/casino roulette-win.example/bet betting-odds.example/sports live-bets.example/odds
+cheap-viagra.example/order pills-online.example/buy discount-pharmacy.example/meds cialis-order.example/cheap meds-cheap.example/rx weightloss-pills.example/buy
+xxx-videos.example/watch porn-tube.example/hot hot-cams.example/adult sex-dating.example/girls live-sexcams.example/xxx adult-tube.example/free singles-adult.example/chat
+ad-click.example/track popup-ads.example/click banner-tracker.example/ads click-track.example/aff ads-server.example/pop tracking-pixel.example/ad affiliate-clicks.example/track
+spam-links.example/backlinks seo-link-farm.example/buy spam-blog.example/post cheap-backlinks.example/seo farm-links.example/spam spam-network.example/mail
+fast-loan.example/payday quick-cash.example/money earn-money-fast.example/rich crypto-profit.example/double get-cash-now.example/loan rich-quick-crypto.example/earn
+replica-rolex.example/watches cheap-replica.example/sale free-prize-winner.example/claim iphone-prize.example/win malware-download.example/exe phish-verify.example/login warez-download.example/crack keygen-crack.example/free torrent-warez.example/movies""".split()
 _GOOD = """news.example/world/story blog.example/travel/notes docs.example/reference/guide wiki.example/article/history library.example/catalog/books
 university.example/research/paper museum.example/exhibits/ancient weather.example/forecast/today recipes.example/soup/vegetable gardening.example/tips/roses
 city-council.example/minutes science.example/physics/lecture maps.example/region/north school.example/courses/algebra health.example/advice/sleep
@@ -44,7 +51,13 @@ thering.example/en/article tionsh.example/en/story blog.thernd.example/fr/note w
 tiontion.example/en/post ththre.example/de/news stthanre.example/fr/item ouerand.example/en/entry eaining.example/es/notes.html
 www.travel-notes.example/en/index.html m.local-news.example/de/heute blog.cooking-class.example/fr/recette open-data.example/es/tablas community-garden.example/en/about
 history-archive.example/en/records language-school.example/de/kurs public-library.example/fr/livres small-farm-produce.example/en/market track-and-field.example/en/results
-better-homes.example/ideas alphabet-books.example/kids adventure-club.example/join-us essex-county.example/council wintering-birds.example/notes freedom-museum.example/visit""".split()
+better-homes.example/ideas alphabet-books.example/kids adventure-club.example/join-us essex-county.example/council wintering-birds.example/notes freedom-museum.example/visit
+daily-news.example/politics world-story.example/report science-journal.example/paper history-blog.example/notes travel-guide.example/lakes city-library.example/books art-museum.example/gallery
+cooking-recipes.example/bread garden-notes.example/seeds weather-report.example/week school-lessons.example/maths language-course.example/grammar music-school.example/piano local-theatre.example/plays
+cycling-club.example/tours hiking-routes.example/hills bird-watching.example/species astronomy-club.example/stars open-source-docs.example/guide software-manual.example/setup data-archive.example/tables
+parish-council.example/minutes family-doctor.example/advice village-school.example/calendar river-restoration.example/project clockmaker.example/repairs bookshop.example/novels letterpress.example/prints
+erenthan.example/en/article onthere.example/de/text inreand.example/fr/page esthing.example/es/note ofthat.example/en/story reonation.example/de/post heaning.example/fr/item ntheron.example/es/entry
+thandwh.example/en/1 stereon.example/de/2 ouhanble.example/fr/3 tioneren.example/es/4 lyoredth.example/en/5 edorthan.example/de/6""".split()
 _PLACES = ("http://{}{}", "https://www.{}.com/en/1", "http://blog.{}.net/de/1.html", "https://m.{}.org/fr/1/", "http://{}.com/es/1")
 #: The labelled table: each site as it is and at usual places, so that subdomains, endings and neutral paths carry no label; and no URL at all, which is let pass.
 SEED: tuple[tuple[str, int], ...] = tuple((place.format(*u.partition("/")[::2] if "{}{}" not in place else (u.partition("/")[0], "/" + u.partition("/")[2])), label) for label, urls in ((1, _BAD), (0, _GOOD)) for u in urls for place in _PLACES) + (("", 0),) * 5
