@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Words are lower-cased and stripped of punctuation; numbers (digits, with signs, separators or a unit attached, and small
-number words), names (capitalised inside a sentence) and units become typed placeholders, whose words are kept as slots.
+number words), names (capitalised inside a sentence, among words
+that mostly aren't) and units become typed placeholders, whose words are kept as slots.
 Windows of `width` template words of every benchmark item are hashed into a table, and every window of every document is
 looked up in it. Matches of one item at one offset form an alignment; it counts if it covers min(item, `least`) words of
 the item, enough of them not placeholders, and if its slots agree: one value of the item always stands for one of the
@@ -93,7 +94,10 @@ def template(text: str | None, words: Words) -> Template:
         return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint8), ids)
     flags = words.flags[ids]
     after_end = np.concatenate([[1], flags[:-1, 2]])
-    name = (flags[:, 0] == WORD) & (flags[:, 1] == 1) & (after_end == 0)
+    # where most words around are capitalised, as in titles, capitals name nothing
+    capitals, at = np.concatenate([[0], np.cumsum(flags[:, 1], dtype=np.int64)]), np.arange(len(ids))
+    lo, hi = np.maximum(at - 4, 0), np.minimum(at + 5, len(ids))
+    name = (flags[:, 0] == WORD) & (flags[:, 1] == 1) & (after_end == 0) & (2 * (capitals[hi] - capitals[lo]) <= hi - lo)
     keep = flags[:, 3] == 0
     kind = np.where(name, NAME, flags[:, 0])[keep]
     return Template(np.where(name, _HASH[NAME], words.hash[ids])[keep], kind.astype(np.uint8), ids[keep])
