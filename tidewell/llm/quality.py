@@ -41,7 +41,7 @@ class Vocabulary(dict):
     """word -> feature; forgotten beyond `remember` words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORDS - 1)
         return out
@@ -105,13 +105,13 @@ def values(index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.where(index < WORDS, np.repeat(1 / np.sqrt(2 * words), lengths), 1 / np.sqrt(2 * STATS)).astype(np.float32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.1, decay: float = 1e-5) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 750, batch: int = 64, rate: float = 0.1, decay: float = 1e-5) -> Machine:
     rng = np.random.default_rng(8)
     w, v = np.zeros(WIDTH, np.float32), rng.normal(0, 0.05, (WIDTH, FACTORS)).astype(np.float32)
     gw, gv = np.full(WIDTH, 1e-6, np.float32), np.full((WIDTH, FACTORS), 1e-6, np.float32)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     bias = float(np.log(share / (1 - share)))
-    for _ in range(epochs):
+    for _ in range(max(1, round(steps * batch / len(rows)))):  # as many steps for few rows as for many
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             take = order[at : at + batch]
