@@ -92,6 +92,30 @@ def tombstones(index: DataFrame, gone: DataFrame, at: str) -> DataFrame:
     return marked.withColumn("visible", F.col("visible") & F.col("_gone").isNull()).withColumn("indexed_at", F.when(F.col("_gone").isNotNull(), F.lit(at).cast("timestamp")).otherwise(F.col("indexed_at"))).select(*index.columns)
 
 
+def ingest(index: DataFrame, built: DataFrame, keys: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """The index after some keys (doc_key, eid, seq) were pulled as `built`: rows that pass the guards replaced, keys gone from the source hidden.
+
+    Also one row of what happened: indexed, removed, duplicate, stale, truncated terms.
+    """
+    fresh = built.join(keys.groupBy("doc_key").agg(F.max_by("eid", "seq").alias("_eid"), F.max("seq").alias("_seq")), "doc_key")
+    old = index.select("doc_key", F.col("source_event_id").alias("_old_eid"), F.col("source_seq").alias("_old_seq"))
+    judged = fresh.join(old, "doc_key", "left")
+    duplicate = F.coalesce((F.col("_eid") != "") & (F.col("_eid") == F.col("_old_eid")), F.lit(False))
+    stale = ~duplicate & F.coalesce((F.col("_seq") != 0) & (F.col("_old_seq") != 0) & (F.col("_seq") < F.col("_old_seq")), F.lit(False))
+    judged = judged.withColumn("_duplicate", duplicate).withColumn("_stale", stale)
+    seq = F.when(F.col("_seq") != 0, F.col("_seq")).otherwise(F.coalesce("_old_seq", F.lit(0)))
+    taken = judged.where(~F.col("_duplicate") & ~F.col("_stale")).withColumns({"source_seq": seq, "source_event_id": F.coalesce("_eid", F.lit("")), "indexed_at": F.lit(at).cast("timestamp")})
+    # what signals own is kept from the row that was there
+    own = index.select("doc_key", *[F.col(c).alias(f"_{c}") for c in ("popularity", "boost", "promoted", "promotion_expires_at")])
+    taken = taken.join(own, "doc_key", "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("popularity", "boost", "promoted", "promotion_expires_at")})
+    taken = taken.select(*index.columns)
+    gone = keys.select("doc_key").distinct().join(built.select("doc_key"), "doc_key", "left_anti")
+    after = tombstones(index.join(taken.select("doc_key"), "doc_key", "left_anti"), gone, at).unionByName(taken)
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+    report = judged.agg(n(~F.col("_duplicate") & ~F.col("_stale")).alias("indexed"), n(F.col("_duplicate")).alias("duplicate"), n(F.col("_stale")).alias("stale"), F.coalesce(F.sum("truncated_terms"), F.lit(0)).alias("truncated"))
+    return after, report.withColumn("_one", F.lit(1)).join(gone.agg(F.count("*").alias("removed")).withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def not_seen(index: DataFrame, source: DataFrame) -> DataFrame:
     """Visible rows that a full snapshot lacks: what a rebuild hides."""
     return index.where("visible").join(source.select(*KEY), KEY, "left_anti")
