@@ -19,6 +19,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow as pa
@@ -98,7 +99,7 @@ class Archive:
         self.fs.move(self.part, self.path)
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = 256 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = 256 << 20, date: str = DATE) -> DataFrame:
     """Every row as a response record; returns the headers: file, ordinal, page_id, url, payload_bytes, digest."""
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -113,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     name, n, k = f"part-{part:06d}-{n:05d}.warc.gz", n + 1, 0
                     out = Archive(f"{folder}/{name}")
                 digest = hashlib.sha1(body).hexdigest()
-                out.write(record("response", f"raw/{name}/{k}", url, digest, len(body), body, page_id))
+                out.write(record("response", f"raw/{name}/{k}", url, digest, len(body), body, page_id, date=date))
                 for c, v in zip(rows, (name, k, page_id, url, len(body), digest)):
                     rows[c].append(v)
                 k += 1
@@ -142,7 +143,7 @@ def resolve_revisits(headers: DataFrame, least: int = 1000) -> DataFrame:
     return both.select(*headers.columns, pick(F.col("f.id")).alias("refer_id"), pick(F.concat_ws("/", F.col("f.file"), F.col("f.ordinal"))).alias("refer_key"), pick(F.col("f.url")).alias("refer_url"))
 
 
-def rewrite_archives(resolved: DataFrame, raw: str, folder: str) -> DataFrame:
+def rewrite_archives(resolved: DataFrame, raw: str, folder: str, date: str = DATE) -> DataFrame:
     """Each raw archive again, with revisits in place of repeated payloads and fresh headers; returns file, records."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +157,7 @@ def rewrite_archives(resolved: DataFrame, raw: str, folder: str) -> DataFrame:
                 body, length = payload_of(block)
                 digest, page_id = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-page-id"]) if "x-page-id" in h else None
                 to = refers.get(n - 1)
-                out.write(record("revisit" if to else "response", f"new/{name}/{n - 1}", h["warc-target-uri"], digest, length, None if to else body, page_id, to))
+                out.write(record("revisit" if to else "response", f"new/{name}/{n - 1}", h["warc-target-uri"], digest, length, None if to else body, page_id, to, date))
         out.close()
         if n != len(group):
             raise ValueError(f"{name}: {n} records, {len(group)} headers")
@@ -192,11 +193,12 @@ def read_archives(files: DataFrame, folder: str, id_type: str = "bigint") -> Dat
     return back.select(F.col("i").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("r").cast(id_type).alias("refers_to"))
 
 
-def deduplicated_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, folder: str | None = None) -> DataFrame:
-    """Writes, resolves, rewrites and reads back; the archives are left in `folder`/deduplicated."""
+def deduplicated_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, folder: str | None = None, date: str | None = None) -> DataFrame:
+    """Writes, resolves, rewrites and reads back; the archives are left in `folder`/deduplicated. date: of the records, by default now."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = folder or scratch(pages.sparkSession, "warc")
-    headers = write_archives(pages, f"{folder}/raw", id_col, url_col, body_col)
-    files = rewrite_archives(resolve_revisits(headers, least), f"{folder}/raw", f"{folder}/deduplicated")
+    headers = write_archives(pages, f"{folder}/raw", id_col, url_col, body_col, date=date)
+    files = rewrite_archives(resolve_revisits(headers, least), f"{folder}/raw", f"{folder}/deduplicated", date)
     return read_archives(files, f"{folder}/deduplicated", pages.schema[id_col].dataType.simpleString())
 
 
