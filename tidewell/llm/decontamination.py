@@ -44,7 +44,7 @@ _HASH = {NUMBER: np.uint64(0x1F3A5C7E9B2D4F61), UNIT: np.uint64(0x2E4B6D8FA1C3E5
 class Words(dict):
     """word -> number of an entry in the arrays: hash, kind, capitalised, ends a sentence, is nothing but punctuation."""
 
-    def __init__(self, remember: int = 250_000):
+    def __init__(self, remember: int = 150_000):
         super().__init__()
         self.remember, self.n = remember, 0
         self.hash = np.zeros(1 << 12, np.uint64)

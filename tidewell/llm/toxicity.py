@@ -121,7 +121,7 @@ def grammar() -> Transducer:
 class Reader(dict):
     """word -> (class number, weight, whether a clause ends); words are looked at once, and forgotten beyond `remember`."""
 
-    def __init__(self, lexicon: dict[str, tuple[str, float]], remember: int = 300_000):
+    def __init__(self, lexicon: dict[str, tuple[str, float]], remember: int = 150_000):
         super().__init__()
         self.whole = {w: v for w, v in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: v for w, v in lexicon.items() if w.endswith("*")}
@@ -259,7 +259,7 @@ def _count_marks(docs: DataFrame) -> DataFrame:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for m in marks_in(text):
                     found[m][1 if label else 0] += 1
-            if len(found) > 500_000:
+            if len(found) > 150_000:
                 yield flush()
         yield flush()
 
