@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewell.llm.common import materialize, mix64, skew_join, slices
+from tidewell.llm.common import drop_table, materialize, mix64, skew_join, slices
 from tidewell.llm.shingles import shingle_sets
 
 #: One in so many elements is counted for the order; a shingle counted so often comes last; at most so many do (8 MB).
@@ -280,8 +280,12 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = [(r.n, r["count"]) for r in classes.groupBy("n").count().collect()]
     x = boundary(sizes, percent, others)
     pairs = materialize(_candidates(_signatures(classes, percent, x), percent, x), "jaccard-pairs")
+    # later steps need neither the first shingles nor the candidates' sets: what holds them goes as soon as it may
+    size_of = materialize(classes.select("cid", "rep", "copies"), "jaccard-sizes")
+    members = materialize(summaries.select("id", F.col("d1").alias("cid"), "n"), "jaccard-narrow")
+    drop_table(classes)
+    drop_table(summaries)
     links = materialize(_links(docs, pairs, n, percent), "jaccard-links")
-    size_of = classes.select("cid", "rep", "copies")
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     similar = ends.join(size_of.select(F.col("cid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("linked"))
     roots = components(links).select(F.col("node").alias("cid"), "root")
@@ -289,7 +293,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = roots.join(named, "root").drop("root")
     known = size_of.join(similar, "cid", "left").join(roots, "cid", "left")
     known = known.select("cid", "rep", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("similar"), F.coalesce("component", "rep").alias("component"))
-    return summaries.select("id", F.col("d1").alias("cid"), "n"), materialize(known, "jaccard-known"), links
+    return members, materialize(known, "jaccard-known"), links
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n: int = 5) -> DataFrame:
