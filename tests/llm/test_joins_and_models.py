@@ -108,6 +108,20 @@ def test_one_of_each(spark):
     assert jaccard.one_of_each(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_one_of_each_goes_by_text_where_ids_repeat_or_lack(spark):
+    rng = random.Random(16)
+    base = [[f"w{k}x{rng.randrange(1000)}" for _ in range(40)] for k in range(9)]
+    near = lambda k: " ".join([*base[k][:-1], "changed"])
+    a, b, c, d, *lone = map(" ".join, base)
+    # two unlike texts with one id, each with a near copy under a higher one; unlike texts without id; exact and near copies of these
+    rows = [(1, a), (1, b), (1, b), (2, near(0)), (3, near(1)), (None, c), (None, near(2)), (None, c.upper()), (None, d), (4, near(3)), *[(None, t) for t in lone], (None, lone[0]), (None, ""), (None, " "), (1, "")]
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs(spark, rows)).collect()]
+    like_c = [k for k in kept if k[1] in (c, near(2), c.upper())]
+    assert len(like_c) == 1 and like_c[0][0] is None
+    expected = [(1, a), (1, b), (4, near(3)), *[(None, t) for t in lone], (None, ""), (None, " "), (1, "")]
+    assert sorted(map(repr, (k for k in kept if k not in like_c))) == sorted(map(repr, expected))
+
+
 ITEMS = [
     (1, "Today Anna Smith drives 60 km in 2 hours from the old harbour to the quiet village. How fast does Anna go on average?"),
     (2, "the reaction of hydrogen with oxygen gives water and releases a great amount of energy that warms the vessel"),

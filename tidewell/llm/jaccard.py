@@ -307,15 +307,18 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n: int = 5) -> DataFrame:
-    """df's rows without near duplicates: of each component the row with the least id stays, empty texts all stay.
+    """df's rows without near duplicates: of each component one row stays, the one with the least (id, hash of the text), ids before none; empty texts all stay.
 
-    Several rows with that id: one of them stays, if their texts are alike. Rows without id stay if their class has no other row that stays.
+    Components follow from the texts alone: unlike rows stay, even with one id or none.
     """
-    found = jaccard_join(df, id_col, text_col, percent, n)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep"), "n_shingles").groupBy("_keep").agg(F.max("n_shingles").alias("_n"))
-    rows = df.join(keep, df[id_col].eqNullSafe(keep["_keep"]), "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-    empty = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    return rows.where((F.col("_at") == 1) | empty).drop("_at")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.withColumn("_row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")))
+    # a row goes by id and text, so the least one names its component and no other
+    _, classes, _ = jaccard_classes(rows.select("_row", text.alias("_text")), "_row", "_text", percent, n)
+    keep = classes.select(F.col("component").alias("_keep")).distinct()
+    empty = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
+    once = rows.where(~empty).withColumn("_at", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_at = 1")
+    return once.join(keep, once["_row"] == keep["_keep"], "left_semi").select(*df.columns).unionByName(df.where(empty))
 
 
 ORACLE = r"""
