@@ -216,6 +216,18 @@ def test_mix_is_its_sql(spark, tmp_path):
     assert abs(sum(goal.values()) - sum(len(re.findall(r"\S+", t or "")) for _, t, _ in mixture_rows())) < 1e-6
 
 
+def test_mix_takes_what_ends_just_at_the_need(spark, tmp_path):
+    """Sources of one size: the words needed end where a document does. Two of them have empty documents besides."""
+    rows = [(10 * k + j, "five words are in here", s) for k, s in enumerate("abc") for j in range(2)] + [(100 + k, "", "ab"[k % 2]) for k in range(12)]
+    docs(spark, rows).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    expected = con.sql(mixing.ORACLE).fetchall()
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.size, r.source_size, r.target, r.size * r.copies, r.copies) for r in got))) == sorted(map(repr, expected))
+    assert {s: sum(r.size * r.copies for r in got if r.source == s) for s in "abc"} == {"a": 5, "b": 10, "c": 15}
+
+
 def test_mixed_rows(spark):
     df = docs(spark, mixture_rows())
     n = {}

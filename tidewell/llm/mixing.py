@@ -79,12 +79,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     edges = edge1.select("source", F.col("at").alias("at1"))
     edges = edges.join(edge2, edges.source.eqNullSafe(edge2.source), "left").drop(edge2.source)
     edges = materialize(edges.withColumnRenamed("source", "s"), "mix-edges")
-    # a source without an edge takes all of its ranked rows, or needs nothing
+    # a source without an edge needs nothing
     salted = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = ranked.withColumn("salt", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "size"), F.lit(SALTS)).cast("int"))
     joined = spread.join(salted, spread.source.eqNullSafe(salted.s) & (spread.salt == salted.salt), "left").drop("salt", "s")
-    place = F.when(F.col("rank").isNull(), "out").when(F.col("at1").isNull(), F.when(F.col("need") > 0, "in").otherwise("out")).when(F.col("b1") < F.col("at1"), "in").when(F.col("b1") > F.col("at1"), "out")
-    place = place.when(F.col("at2").isNull() | (F.col("b2") < F.col("at2")), "in").when(F.col("b2") > F.col("at2"), "out").otherwise("edge")
+    place = F.when(F.col("rank").isNull(), "out").when(F.col("at1").isNull(), "out").when(F.col("b1") < F.col("at1"), "in").when(F.col("b1") > F.col("at1"), "out")
+    place = place.when(F.col("b2") < F.col("at2"), "in").when(F.col("b2") > F.col("at2"), "out").otherwise("edge")
     joined = joined.withColumn("place", place)
     edge = joined.where("place = 'edge'")
     upto = Window.partitionBy("source", "b2").orderBy("rank", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -95,12 +95,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def _edge(rows: DataFrame, start: list[str], bin_col: str) -> DataFrame:
-    """Of each source, the bin in which the words needed run out, and the words below it."""
+    """Of each source, the last bin below which there aren't more words than needed, and the words below it."""
     base = F.first(start[0]) if start else F.lit(0)
     hist = rows.groupBy("source", bin_col).agg(F.sum("size").alias("words"), F.first("need").alias("need"), base.alias("base"))
     w = Window.partitionBy("source").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("end", F.col("base") + F.sum("words").over(w)).withColumn("below", F.col("end") - F.col("words"))
-    return hist.where((F.col("end") > F.col("need")) & (F.col("below") < F.col("need"))).select("source", F.col(bin_col).alias("at"), "below")
+    hist = hist.withColumn("below", F.col("base") + F.sum("words").over(w) - F.col("words"))
+    return hist.where(F.col("below") <= F.col("need")).groupBy("source").agg(F.max(F.struct(F.col(bin_col).alias("at"), "below")).alias("last")).select("source", "last.at", "last.below")
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
