@@ -148,6 +148,18 @@ def test_templates():
     assert found("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16") == []
 
 
+def test_white_space_is_no_word():
+    """Wrapped elsewhere than the item, with CRLF, tabs and no-break spaces."""
+    words = ("the reaction of hydrogen with oxygen gives water and releases a great amount of energy that warms the vessel " * 2).split()[:38]
+    item = "\n".join(" ".join(words[k : k + 10]) for k in range(0, 38, 10))
+    m = decontamination.Matcher([(1, item)])
+    for sep in ("\n", "\r\n"):
+        text = sep.join(" ".join(words[k : k + 7]) for k in range(0, 38, 7))
+        assert [(x.covered, x.exact) for x in m.find("before it" + sep + text)] == [(38, True)]
+    for sep in ("\t", "\u00a0", "\r", " \n\n "):
+        assert [(x.covered, x.exact) for x in m.find(sep.join(words))] == [(38, True)]
+
+
 def test_contaminated_is_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(40)]

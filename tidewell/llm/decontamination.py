@@ -1,6 +1,6 @@
 """Benchmark decontamination by canonical templates.
 
-Words are lower-cased and stripped of punctuation; numbers (digits, with signs, separators or a unit attached, and small
+Words stand between any white space, and are lower-cased and stripped of punctuation; the end of a line is an end of a sentence, no more; numbers (digits, with signs, separators or a unit attached, and small
 number words), names (capitalised inside a sentence, among words
 that mostly aren't) and units become typed placeholders, whose words are kept as slots.
 Windows of `width` template words of every benchmark item are hashed into a table, and every window of every document is
@@ -65,7 +65,7 @@ class Words(dict):
         bare = stripped.lower()
         kind = NUMBER if _NUMBER.fullmatch(bare) or bare in _NUMBER_WORDS else UNIT if bare in _UNITS or stripped in ("%", "°") else WORD
         self.hash[self.n] = _HASH[kind] if kind else np.uint64(hash_text(bare))
-        self.flags[self.n] = kind, stripped[:1].isupper(), word[-1] in ".!?:" or word[-1:] == "\n", not stripped
+        self.flags[self.n] = kind, stripped[:1].isupper(), word[-1] in ".!?:", not stripped
         self.bare.append(bare)
         self[word] = self.n
         self.n += 1
@@ -88,12 +88,14 @@ class Template:
 
 
 def template(text: str | None, words: Words) -> Template:
-    parts = (text or "").replace("\n", " \n ").split(" ")
-    ids = np.fromiter((words[p] for p in parts if p), np.int64)
+    lines = [line.split() for line in (text or "").splitlines()]
+    ids = np.fromiter((words[p] for line in lines for p in line), np.int64)
     if not len(ids):
         return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint8), ids)
     flags = words.flags[ids]
-    after_end = np.concatenate([[1], flags[:-1, 2]])
+    after_end = np.concatenate([[1], flags[:, 2]])
+    after_end[np.cumsum([len(line) for line in lines])] = 1
+    after_end = after_end[:-1]
     # where most words around are capitalised, as in titles, capitals name nothing
     capitals, at = np.concatenate([[0], np.cumsum(flags[:, 1], dtype=np.int64)]), np.arange(len(ids))
     lo, hi = np.maximum(at - 4, 0), np.minimum(at + 5, len(ids))
