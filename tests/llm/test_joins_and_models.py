@@ -160,6 +160,19 @@ def test_white_space_is_no_word():
         assert [(x.covered, x.exact) for x in m.find(sep.join(words))] == [(38, True)]
 
 
+def test_copies_are_found_however_names_are_read():
+    items = [(1, "Who wrote Romeo and Juliet?"), (2, "What is the capital of France and which river runs through it?"), (3, "Compute 17 23 41 59"), (4, "the long letter that Anna wrote to the old teacher of Boris in the last spring")]
+    m = decontamination.Matcher(items)
+
+    def found(text):
+        return [(m.ids[x.item], x.covered, x.exact) for x in m.find(text)]
+
+    assert found("in the evening they asked each other who Who wrote Romeo and Juliet? and then went on to talk") == [(1, 5, True)]
+    assert found("we then asked What is the capital of France and which river runs through it? in class") == [(2, 12, True)]
+    assert found("a task: Compute 17 23 41 59") == [(3, 5, True)] and found("a task: Compute 17 23 41 60") == []
+    assert found(items[3][1].lower()) == [(4, 16, True)] and found("so THE LONG " + items[3][1][9:]) == [(4, 16, True)]
+
+
 def test_contaminated_is_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(40)]

@@ -3,9 +3,9 @@
 Words stand between any white space, and are lower-cased and stripped of punctuation; the end of a line is an end of a sentence, no more; numbers (digits, with signs, separators or a unit attached, and small
 number words), names (capitalised inside a sentence, among words
 that mostly aren't) and units become typed placeholders, whose words are kept as slots.
-Windows of `width` template words of every benchmark item are hashed into a table, and every window of every document is
-looked up in it. Matches of one item at one offset form an alignment; it counts if it covers min(item, `least`) words of
-the item, enough of them not placeholders, and if its slots agree: one value of the item always stands for one of the
+Windows of `width` words of every benchmark item are hashed into a table, as template words and as the plain words, and
+every window of every document is looked up in it, in both readings. Matches of one item at one offset form an alignment; it counts if it covers min(item, `least`) words of
+the item, enough of them not placeholders (or in windows copied word by word), and if its slots agree: one value of the item always stands for one of the
 document and the other way round. Equal slots: exact; else the question is re-parameterised.
 
 The benchmark is taken in blocks of bounded size, each of them broadcast and held against all documents.
@@ -42,12 +42,13 @@ _HASH = {NUMBER: np.uint64(0x1F3A5C7E9B2D4F61), UNIT: np.uint64(0x2E4B6D8FA1C3E5
 
 
 class Words(dict):
-    """word -> number of an entry in the arrays: hash, kind, capitalised, ends a sentence, is nothing but punctuation."""
+    """word -> number of an entry in the arrays: hash, hash of the word itself, kind, capitalised, ends a sentence, is nothing but punctuation."""
 
     def __init__(self, remember: int = 150_000):
         super().__init__()
         self.remember, self.n = remember, 0
         self.hash = np.zeros(1 << 12, np.uint64)
+        self.plain = np.zeros(1 << 12, np.uint64)
         self.flags = np.zeros((1 << 12, 4), np.uint8)
         self.bare: list[str] = []
 
@@ -60,11 +61,13 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if self.n == len(self.hash):
             self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
+            self.plain = np.concatenate([self.plain, np.zeros_like(self.plain)])
             self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
         stripped = word.strip(_AROUND)
         bare = stripped.lower()
         kind = NUMBER if _NUMBER.fullmatch(bare) or bare in _NUMBER_WORDS else UNIT if bare in _UNITS or stripped in ("%", "°") else WORD
-        self.hash[self.n] = _HASH[kind] if kind else np.uint64(hash_text(bare))
+        self.plain[self.n] = hash_text(bare)
+        self.hash[self.n] = _HASH[kind] if kind else self.plain[self.n]
         self.flags[self.n] = kind, stripped[:1].isupper(), word[-1] in ".!?:", not stripped
         self.bare.append(bare)
         self[word] = self.n
@@ -80,9 +83,10 @@ def hash_text(text: str) -> int:
 
 @dataclass
 class Template:
-    """hash and kind of each template word, and its number in Words."""
+    """hash and kind of each template word, the hash of the word itself, and its number in Words."""
 
     hash: np.ndarray
+    plain: np.ndarray
     kind: np.ndarray
     ids: np.ndarray
 
@@ -91,7 +95,7 @@ def template(text: str | None, words: Words) -> Template:
     lines = [line.split() for line in (text or "").splitlines()]
     ids = np.fromiter((words[p] for line in lines for p in line), np.int64)
     if not len(ids):
-        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint8), ids)
+        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), ids)
     flags = words.flags[ids]
     after_end = np.concatenate([[1], flags[:, 2]])
     after_end[np.cumsum([len(line) for line in lines])] = 1
@@ -102,17 +106,18 @@ def template(text: str | None, words: Words) -> Template:
     name = (flags[:, 0] == WORD) & (flags[:, 1] == 1) & (after_end == 0) & (2 * (capitals[hi] - capitals[lo]) <= hi - lo)
     keep = flags[:, 3] == 0
     kind = np.where(name, NAME, flags[:, 0])[keep]
-    return Template(np.where(name, _HASH[NAME], words.hash[ids])[keep], kind.astype(np.uint8), ids[keep])
+    return Template(np.where(name, _HASH[NAME], words.hash[ids])[keep], words.plain[ids[keep]], kind.astype(np.uint8), ids[keep])
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    if len(hashes) < width:
-        return np.zeros(0, np.uint64)
+def windows(hashes: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+    """Of each width (rising), the hashes of the windows that begin at each word; not mixed yet."""
+    out, h = [], np.zeros(len(hashes) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.full(len(hashes) - width + 1, np.uint64(width))
-        for k in range(width):
-            h = h * np.uint64(0x9FB21C651E98DF25) + hashes[k : len(hashes) - width + 1 + k]
-        return mix64(h)
+        for k in range(min(widths[-1], len(hashes)) if widths else 0):
+            h = h[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[k:]
+            if k + 1 in widths:
+                out.append(h + np.uint64(k + 1))
+    return out + [np.zeros(0, np.uint64)] * (len(widths) - len(out))
 
 
 @dataclass
@@ -130,54 +135,81 @@ class Matcher:
 
     def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH, least: int = LEAST, literal: int = LITERAL):
         self.words = Words()
-        self.least, self.literal = least, literal
+        self.most, self.least, self.literal = width, least, literal
         self.ids = [i for i, _ in items]
         own = Words(1 << 60)
         self.items = [template(t, own) for _, t in items]
         self.values = [[own.bare[k] for k in t.ids] for t in self.items]
-        table: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        # windows of templates and of the words themselves: what is copied is found even where names are read otherwise
+        rows = []
         for k, t in enumerate(self.items):
             w = min(width, len(t.hash))
             if w >= 4:
-                h = windows(t.hash, w)
-                table[w].append((h, np.full(len(h), k), np.arange(len(h))))
-        self.table = {}
-        for w, rows in table.items():
-            h, item, at = (np.concatenate(c) for c in zip(*rows))
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.table[w] = h[order], item[order], at[order], bits
+                for hashes in (t.hash, t.plain):
+                    h = windows(hashes, [w])[0]
+                    rows.append((h, np.full(len(h), k), np.arange(len(h)), np.full(len(h), w)))
+        h, self.item, self.at, self.width = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [()] * 4))
+        h = mix64(h.astype(np.uint64))
+        order = np.argsort(h, kind="stable")
+        self.known, self.item, self.at, self.width = h[order], self.item[order], self.at[order], self.width[order]
+        self.widths = sorted(set(self.width.tolist()))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(h >> np.uint64(44)).astype(np.int64)] = True
+
+    def _aligned(self, doc: Template) -> dict[tuple[int, int], set[int]]:
+        """(item, place in the document less place in the item) -> places in the item of the windows that both have."""
+        out: dict[tuple[int, int], set[int]] = defaultdict(set)
+        parts = windows(doc.hash, self.widths)
+        if (doc.kind != WORD).any():
+            parts = parts + windows(doc.plain, self.widths)
+        h = mix64(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        hits = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+        if not len(hits):
+            return out
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        lo, hi = np.searchsorted(self.known, h[hits]), np.searchsorted(self.known, h[hits], "right")
+        places = hits - starts[np.searchsorted(starts, hits, "right") - 1]
+        some = lo < hi
+        for place, i, j in zip(places[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+            for k in range(i, j):
+                out[int(self.item[k]), place - int(self.at[k])].add(int(self.at[k]))
+        return out
 
     def find(self, text: str | None) -> list[Match]:
         self.words.renew()
         doc = template(text, self.words)
-        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for width, (known, item, at, bits) in self.table.items():
-            h = windows(doc.hash, width)
-            for place in np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)]).tolist():
-                lo, hi = np.searchsorted(known, h[place]), np.searchsorted(known, h[place], "right")
-                for k in range(lo, hi):
-                    aligned[int(item[k]), place - int(at[k])].append((int(at[k]), width))
+        aligned = self._aligned(doc)
         best: dict[object, Match] = {}
         for (item, offset), places in aligned.items():
-            t = self.items[item]
-            cover = np.zeros(len(t.hash), bool)
-            for at, width in places:
-                cover[at : at + width] = True
-            spots = np.flatnonzero(cover)
-            kinds = t.kind[spots]
-            if len(spots) < min(len(t.hash), self.least) or (kinds == WORD).sum() < min(self.literal, (len(spots) + 1) // 2):
+            m = self._judge(item, doc, offset, places)
+            if m is None:
                 continue
-            slots = [(int(t.kind[k]), self.values[item][k], self.words.bare[doc.ids[k + offset]]) for k in spots[kinds != WORD].tolist()]
-            if len({(kind, a) for kind, a, _ in slots}) != len(set(slots)) or len({(kind, b) for kind, _, b in slots}) != len(set(slots)):
-                continue
-            m = Match(item, len(spots), len(t.hash), len(places), len(slots), all(a == b for _, a, b in slots))
             key = self.ids[item]
             if key not in best or (m.covered, m.matched, m.exact) > (best[key].covered, best[key].matched, best[key].exact):
                 best[key] = m
         return list(best.values())
 
+    def _judge(self, item: int, doc: Template, offset: int, places: set[int]) -> Match | None:
+        t, own = self.items[item], self.values[item]
+        width = min(self.most, len(own))
+        theirs = {k: self.words.bare[doc.ids[k + offset]] for at in places for k in range(at, at + width)}
+        copied = {at for at in places if all(own[k] == theirs[k] for k in range(at, at + width))}
+        # if the slots disagree, the windows that are copied word by word may still be enough
+        for taken in (places, copied):
+            cover, literal = np.zeros(len(own), bool), t.kind == WORD
+            for at in taken:
+                cover[at : at + width] = True
+            for at in taken & copied:
+                literal[at : at + width] = True
+            spots = np.flatnonzero(cover)
+            if len(spots) < min(len(own), self.least) or literal[spots].sum() < min(self.literal, (len(spots) + 1) // 2):
+                continue
+            slots = [(int(t.kind[k]), own[k], theirs[k]) for k in spots[t.kind[spots] != WORD].tolist()]
+            if len({(kind, a) for kind, a, _ in slots}) != len(set(slots)) or len({(kind, b) for kind, _, b in slots}) != len(set(slots)):
+                continue
+            return Match(item, len(spots), len(own), len(taken), len(slots), all(a == b for _, a, b in slots))
+        return None
+
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about BLOCK_BYTES, by hash of the text."""
