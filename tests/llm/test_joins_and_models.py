@@ -173,6 +173,21 @@ def test_copies_are_found_however_names_are_read():
     assert found(items[3][1].lower()) == [(4, 16, True)] and found("so THE LONG " + items[3][1][9:]) == [(4, 16, True)]
 
 
+def test_slots_may_meet_and_a_change_leaves_the_rest():
+    fruit = "if a boy buys 3 apples and 5 pears at the market of the town how many does he have"
+    prose = " ".join(f"w{k}" if k % 20 else "in 1848 and" for k in range(200))
+    boat = "so a slow boat went along the wide river as night fell over the quiet town by the sea"
+    m = decontamination.Matcher([(1, fruit), (2, prose), (3, boat)])
+
+    def found(text):
+        return [(m.ids[x.item], x.exact) for x in m.find("before it " + text)]
+
+    assert found(fruit.replace("3", "4").replace("5", "4")) == [(1, False)]
+    assert found(prose.replace("1848", "1849", 1)) == [(2, True)]
+    # a word put in: pieces of 9 and of 10 words
+    assert found(boat.replace("river as", "river just as")) == [(3, True)]
+
+
 def test_contaminated_is_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(40)]

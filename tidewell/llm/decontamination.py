@@ -6,7 +6,7 @@ that mostly aren't) and units become typed placeholders, whose words are kept as
 Windows of `width` words of every benchmark item are hashed into a table, as template words and as the plain words, and
 every window of every document is looked up in it, in both readings. Matches of one item at one offset form an alignment; it counts if it covers min(item, `least`) words of
 the item, enough of them not placeholders (or in windows copied word by word), and if its slots agree: one value of the item always stands for one of the
-document and the other way round. Equal slots: exact; else the question is re-parameterised.
+document. Where they don't, windows copied word by word are judged alone. Alignments at neighbouring offsets count together as well. Equal slots: exact; else the question is re-parameterised.
 
 The benchmark is taken in blocks of bounded size, each of them broadcast and held against all documents.
 
@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidewell.llm.common import mix64, slices
 
 WIDTH, LEAST, LITERAL = 8, 13, 6
+#: Alignments of an item whose offsets differ by so many words at most are one copy with words put in or left out.
+SHIFT = 4
 BLOCK_BYTES = 16 << 20
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _AROUND = ".,;:!?…\"'()[]{}«»„“”‘’*_`-–—|"
@@ -180,8 +182,8 @@ class Matcher:
         doc = template(text, self.words)
         aligned = self._aligned(doc)
         best: dict[object, Match] = {}
-        for (item, offset), places in aligned.items():
-            m = self._judge(item, doc, offset, places)
+        for item, runs in self._runs(aligned):
+            m = self._judge(item, doc, runs)
             if m is None:
                 continue
             key = self.ids[item]
@@ -189,25 +191,42 @@ class Matcher:
                 best[key] = m
         return list(best.values())
 
-    def _judge(self, item: int, doc: Template, offset: int, places: set[int]) -> Match | None:
+    def _runs(self, aligned: dict[tuple[int, int], set[int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Item and (place in it, offset) of windows to be judged together: those of each alignment, and those of neighbouring ones, as words put in or left out shift what follows."""
+        by_item: dict[int, list[int]] = defaultdict(list)
+        for item, offset in aligned:
+            by_item[item].append(offset)
+        for item, offsets in by_item.items():
+            offsets.sort()
+            for offset in offsets:
+                yield item, [(at, offset) for at in sorted(aligned[item, offset])]
+            group: list[int] = []
+            for offset, after in zip(offsets, [*offsets[1:], None]):
+                group.append(offset)
+                if after is None or after - offset > SHIFT:
+                    if len(group) > 1:
+                        group.sort(key=lambda o: -len(aligned[item, o]))
+                        yield item, [(at, o) for o in group for at in sorted(aligned[item, o])]
+                    group = []
+
+    def _judge(self, item: int, doc: Template, runs: list[tuple[int, int]]) -> Match | None:
+        """runs: windows, the ones that count first where two cover a word."""
         t, own = self.items[item], self.values[item]
         width = min(self.most, len(own))
-        theirs = {k: self.words.bare[doc.ids[k + offset]] for at in places for k in range(at, at + width)}
-        copied = {at for at in places if all(own[k] == theirs[k] for k in range(at, at + width))}
+        copied = [(at, o) for at, o in runs if all(own[k] == self.words.bare[doc.ids[k + o]] for k in range(at, at + width))]
+        same = {k for at, _ in copied for k in range(at, at + width)}
         # if the slots disagree, the windows that are copied word by word may still be enough
-        for taken in (places, copied):
-            cover, literal = np.zeros(len(own), bool), t.kind == WORD
-            for at in taken:
-                cover[at : at + width] = True
-            for at in taken & copied:
-                literal[at : at + width] = True
-            spots = np.flatnonzero(cover)
-            if len(spots) < min(len(own), self.least) or literal[spots].sum() < min(self.literal, (len(spots) + 1) // 2):
+        for taken in (runs, copied):
+            theirs: dict[int, str] = {}
+            for at, o in taken:
+                for k in range(at, at + width):
+                    theirs.setdefault(k, self.words.bare[doc.ids[k + o]])
+            kinds = t.kind[list(theirs)].tolist()
+            if len(theirs) < min(len(own), self.least) or sum(kind == WORD or k in same for k, kind in zip(theirs, kinds)) < min(self.literal, (len(theirs) + 1) // 2):
                 continue
-            slots = [(int(t.kind[k]), own[k], theirs[k]) for k in spots[t.kind[spots] != WORD].tolist()]
-            if len({(kind, a) for kind, a, _ in slots}) != len(set(slots)) or len({(kind, b) for kind, _, b in slots}) != len(set(slots)):
-                continue
-            return Match(item, len(spots), len(own), len(taken), len(slots), all(a == b for _, a, b in slots))
+            slots = [(kind, own[k], theirs[k]) for k, kind in zip(theirs, kinds) if kind != WORD]
+            if len({(kind, a) for kind, a, _ in slots}) == len(set(slots)):
+                return Match(item, len(theirs), len(own), len({at for at, _ in taken}), len(slots), all(a == b for _, a, b in slots))
         return None
 
 
