@@ -2,7 +2,7 @@
 
 The model is trained here from a small labelled table of URLs (`SEED`, or one of the caller's), by full-batch gradient
 descent from zero: reruns agree. N-grams of 3 to 5 signs of "^host$" and "^path$" are hashed, host and path apart, into
-2**14 weights; digits count as one sign, so that numbers in paths can't be learned by heart.
+2**18 weights, so many that n-grams unlike any of the table rarely meet its own; digits count as one sign, so that numbers in paths can't be learned by heart.
 
 Null URLs, URLs without "://" and empty hosts: host and path are empty, and the model, trained to, lets them pass. Very long
 URLs are processed whole. Equal URLs get equal verdicts. An empty table gives an empty result. Extra columns are ignored.
@@ -20,47 +20,53 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import mix64
 
-BITS = 14
+BITS = 18
 DIGITS = re.compile("[0-9]")
 SIZES = (3, 4, 5)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-
-_BAD = """casino-royal.example/slots/free-spins best-casino.example/bonus onlinecasino.example/win poker-stars-win.example/play
-win-big-casino.example/jackpot casino-win.example/ lucky-casino.example/promo freebets-now.example/odds free-bets.example/sports bet-win-cash.example/offer
-sports-betting-tips.example/free cheap-pills.example/order buy-viagra-cheap.example/pills pharmacy-discount.example/cialis cheap-meds-online.example/pills/buy
-adult-x.example/videos xxx-tube.example/hot adult-cams.example/live porn-free.example/watch sexchat-x.example/girls adult-dating.example/join
-spam-farm.example/post link-farm.example/seo/backlinks content-farm.example/spun/article seo-spam.example/keywords buy-backlinks.example/cheap
-ads-track.example/click adserver-pop.example/banner ad-tracker.example/pixel popunder-ads.example/redirect track-clicks.example/ads/aff
-payday-loan-fast.example/apply easy-money-now.example/earn crypto-doubler.example/profit get-rich-quick.example/signup replica-watches.example/rolex
-warez-crack.example/keygen torrent-free-movies.example/download malware-update.example/flash.exe phish-login.example/verify-account free-iphone-prize.example/winner
-miracle-weightloss.example/pills hot-singles.example/meet cheap-replica-bags.example/sale clickbait-viral.example/you-wont-believe casino-bonus-codes.example/vip
-mega-casino.example/slots royal-slots.example/jackpot poker-room.example/bonus slots-jackpot.example/win free-spins-now.example/casino roulette-win.example/bet betting-odds.example/sports live-bets.example/odds
-cheap-viagra.example/order pills-online.example/buy discount-pharmacy.example/meds cialis-order.example/cheap meds-cheap.example/rx weightloss-pills.example/buy
-xxx-videos.example/watch porn-tube.example/hot hot-cams.example/adult sex-dating.example/girls live-sexcams.example/xxx adult-tube.example/free singles-adult.example/chat
-ad-click.example/track popup-ads.example/click banner-tracker.example/ads click-track.example/aff ads-server.example/pop tracking-pixel.example/ad affiliate-clicks.example/track
-spam-links.example/backlinks seo-link-farm.example/buy spam-blog.example/post cheap-backlinks.example/seo farm-links.example/spam spam-network.example/mail
-fast-loan.example/payday quick-cash.example/money earn-money-fast.example/rich crypto-profit.example/double get-cash-now.example/loan rich-quick-crypto.example/earn
-replica-rolex.example/watches cheap-replica.example/sale free-prize-winner.example/claim iphone-prize.example/win malware-download.example/exe phish-verify.example/login warez-download.example/crack keygen-crack.example/free torrent-warez.example/movies""".split()
-_GOOD = """news.example/world/story blog.example/travel/notes docs.example/reference/guide wiki.example/article/history library.example/catalog/books
-university.example/research/paper museum.example/exhibits/ancient weather.example/forecast/today recipes.example/soup/vegetable gardening.example/tips/roses
-city-council.example/minutes science.example/physics/lecture maps.example/region/north school.example/courses/algebra health.example/advice/sleep
-photography.example/gallery/birds music.example/reviews/album theatre.example/programme/season sports.example/results/league cycling.example/routes/hills
-magazine.example/essays/culture archive.example/letters/collection forum.example/thread/question translation.example/dictionary/entry software.example/manual/install
-railway.example/timetable bakery.example/opening-hours hiking.example/trails/lake painting.example/lessons/colour astronomy.example/observing/planets
-thering.example/en/article tionsh.example/en/story blog.thernd.example/fr/note www.ererin.example/de/text m.ththon.example/es/page
-tiontion.example/en/post ththre.example/de/news stthanre.example/fr/item ouerand.example/en/entry eaining.example/es/notes.html
-www.travel-notes.example/en/index.html m.local-news.example/de/heute blog.cooking-class.example/fr/recette open-data.example/es/tablas community-garden.example/en/about
-history-archive.example/en/records language-school.example/de/kurs public-library.example/fr/livres small-farm-produce.example/en/market track-and-field.example/en/results
-better-homes.example/ideas alphabet-books.example/kids adventure-club.example/join-us essex-county.example/council wintering-birds.example/notes freedom-museum.example/visit
-daily-news.example/politics world-story.example/report science-journal.example/paper history-blog.example/notes travel-guide.example/lakes city-library.example/books art-museum.example/gallery
-cooking-recipes.example/bread garden-notes.example/seeds weather-report.example/week school-lessons.example/maths language-course.example/grammar music-school.example/piano local-theatre.example/plays
-cycling-club.example/tours hiking-routes.example/hills bird-watching.example/species astronomy-club.example/stars open-source-docs.example/guide software-manual.example/setup data-archive.example/tables
-parish-council.example/minutes family-doctor.example/advice village-school.example/calendar river-restoration.example/project clockmaker.example/repairs bookshop.example/novels letterpress.example/prints
-erenthan.example/en/article onthere.example/de/text inreand.example/fr/page esthing.example/es/note ofthat.example/en/story reonation.example/de/post heaning.example/fr/item ntheron.example/es/entry
-thandwh.example/en/1 stereon.example/de/2 ouhanble.example/fr/3 tioneren.example/es/4 lyoredth.example/en/5 edorthan.example/de/6""".split()
-_PLACES = ("http://{}{}", "https://www.{}.com/en/1", "http://blog.{}.net/de/1.html", "https://m.{}.org/fr/1/", "http://{}.com/es/1")
-#: The labelled table: each site as it is and at usual places, so that subdomains, endings and neutral paths carry no label; and no URL at all, which is let pass.
-SEED: tuple[tuple[str, int], ...] = tuple((place.format(*u.partition("/")[::2] if "{}{}" not in place else (u.partition("/")[0], "/" + u.partition("/")[2])), label) for label, urls in ((1, _BAD), (0, _GOOD)) for u in urls for place in _PLACES) + (("", 0),) * 5
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+#: The labelled table, made up from the vocabulary of the web at large: names of sites that sell, lure, track or spread spam, and of sites of institutions, trades and hobbies.
+_BAD = """royal-casino/slots/free-spins bestcasino/bonus onlinecasinos/roulette pokerstars-club/play jackpot-slots/spin
+lucky-casino/promo grand-casino/blackjack mega-jackpots/prize slots-palace/deposit roulette-king/wheel winner-casino/cash vegas-poker/tables
+betting-odds/today sportsbets/odds live-betting/football bets-online/stake freebet/signup bookmaker-bet/bonus win-more/lottery bigwin/scratch lotto-win-now/claim bet-and-win/join
+buy-viagra/order discount-pharmacy/cialis canadian-meds/rx pillsdirect/buy diet-pills/weightloss generic-pills/cheap cheapmeds/tablets cheap-replica-watches/rolex cheapest-handbags/outlet miracle-cure/trial slimming-pill/offer steroid-shop/buy
+xxx-videos/hot porntube/watch adultcams/live adult-dating/join sexchat/girls nude-webcams/free adultmovies/stream hot-singles/meet escort-girls/night x-rated/gallery adult-toys-xx/shop sexy-x/clips
+adserver/banner adclick/redirect popunder/pop clicktracker/pixel trackingpixel/px ads-network/serve bannerads/imp ad-tracking/beacon trackers/collect affiliate-ads/offer doubleads/slot adtrack/hit
+spam-blog/post linkfarm/backlinks seo-spam/keywords buy-backlinks/links comment-spam/bot contentfarm/spun spammers/list email-spam/blast splog-farm/auto link-farms/directory
+payday-loans/apply fast-cash/money easymoney/earn get-rich/quick crypto-doubler/profit bitcoin-profit/invest free-money/grab instant-loan/approved
+free-gift-cards/claim freeiphone/winner free-ringtones/get freestuff/samples free-spins-bonus/now prize-winner/congratulations
+warez/crack keygens/serial torrent-movies/download malware-update/setup.exe phishing-login/verify cracked-software/keygen fake-antivirus/scan clickbait/shocking""".split()
+_GOOD = """news-tribune/world/story morningpost/politics/report travel-notes/lakes documentation/reference/guide encyclopedia/article/history county-library/catalog/books
+university/research/paper maritime-museum/exhibits/ancient weather-station/forecast recipes/soup/vegetable gardening/tips/roses citycouncil/minutes physics-letters/lecture atlas/region/north
+grammar-school/courses/algebra healthline/advice/sleep photography/gallery/birds musicreview/album theatre/programme football-league/results cycling/routes/hills magazine/essays/culture
+archive/letters/collection discussion/thread/question dictionary/entry software-manual/install railway/timetable bakery/opening-hours hiking/trails/lake painting/lessons astronomy/planets
+elementary/calendar orchestra/concert nursery/plants heritage/castle translators/glossary mathematics/theorem chemistry/elements brewery/tour botanical/gardens librarian/reading
+cathedral/organ fishermen/harbour engineering/bridges hospital/visitors firebrigade/station parliament/debates observatory/stars ceramics/workshop woodwork/benches knitting/patterns
+allotment-farm/harvest farmhouse/cheese farmers-market/saturday organicfarm/eggs track-and-field/athletes racetrack-history/circuit soundtrack-reviews/film windmill/flour free-church/service freedom/essay freelance-writers/contact adventure/journal
+adult-education/evening adulteducation/courses address-book/contacts roads-ministry/maps readers/letters loads-and-beams/physics headstone/genealogy winter-sports/snow windsurf/club twins/family alphabet/primer better-homes/ideas bettys-tearoom/menu diabetes/information
+zeitung/nachrichten bibliothek/katalog wetterdienst/vorhersage rathaus/sitzung rezepte/kuchen volkshochschule/kurse wanderwege/karte
+journal-local/actualites mairie/conseil recettes/tarte bibliotheque/livres musee/exposition meteo/previsions ecole/rentree
+periodico/noticias ayuntamiento/plenos recetas/arroz biblioteca/libros universidad/facultad escuela/horario museo/coleccion
+thornton/parish harrington/village stanhope/estate hathersage/walks eastleigh/station northampton/town reading-room/notes anderson/family esterhazy/quartet
+oneill/plays inverness/ferry strathmore/glen tennant/letters hendon/school ashton/canal bletchley/park renton/joinery arlington/houses""".split()
+#: Plain words as sites, since most sites are named by such: what stands in any language's names speaks for nothing.
+_PLAIN = """weather leather father mother brother feather together another gather heather northern southern western eastern anthem theory theatre thesis thermal athlete method pathway earth hearth strength length month health wealth tenth
+nation station motion action section portion mention caption fiction tradition education relation creation edition election position question reason season lesson person garden golden wooden kitchen children listen
+morning evening building painting reading writing spring string ring singing thinking inning training opening listing printing sewing rowing fishing farming running swimming winning
+stone bone throne phone zone alone honest one bonnet sonnet marble table cable noble trouble double humble gable ensemble stable able bubble
+error mirror terror horror tutor author editor doctor sailor tailor harbor minor motor honor senator
+order border ladder powder under thunder winter summer paper letter water river silver copper corner dinner number hunter printer carter potter weaver baker
+fresh wish dish fish english spanish polish finish shore ship sheep shelf short shirt shadow share
+hand land sand island band stand grand thousand husband england poland holland friend weekend legend thunderstorm
+first thirst forest harvest guest chest west north south rest best interest artist tourist list coast
+street meadow valley mountain bridge castle market village church tower square lane lake ocean beach cliff desert prairie orchard vineyard
+history science music poetry drama letters grammar logic algebra geometry biology botany zoology anatomy medicine surgery law justice senate council embassy
+haus garten strasse wasser sonne berg wald stadt kirche schule zeit arbeit freund leben welt reise buch lehrer
+maison jardin chemin rivage soleil foret ville eglise monde voyage livre travail ami temps lettre
+casa jardin camino agua sol monte bosque ciudad iglesia mundo viaje libro trabajo amigo tiempo carta""".split()
+#: A site stands as it is and at usual places, so that subdomains, endings and neutral paths carry no label; the URL without a host is let pass.
+_PLACES = ("http://{}.test{}", "https://www.{}.invalid/about", "http://shop.{}.test/item?id=3", "https://news.{}.localhost/2019/05/contents", "http://{}/index.php")
+SEED: tuple[tuple[str, int], ...] = tuple((place.format(site, "/" + path), label) for label, urls in ((1, _BAD), (0, _GOOD), (0, _PLAIN)) for site, _, path in (u.partition("/") for u in urls) for place in _PLACES) + (("", 0),) * 5
 
 
 def host_of(url: Column) -> Column:
@@ -90,12 +96,12 @@ def grams(text: str, side: int) -> np.ndarray:
 
 
 def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their values; the host's have length 1 together, the path's half of that."""
+    """Distinct n-grams and their values; the path's count half of the host's. Not scaled by length: it would tell, by n-grams that all share, how long a host is."""
     ids, values = [], []
     for side, text, scale in ((0, host, 1.0), (1, path, 0.5)):
         i, n = np.unique(grams(text, side), return_counts=True)
         ids.append(i)
-        values.append(scale * n / np.sqrt((n * n).sum()) if len(i) else n.astype(float))
+        values.append(scale / 5 * n)
     return np.concatenate(ids), np.concatenate(values)
 
 
@@ -110,7 +116,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 @lru_cache(maxsize=4)
-def train(labelled: Sequence[tuple[str, int]] = SEED, rounds: int = 1500, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(labelled: Sequence[tuple[str, int]] = SEED, rounds: int = 1000, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept; label 1: block."""
     rows, cols, vals, y = [], [], [], []
     for k, (url, label) in enumerate(labelled):
@@ -120,12 +126,15 @@ def train(labelled: Sequence[tuple[str, int]] = SEED, rounds: int = 1500, rate:
         vals.append(values)
         y.append(label)
     r, c, v, target = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals), np.array(y, float)
-    w, b = np.zeros(1 << BITS), 0.0
+    known, c = np.unique(c, return_inverse=True)
+    w, b = np.zeros(len(known)), 0.0
     for _ in range(rounds):
         g = (1 / (1 + np.exp(-np.bincount(r, v * w[c], len(target)) - b)) - target) / len(target)
         w -= rate * (np.bincount(c, v * g[r], len(w)) + decay * w)
         b -= rate * g.sum() / 10
-    return w, b
+    out = np.zeros(1 << BITS)
+    out[known] = w
+    return out, b
 
 
 def probability(pairs: Sequence[tuple[str, str]], model: tuple[np.ndarray, float]) -> list[float]:
@@ -161,11 +170,16 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
 
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for host, path in frames:
-            yield pd.Series(probability(list(zip(host, path)), model.value))
+            out = pd.Series(np.full(len(host), np.nan))
+            open_ = host.notna().to_numpy()
+            out[open_] = probability(list(zip(host[open_], path[open_])), model.value)
+            yield out
 
     score = F.pandas_udf(run, "double")
     cut = df.select(F.col(id_col).alias("id"), host_of(F.col(url_col).cast("string")).alias("host"), path_of(F.col(url_col).cast("string")).alias("path"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    scored = cut.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("p", score("host", "path"))
+    scored = cut.withColumn("rule", name).withColumn("by_rule", verdict)
+    # a decided row's URL isn't scored
+    scored = scored.withColumn("p", score(F.when(F.col("by_rule").isNull(), F.col("host")), F.col("path")))
     chosen = F.coalesce(F.col("by_rule"), F.when(F.col("p") >= threshold, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", chosen.alias("verdict"), F.when(F.col("by_rule").isNull(), F.col("p")).alias("score"))
