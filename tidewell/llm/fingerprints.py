@@ -9,8 +9,12 @@ and stand in the same order, which makes the share of equal entries sensitive to
 Null text: as the empty text, which has a signature of its own; two empty texts are alike. Texts shorter than k are one
 k-mer. Equal texts have equal fingerprints, since nothing else enters. Very long texts are processed whole.
 
+The orders share one sort, so they aren't independent: measured over random texts with edits, the estimate's deviation is that of
+independent orders from some 100 signs on, and up to 1.6 times that below.
+
 `compare_with_next` puts rows in order of id (ties by text) without a global sort in one task: bounded ranges of ids are
-streamed, each with the first row of the next range behind it. Rows without id have no next row: an empty text stands
+streamed, each with the first row of the next range behind it. Ranges are cut at quantiles, and, where ids are numbers and rows
+are many, evenly between quantiles. Rows without id have no next row: an empty text stands
 for it. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -21,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from tidewell.llm.common import mix64, seeds, slices
 
@@ -117,31 +122,49 @@ def _judge(row_id: object, text: str, sig: np.ndarray, after: str, after_sig: np
     return row_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), as_hex(sig), as_hex(other), likeness(sig, other), likeness(sig, after_sig)
 
 
+def _bucket(value: Column, cuts: list, lo: object, hi: object, parts: int) -> Column:
+    """How many cuts are below a value, by bisection, and which of `parts` even parts between two cuts it is in."""
+    at = F.lit(cuts)
+    bits = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    below = F.aggregate(F.lit(bits), F.lit(0), lambda k, bit: F.when((k + bit <= len(cuts)) & (F.get(at, k + bit - 1) < value), k + bit).otherwise(k))
+    if parts == 1:
+        return below
+    ends = F.lit([float(v) for v in (lo, *cuts, hi)])
+    first, last = F.get(ends, below), F.get(ends, below + 1)
+    inside = F.floor((value.cast("double") - first) / F.greatest(last - first, F.lit(1e-300)) * parts).cast("int")
+    return below * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
+
+
 COLUMNS = ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4096, most_ranges: int = 20_000) -> DataFrame:
+def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1024, most_cuts: int = 4096, most_parts: int = 256) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The text moves once."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = docs.where("id IS NOT NULL")
     n = known.count()
-    ranges = max(1, min(most_ranges, n // rows_per_range))
+    wanted = max(1, n // rows_per_range)
+    number = isinstance(df.schema[id_col].dataType, NumericType)
+    ranges = min(most_cuts, wanted)
+    parts = min(most_parts, -(-wanted // ranges)) if number else 1
     cuts: list = []
+    bucket = F.lit(0)
     if ranges > 1:
-        parts = [k / ranges for k in range(1, ranges)]
-        cuts = sorted(set(known.agg(F.percentile_approx("id", parts, max(10_000, 5 * ranges)).alias("q")).first().q))
-    above = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    bucket = F.size(F.filter(above, lambda c: c < F.col("id"))) if cuts else F.lit(0)
+        shares = [k / ranges for k in range(1, ranges)]
+        found = known.agg(F.percentile_approx("id", shares, max(10_000, 5 * ranges)).alias("q"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+        cuts = sorted(set(found.q))
+        bucket = _bucket(F.col("id"), cuts, found.lo, found.hi, parts)
     placed = known.withColumn("bucket", bucket.cast("int"))
-    # the first row of each range, wanted behind the range before it; at most `most_ranges` of them
+    # the first row of each range, wanted behind the range before it; at most most_cuts * most_parts of them
     firsts = sorted((r.bucket, r.id) for r in placed.groupBy("bucket").agg(F.min("id").alias("id")).collect())
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
     spark = df.sparkSession
     heads = spark.createDataFrame([(i, b) for i, b in before.items()], f"id {kind}, bucket int")
     heads = known.join(F.broadcast(heads), "id").groupBy("id", "bucket").agg(F.min("text").alias("text"))
     rows = placed.withColumn("tail", F.lit(0)).unionByName(heads.withColumn("tail", F.lit(1)))
-    rows = rows.repartition(max(1, len(firsts)), "bucket").sortWithinPartitions("bucket", "tail", "id", "text")
+    # some ranges in each task, so that tasks are alike; a range is whole in its task
+    rows = rows.repartition(max(1, len(firsts) // 8), "bucket").sortWithinPartitions("bucket", "tail", "id", "text")
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def pack(found: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
