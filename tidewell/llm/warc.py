@@ -6,8 +6,10 @@ are joined to it, and each archive is rewritten with fresh headers, payloads of
 records (at most `HOT` of them can hold more than 1/HOT of the rows) are joined by broadcast, the others by shuffle,
 so that no key holds a large part of the join.
 
-Files are written under a name of the attempt and moved into place, so that a repeated task replaces its own work.
-Null html: an empty payload. Null id: a record without the id's header; it is never preferred as original. Of equal ids
+Files are written under a name of the attempt and moved into place, so that a repeated task replaces its own work; what failed
+attempts left is swept away. The tasks that rewrite and read archives are as many as there are archives, whatever little their
+headers weigh. Null html: an empty payload. Null id: a record without the id's header; it is never preferred as original. Ids of
+any type are carried as text. Of equal ids
 with equal payloads the later record is the original. Payloads under `least` bytes are always responses. An empty table
 gives an empty result. Extra columns are ignored.
 """
@@ -35,17 +37,17 @@ SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(kind: str, key: str, url: str, digest: str, length: int, payload: bytes | None, page_id: int | None, refers: tuple[str, int | None, str] | None = None, date: str = DATE) -> bytes:
+def record(kind: str, key: str, url: str, digest: str, length: int, payload: bytes | None, page_id: object, refers: tuple[str, object, str] | None = None, date: str = DATE) -> bytes:
     """One record as a gzip member. key: what the record's id is made of; refers: key, id and url of the original."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + (payload or b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE_ID, key)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {_line(str(page_id))}")
     if refers:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(SPACE_ID, refers[0])}>", f"WARC-Refers-To-Target-URI: {_line(refers[2])}", f"WARC-Refers-To-Date: {date}"]
         if refers[1] is not None:
-            head.append(f"X-Refers-To-Page-ID: {refers[1]}")
+            head.append(f"X-Refers-To-Page-ID: {_line(str(refers[1]))}")
     head.append(f"Content-Length: {len(block)}")
     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
@@ -98,6 +100,23 @@ class Archive:
         self.out.close()
         self.fs.move(self.part, self.path)
 
+    def abandon(self) -> None:
+        self.out.close()
+        self.fs.delete_file(self.part)
+
+
+def sweep(folder: str) -> None:
+    """Removes what attempts that didn't end have left, once their job has."""
+    system, path = fs.FileSystem.from_uri(folder)
+    for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if f.type == fs.FileType.File and not f.path.endswith(".warc.gz"):
+            system.delete_file(f.path)
+
+
+def _tasks(archives: int) -> int:
+    """Partitions for so many archives: enough that few meet in one, up to a number that a driver can take."""
+    return max(1, min(4 * archives, max(archives, 5_000), 50_000))
+
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = 256 << 20, date: str = DATE) -> DataFrame:
     """Every row as a response record; returns the headers: file, ordinal, page_id, url, payload_bytes, digest."""
@@ -124,7 +143,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     picked = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     made = picked.mapInArrow(run, f"file string, ordinal long, id {kind}, url string, payload_bytes long, digest string")
-    return materialize(made, "warc-headers")
+    out = materialize(made, "warc-headers")
+    sweep(folder)
+    return out
 
 
 def resolve_revisits(headers: DataFrame, least: int = 1000) -> DataFrame:
@@ -149,23 +170,29 @@ def rewrite_archives(resolved: DataFrame, raw: str, folder: str, date: str = DAT
     def run(group: pd.DataFrame) -> pd.DataFrame:
         name = group["file"].iloc[0]
         revisit = group[group["refer_key"].notna()]
-        refers = {int(k): (f"new/{key}", None if pd.isna(i) else int(i), url) for k, key, i, url in zip(revisit["ordinal"], revisit["refer_key"], revisit["refer_id"], revisit["refer_url"])}
+        refers = {int(k): (f"new/{key}", None if pd.isna(i) else i, url) for k, key, i, url in zip(revisit["ordinal"], revisit["refer_key"], revisit["refer_id"], revisit["refer_url"])}
         source, path = fs.FileSystem.from_uri(f"{raw}/{name}")
         out, n = Archive(f"{folder}/{name}"), 0
-        with source.open_input_stream(path, compression=None) as stream:
-            for n, (h, block) in enumerate(read_records(stream), 1):
-                body, length = payload_of(block)
-                digest, page_id = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-page-id"]) if "x-page-id" in h else None
-                to = refers.get(n - 1)
-                out.write(record("revisit" if to else "response", f"new/{name}/{n - 1}", h["warc-target-uri"], digest, length, None if to else body, page_id, to, date))
+        try:
+            with source.open_input_stream(path, compression=None) as stream:
+                for n, (h, block) in enumerate(read_records(stream), 1):
+                    body, length = payload_of(block)
+                    to = refers.get(n - 1)
+                    out.write(record("revisit" if to else "response", f"new/{name}/{n - 1}", h["warc-target-uri"], h["warc-payload-digest"].removeprefix("sha1:"), length, None if to else body, h.get("x-page-id"), to, date))
+            if n != len(group):
+                raise ValueError(f"{name}: {n} records, {len(group)} headers")
+        except BaseException:
+            out.abandon()
+            raise
         out.close()
-        if n != len(group):
-            raise ValueError(f"{name}: {n} records, {len(group)} headers")
         return pd.DataFrame({"file": [name], "records": [n]})
 
     # whether an id is null is in refer_id; whole numbers stay whole as text
     sent = resolved.select("file", "ordinal", F.col("refer_id").cast("string").alias("refer_id"), "refer_key", "refer_url")
-    return materialize(sent.groupBy("file").applyInPandas(run, "file string, records long"), "warc-files")
+    spread = sent.repartition(_tasks(sent.select("file").distinct().count()), "file")
+    out = materialize(spread.groupBy("file").applyInPandas(run, "file string, records long"), "warc-files")
+    sweep(folder)
+    return out
 
 
 def read_archives(files: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
@@ -188,7 +215,7 @@ def read_archives(files: DataFrame, folder: str, id_type: str = "bigint") -> Dat
                             rows = []
                     yield pd.DataFrame(rows, columns=["i", "payload_bytes", "payload_digest", "record_type", "r"])
 
-    names = files.select("file").repartition(F.col("file"))
+    names = files.select("file").repartition(_tasks(files.count()), "file")
     back = names.mapInPandas(run, "i string, payload_bytes long, payload_digest string, record_type string, r string")
     return back.select(F.col("i").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("r").cast(id_type).alias("refers_to"))
 
