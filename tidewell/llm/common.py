@@ -92,9 +92,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def seeds(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
+
 HOT = 1000
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that df doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, rows: Column, total: int, how: str = "left") -> DataFrame:
     """left joined to right, which has one row for each key and knows the key's number of left rows (`rows`).
 

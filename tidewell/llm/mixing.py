@@ -7,7 +7,7 @@ so that the expected words meet the target. Its whole copies are certain. The fr
 probability: documents are ranked by random odds u/(1-u) divided by inclusion odds p/(1-p), and the sample is the
 prefix of that order whose words come nearest to what the source still needs (fixed size, counted in words).
 The prefix is found by exact histograms over rank bins, then ranks inside one bin of the second level, so that no
-task holds a source. u is a hash of the id: reruns agree.
+task holds a source. u is a hash of the id, or of the text where there is none: reruns agree.
 
 Null or empty text: size 0, 0 copies or more of nothing. Null source: a source of its own. Repeated rows and ties in
 rank go by id, then size; rows equal in both are interchangeable. An empty table gives an empty result.
@@ -18,9 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewell.llm.common import materialize, word_count
+from tidewell.llm.common import fresh, materialize, word_count
 
-SALTS = 16
+#: Tables of sources with so many rows at most are broadcast; the join with larger ones splits each of their keys so often.
+SMALL, SALTS = 100_000, 256
 
 
 def _fill(df: DataFrame, by: list[str], order: list[Column], weight: str, cap: str, total: str, out: str) -> DataFrame:
@@ -36,6 +37,27 @@ def _fill(df: DataFrame, by: list[str], order: list[Column], weight: str, cap: s
     return df.withColumn(out, (F.col(total) - full) / rest)
 
 
+def _small_join(rows: DataFrame, small: DataFrame, on: dict[str, str], key: Column, how: str) -> DataFrame:
+    """rows joined with the one row that a materialized table has for their source and the like, without its keys (on: rows' column to small's)."""
+    salt = []
+    if small.count() <= SMALL:
+        small = F.broadcast(small)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        small = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = [("salt", "salt_")]
+    both = None
+    for a, b in [*on.items(), *salt]:
+        same = rows[a].eqNullSafe(small[b])
+        both = same if both is None else both & same
+    return rows.join(small, both, how).drop(*on.values(), *(c for pair in salt for c in pair))
+
+
+def _key(id_col: Column, text: Column) -> Column:
+    """What chance hangs on: the id, and for a row without one its text."""
+    return F.coalesce(id_col.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def targets(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
     """source, source_size, target from rows of source, size; one row per source."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -47,9 +69,9 @@ def targets(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("_capped"), F.col("cap").cast("double")).otherwise(F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = 3, seed: str = "mix", bits: int = 12) -> DataFrame:
-    """id, source, size, source_size, target, copies of every row."""
-    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+def _mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = 3, seed: str = "mix", bits: int = 12) -> DataFrame:
+    """id, key, source, size, source_size, target, copies of every row."""
+    sizes = df.select(F.col(id_col).alias("id"), _key(F.col(id_col), F.col(text_col)).alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = materialize(sizes, "mix-sizes").withColumn("g", F.length(F.bin("size")).cast("long"))
     goals = targets(sizes, max_copies)
     classes = sizes.groupBy("source", "g").agg(F.sum("size").alias("words"))
@@ -60,11 +82,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sure = F.sum((F.floor("m") * F.col("words")).cast("long")).over(Window.partitionBy("source"))
     classes = materialize(classes.select("source", "g", "source_size", "target", "m", (F.col("target") - sure.cast("double")).alias("need")), "mix-classes")
 
-    # one small row per source and class: a join whose large side is salted, in case it can't be broadcast
-    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s").withColumnRenamed("g", "h")
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    rows = sizes.withColumn("salt", F.pmod(F.xxhash64(key, "size"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(salted, rows.source.eqNullSafe(salted.s) & (rows.g == salted.h) & (rows.salt == salted.salt)).drop("s", "h", "salt", "g")
+    rows = _small_join(sizes, classes.withColumnsRenamed({"source": "s", "g": "h"}), {"source": "s", "g": "h"}, F.col("key"), "inner").drop("g")
+    key = F.col("key")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
     rows = rows.withColumn("u", u).withColumn("p", F.col("m") - F.floor("m"))
     q = (F.col("u") / (1.0 - F.col("u"))) / (F.col("p") / (1.0 - F.col("p")))
@@ -80,18 +99,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     edges = edges.join(edge2, edges.source.eqNullSafe(edge2.source), "left").drop(edge2.source)
     edges = materialize(edges.withColumnRenamed("source", "s"), "mix-edges")
     # a source without an edge needs nothing
-    salted = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = ranked.withColumn("salt", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "size"), F.lit(SALTS)).cast("int"))
-    joined = spread.join(salted, spread.source.eqNullSafe(salted.s) & (spread.salt == salted.salt), "left").drop("salt", "s")
+    joined = _small_join(ranked, edges, {"source": "s"}, F.col("key"), "left")
     place = F.when(F.col("rank").isNull(), "out").when(F.col("at1").isNull(), "out").when(F.col("b1") < F.col("at1"), "in").when(F.col("b1") > F.col("at1"), "out")
     place = place.when(F.col("b2") < F.col("at2"), "in").when(F.col("b2") > F.col("at2"), "out").otherwise("edge")
     joined = joined.withColumn("place", place)
     edge = joined.where("place = 'edge'")
-    upto = Window.partitionBy("source", "b2").orderBy("rank", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source", "b2").orderBy("rank", F.col("id").asc_nulls_last(), "size", "key").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("taken", F.col("below2") + F.sum("size").over(upto) - F.col("size") / 2.0 <= F.col("need"))
     rest = joined.where("place <> 'edge'").withColumn("taken", F.col("place") == "in")
     both = edge.unionByName(rest)
-    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.floor("m") + F.col("taken").cast("int")).cast("int").alias("copies"))
+    return both.select("id", "key", "source", "size", "source_size", "target", (F.floor("m") + F.col("taken").cast("int")).cast("int").alias("copies"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
+    """id, source, size, source_size, target, copies of every row."""
+    return _mixed(df, id_col, text_col, source_col, **how).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
 
 
 def _edge(rows: DataFrame, start: list[str], bin_col: str) -> DataFrame:
@@ -104,21 +126,24 @@ def _edge(rows: DataFrame, start: list[str], bin_col: str) -> DataFrame:
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
-    """The mix itself: each row of df as often as the mix takes it, in df's columns. Rows alike in id, size and source share their copies evenly."""
-    copies = mix(df, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size"), F.col(source_col).alias("_mix_source")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    own = df.withColumn("_own_size", word_count(F.col(text_col)))
-    on = own[id_col].eqNullSafe(copies["_mix_id"]) & (own["_own_size"] == copies["_mix_size"]) & own[source_col].cast("string").eqNullSafe(copies["_mix_source"])
-    rows = own.join(copies.where("_n > 0"), on)
-    alike = Window.partitionBy("_mix_id", "_mix_size", "_mix_source").orderBy(F.xxhash64(text_col))
-    single = rows.where("_rows = 1").withColumn("_times", F.col("_n"))
-    several = rows.where("_rows > 1").withColumn("_k", F.row_number().over(alike)).withColumn("_times", F.expr("_n div _rows + IF(_k <= _n % _rows, 1, 0)")).drop("_k")
-    both = single.unionByName(several).where("_times > 0")
-    return both.withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*df.columns)
+    """The mix itself: each row of df as often as the mix takes it, in df's columns, which may have any names. Rows alike in id (or, without one, in text),
+    size and source share their copies evenly."""
+    k, w, s, n, rows_, at, times, take = fresh(df, "_key", "_words", "_source", "_n", "_rows", "_at", "_times", "_take")
+    copies = _mixed(df, id_col, text_col, source_col, **how).groupBy(F.col("key").alias(k), F.col("size").alias(w), F.col("source").alias(s)).agg(F.sum("copies").alias(n), F.count("*").alias(rows_))
+    own = df.withColumns({k: _key(F.col(id_col), F.col(text_col)), w: word_count(F.col(text_col)), s: F.col(source_col).cast("string")})
+    # a missing source would be no partner; after this all three are plain keys, and those alike in them are few unless their rows are
+    fill = lambda d: d.withColumn(s, F.coalesce(F.concat(F.lit("="), s), F.lit("")))
+    rows = fill(own).join(fill(copies.where(F.col(n) > 0)), [k, w, s])
+    alike = Window.partitionBy(k, w, s).orderBy(F.xxhash64(text_col))
+    single = rows.where(F.col(rows_) == 1).withColumn(times, F.col(n))
+    several = rows.where(F.col(rows_) > 1).withColumn(at, F.row_number().over(alike)).withColumn(times, F.expr(f"{n} div {rows_} + IF({at} <= {n} % {rows_}, 1, 0)")).drop(at)
+    both = single.unionByName(several).where(F.col(times) > 0)
+    return both.withColumn(take, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s0),
 s2 AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM s1),
@@ -135,11 +160,11 @@ c3 AS (SELECT *, (target - CAST(coalesce(sum(CASE WHEN capped THEN 3 * words END
 c4 AS (SELECT *, CASE WHEN capped THEN CAST(3.0 AS DOUBLE) ELSE coalesce(level, 0) * g END AS m FROM c3),
 c AS (SELECT *, target - CAST(sum(CAST(floor(m) AS BIGINT) * words) OVER (PARTITION BY source) AS DOUBLE) AS need FROM c4),
 r0 AS (SELECT d.*, c.source_size, c.target, c.m, c.need, c.m - floor(c.m) AS p,
-    (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
+    (CAST(CAST('0x' || substr(md5('mix:' || d.key), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND CAST(length(bin(d.size)) AS BIGINT) = c.g),
 r1 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM r0),
 r2 AS (SELECT *, q / (1 + q) AS rank FROM r1),
-r3 AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r2)
+r3 AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r2)
 SELECT doc_id, size, source_size, target,
   CAST(size * (CAST(floor(m) AS BIGINT) + CASE WHEN rank IS NOT NULL AND CAST(upto AS DOUBLE) - size / 2.0::DOUBLE <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken,
   CAST(CAST(floor(m) AS BIGINT) + CASE WHEN rank IS NOT NULL AND CAST(upto AS DOUBLE) - size / 2.0::DOUBLE <= need THEN 1 ELSE 0 END AS INTEGER) AS copies
