@@ -9,8 +9,8 @@ move once, into their shard's ranges, and are numbered there.
 
 Law `bytes`: the shards' sizes are near equal. Equal texts stay in one shard unless their group alone exceeds the
 tolerance at a boundary. Null text: no bytes, size 16. Null ids hash as the empty string. Rows equal in text and id
-can't be told apart: they share a key and stay together. An empty table gives an empty result. Columns of the result
-replace clashing ones.
+can't be told apart: they share a key and stay together. An empty table gives an empty result. The result's columns size,
+shard and slot replace those of the table, which may have any others; the id may not have one of these names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import fresh, materialize
 
 OVERHEAD = 16
 #: Bits of the key's two halves; each is probed from its highest bit.
@@ -134,8 +134,10 @@ def histogram_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
         return search(0, shards - 1)
 
-    # a shard is numbered in pieces of bounded size: ranges of the first half, and of the second half in case one text fills the shard
-    side = max(1, min(1 << 10, math.isqrt(max(0, total // (shards * range_bytes) - 1)) + 1))
+    # a shard is numbered in pieces of bounded size: ranges of the first half, and of the second half in case one text fills the shard;
+    # at most about half a million of them at any size of the input, so that their counts can be broadcast and rows move once
+    piece_bytes = max(range_bytes, total // 500_000 + 1)
+    side = max(1, min(1 << 10, math.isqrt(max(0, total // (shards * piece_bytes) - 1)) + 1))
 
     def part(half: Column, n: int) -> Column:
         return F.floor((half.cast("double") + float(1 << 63)) / float((1 << 64) // n)).cast("long")
@@ -143,13 +145,14 @@ def histogram_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     def piece(first: Column, second: Column) -> Column:
         return part(first, shards * side) * (side + 1) + part(second, side)
 
-    rows = df.withColumn("_h1", h1).withColumn("_h2", h2).withColumn("size", size)
-    rows = rows.withColumn("shard", shard_of(F.col("_h1"), F.col("_h2"))).withColumn("_piece", piece(F.col("_h1"), F.col("_h2")))
-    own = keys.withColumnsRenamed({"h1": "_h1"}).select(shard_of(F.col("_h1"), F.col("h2")).alias("shard"), piece(F.col("_h1"), F.col("h2")).alias("_piece"))
-    counts = own.groupBy("shard", "_piece").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select(F.col("shard").alias("_s"), F.col("_piece").alias("_p"), "_before")
-    inside = Window.partitionBy("shard", "_piece").orderBy("_h1", "_h2", F.col(id_col).asc_nulls_first())
-    rows = rows.withColumn("_n", F.row_number().over(inside))
-    rows = rows.join(counts, (rows["shard"] == counts["_s"]) & (rows["_piece"] == counts["_p"]))
-    return rows.withColumn("slot", (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_h1", "_h2", "_piece", "_n", "_s", "_p", "_before")
+    own = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
+    a, b, s, p, n, before = fresh(df, "_h1", "_h2", "_shard", "_piece", "_n", "_before")
+    w = fresh(df, "_size")[0]
+    rows = df.select(*[F.col(f"`{c}`") for c in own], h1.alias(a), h2.alias(b), size.alias(w))
+    rows = rows.withColumn(s, shard_of(F.col(a), F.col(b))).withColumn(p, piece(F.col(a), F.col(b)))
+    counts = keys.select(shard_of(F.col("h1"), F.col("h2")).alias(s), piece(F.col("h1"), F.col("h2")).alias(p)).groupBy(s, p).agg(F.count("*").alias(n))
+    upto = Window.partitionBy(s).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(s, p, F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(before))
+    inside = Window.partitionBy(s, p).orderBy(a, b, F.col(id_col).asc_nulls_first())
+    rows = rows.withColumn(n, F.row_number().over(inside)).join(F.broadcast(counts), [s, p])
+    return rows.select(*[F.col(f"`{c}`") for c in own], F.col(w).alias("size"), F.col(s).alias("shard"), (F.col(before) + F.col(n) - 1).cast("long").alias("slot"))
