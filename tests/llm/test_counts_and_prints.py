@@ -95,14 +95,25 @@ def test_compare_with_next(spark):
         n = len(t) // 4
         changed = t[: len(t) - n] + ordered[(k + 1) % len(ordered)][1][:n]
         expected.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), fingerprints.as_hex(fingerprints.signature(t)), fingerprints.as_hex(fingerprints.signature(changed))))
-    for per_range in (2, 1000):
-        rows = fingerprints.compare_with_next(df, rows_per_range=per_range).collect()
+    for how in ({"rows_per_range": 2}, {"rows_per_range": 1}, {}, {"rows_per_range": 1, "most_cuts": 2}, {"rows_per_range": 1, "most_cuts": 3, "most_parts": 2}):
+        rows = fingerprints.compare_with_next(df, **how).collect()
         assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in rows if r.doc_id is not None) == sorted(expected)
         assert len(rows) == len(texts) and all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
     assert fingerprints.compare_with_next(df.limit(0)).count() == 0
     assert fingerprints.fingerprints(df).count() == len(texts)
 
 
+def test_buckets_keep_the_order(spark):
+    """Bisection over many cuts, with parts between them, is as counting them."""
+    rng = random.Random(5)
+    ids = sorted(rng.randrange(-(1 << 62), 1 << 62) for _ in range(300)) + [7, 7, 8]
+    cuts = sorted(rng.sample(ids, 37))
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r.id: (r.a, r.b) for r in df.select("id", fingerprints._bucket(F.col("id"), cuts, min(ids), max(ids), 1).alias("a"), fingerprints._bucket(F.col("id"), cuts, min(ids), max(ids), 5).alias("b")).collect()}
+    assert all(a == sum(c < i for c in cuts) and b // 5 == a for i, (a, b) in got.items())
+    assert [b for _, (_, b) in sorted(got.items())] == sorted(b for _, b in got.values())
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "a", " a ", "a\x0bb\x0cc\td\re\nf g", "a\u00a0b c"]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t")).alias("n")).collect()]
@@ -182,4 +193,19 @@ def test_archives_round_trip(spark, tmp_path):
     heads = [h for f in files for h, _ in warc.read_records(open(f, "rb"))]
     ids = {h["warc-record-id"] for h in heads}
     assert len(ids) == len(rows) and all(h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit")
+    assert all(f.name.endswith((".warc.gz", ".crc")) for f in (tmp_path / "w").glob("*/*"))
     assert warc.deduplicated_archives(df.limit(0)).count() == 0
+    named = warc.deduplicated_archives(df.where("page_id IS NOT NULL").withColumn("page_id", F.concat(F.lit("p-"), F.col("page_id")))).collect()
+    assert len(named) == len(rows) - 1 and {(r.page_id, r.refers_to) for r in named if r.record_type == "revisit"} >= {("p-1", "p-9"), ("p-2", "p-9")}
+
+
+def test_archives_sweep(tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"x")
+    half = warc.Archive(f"file://{tmp_path}/b.warc.gz")
+    half.write(b"y")
+    warc.sweep(f"file://{tmp_path}")
+    assert [f.name for f in tmp_path.iterdir()] == ["a.warc.gz"]
+    gone = warc.Archive(f"file://{tmp_path}/c.warc.gz")
+    gone.abandon()
+    warc.sweep(f"file://{tmp_path}/none")
+    assert [f.name for f in tmp_path.iterdir()] == ["a.warc.gz"]

@@ -5,7 +5,9 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontamination, jaccard, mixing, quality, sharding, toxicity
 
@@ -76,6 +78,51 @@ def test_frequent_shingles_come_last_and_lose_no_link(spark, monkeypatch):
     assert got == sorted(map(repr, brute_join(rows)))
 
 
+def crowds():
+    """Groups of near copies of several sizes, that drift apart and share a passage."""
+    rng = random.Random(66)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    passage, texts = [word() for _ in range(25)], []
+    for n, copies in ((8, 30), (40, 60), (41, 20), (90, 25)):
+        base = passage[: n // 3] + [word() for _ in range(n)]
+        for k in range(copies):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.choice([-1, rng.randrange(len(copy))])] = word()
+            if k % 3 == 0:
+                base = copy
+            texts.append(" ".join(copy + ([word()] * (k % 2))))
+    return [(k, t) for k, t in enumerate([*texts, *texts[:5], None, ""])]
+
+
+@pytest.mark.parametrize("chunk, hot", [(1024, False), (4, False), (4, True), (1024, True)])
+def test_crowded_signatures_lose_no_link(spark, monkeypatch, chunk, hot):
+    """Tiles of one chunk and of many, with signatures that don't move and without."""
+    for name, value in {"CROWDED": 3, "CHUNK": chunk, "ELEMENTS": 400 if chunk == 4 else 1 << 19, **({"HOT_ROWS": 20, "HOT_PART": 400, "PROBED": 1} if hot else {})}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = crowds()
+    got = sorted(map(repr, ((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.jaccard_join(docs(spark, rows)).collect())))
+    assert got == sorted(map(repr, brute_join(rows)))
+
+
+def test_tiles_are_brute_force():
+    rng = np.random.default_rng(4)
+    for g, spread in ((2, 10), (40, 30), (40, 3000), (150, 400)):
+        base = rng.integers(0, 1 << 60, 60, np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(0, spread, rng.integers(1, 8)).astype(np.uint64)])) for _ in range(g)]
+        expected = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        assert (jaccard.overlaps(sets) == expected).all()
+        n, copies = np.array([len(s) for s in sets]), rng.integers(1, 5, g)
+        for side in (np.zeros(g, int), np.arange(g) % 2):
+            link = 100 * expected >= 80 * (n[:, None] + n[None, :] - expected)
+            np.fill_diagonal(link, False)
+            if side.any():
+                link &= side[:, None] != side[None, :]
+            linked, label = jaccard.tile_links(sets, side, copies, 80)
+            assert (linked == link @ copies).all() and all((label[np.flatnonzero(row)] == label[k]).all() for k, row in enumerate(link))
+            assert all(label[k] <= k and label[label[k]] == label[k] for k in range(g))
+
+
 def test_boundary_has_the_least_cost():
     sizes = [(n, 1000 // n) for n in range(1, 200)]
     for others in (0.0, 3.0, 50.0):
@@ -144,7 +191,8 @@ def test_templates():
     torn = changed.replace("does Boris", "does Clara")
     assert found(exact) == [(1, True)] and found(changed) == [(1, False)] and found(torn) == []
     assert found(ITEMS[1][1].upper()) == [(2, True)] and found(before + ITEMS[3][1] + ".") == [(4, True)]
-    assert found("the reaction of hydrogen with oxygen gives water") == [] and found(None) == [] and found("tiny item") == []
+    assert found("the reaction of hydrogen with oxygen gives water") == [] and found(None) == [] and found("tiny item") == [(3, True)] and found("Behind a sentence. Tiny item! And on") == [(3, True)]
+    assert found("no tiny item here") == [] and found("tiny items") == []
     assert found("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16") == []
 
 
@@ -188,6 +236,127 @@ def test_slots_may_meet_and_a_change_leaves_the_rest():
     assert found(boat.replace("river as", "river just as")) == [(3, True)]
 
 
+def test_sentence_names_meet_names_within():
+    items = [(1, "Alice buys 5 apples and 3 pears today in Paris"), (2, "drei Hunde laufen 20 kg schwer durch den langen dunklen Park"), (3, "Yes")]
+    m = decontamination.Matcher(items)
+    found = lambda t: [(m.ids[x.item], x.exact) for x in m.find(t)]
+    assert found("we know Alice buys 5 apples and 3 pears today in Paris and so on") == [(1, True)]
+    assert found("we know Carol buys 7 apples and 4 pears today in London and so on") == [(1, False)]
+    assert found("It rained. Carol buys 7 apples and 4 pears today in London.") == [(1, False)]
+    assert found("we know Carol buys seven apples and 4 pears today in London and so on") == [(1, False)]
+    assert found("es heißt vier Hunde laufen 30 kg schwer durch den langen dunklen Park") == [(2, False)]
+    assert found("She said yes to it") == [] and found("Is it so?\nYes.\nIt is") == [(3, True)] and found("yes") == [(3, True)]
+
+
+def test_words_are_pythons():
+    """Of texts in one batch, with white space, quotes and capitals of many kinds, runs of signs, and letters whose lower case is longer."""
+    rng = random.Random(8)
+    signs = "aB éÉßẞİKЖжΣσ0٣.,;:!?…\"'()[]{}*_`-|«»„“”‘’–—¿¡\n\r\t\x0b\x1c\u00a0\u2003\u2028\u3000😀%°"
+    texts = ["", " ", "...", "x", "-" * 100 + "Mid" + "!" * 90, "É. İstanbul K", "end\u00a0"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(500)]
+    r = decontamination.read(pa.array([None, *texts], pa.string()).slice(1))
+    around = ".,;:!?…\"'()[]{}«»„“”‘’*_`-–—|¿¡"
+    plain = lambda w: w.translate({ord(k): v for k, v in {**dict.fromkeys("„“”‘’", '"\0\0'), **dict.fromkeys("«»", '"\0'), **dict.fromkeys("–—", "-\0\0"), "…": ".\0\0", "¿": "(\0", "¡": "!\0"}.items()})
+    lower = lambda w: "".join(c if c in decontamination._ODD else c.lower() for c in w)
+    for k, text in enumerate(texts):
+        got = [r.word(j).decode() for j in range(r.first[k], r.first[k + 1])]
+        words = [w.strip(around) for w in re.split(r"[\s\x1c-\x1f]+", text)]
+        expected = [lower(plain(w)) for w in words if w]
+        assert [w.replace("ς", "σ") for w in got] == [w.replace("ς", "σ") for w in expected], text
+
+
+def brute_windows(text):
+    """Words, and kinds in both readings, of plain texts: one word after the other."""
+    words = text.split()
+    kinds = []
+    for k, w in enumerate(words):
+        bare = w.strip(".?").lower()
+        own = 1 if re.fullmatch(r"\d+", bare) else 2 if bare in ("kg", "hours") else 0
+        around = words[max(0, k - 4) : k + 5]
+        capital = own == 0 and w[0].isupper() and 2 * sum(x[0].isupper() for x in around) <= len(around)
+        first = k == 0 or words[k - 1][-1] in ".?"
+        kinds.append((3 if capital and not first else own, 3 if capital else own))
+    return [w.strip(".?").lower() for w in words], kinds
+
+
+def brute_match(item, text):
+    """Whether an alignment of item and text counts, from the definition: readings, windows, runs, slots."""
+    (b, b_kinds), (d, d_kinds) = brute_windows(item), brute_windows(text)
+    width = min(8, len(b))
+    signs = lambda words, kinds, reading: [w if reading == 2 or k[reading] == 0 else k[reading] for w, k in zip(words, kinds)]
+    b_signs = [signs(b, b_kinds, r) for r in range(3)]
+    d_signs = [signs(d, d_kinds, r) for r in range(3)]
+    runs = {}
+    for at in range(len(b) - width + 1):
+        for place in range(len(d) - width + 1):
+            if any(x[at : at + width] == y[place : place + width] for x in b_signs for y in d_signs):
+                runs.setdefault(place - at, []).append(at)
+    groups = [[(at, o) for at in ats] for o, ats in runs.items()]
+    offsets, chain = sorted(runs), []
+    for o in [*offsets, 1 << 30]:
+        if chain and o - chain[-1] > 4:
+            groups.append([(at, k) for k in sorted(chain, key=lambda k: -len(runs[k])) for at in runs[k]])
+            chain = []
+        chain.append(o)
+    best = None
+    for group in groups:
+        copied = [(at, o) for at, o in group if b[at : at + width] == d[at + o : at + o + width]]
+        same = {k for at, _ in copied for k in range(at, at + width)}
+        for taken in (group, copied):
+            theirs = {}
+            for at, o in taken:
+                for k in range(at, at + width):
+                    theirs.setdefault(k, d[k + o])
+            literal = sum(k in same or b_kinds[k][0] == 0 and b[k] == v for k, v in theirs.items())
+            if len(theirs) < min(len(b), 13) or literal < min(6, (len(theirs) + 1) // 2):
+                continue
+            value, agree = {}, True
+            for k, v in theirs.items():
+                if b_kinds[k][1] and (b_kinds[k][0] or b[k] != v):
+                    agree &= value.setdefault((b_kinds[k][1], b[k]), v) == v
+            if agree:
+                best = max(best or (0, False), (len(theirs), all(b[k] == v for k, v in theirs.items())))
+                break
+    return best
+
+
+def test_templates_are_brute_force():
+    rng = random.Random(33)
+    vocabulary = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("lan", "mer", "nis", "pot")]
+    names, units = ["Anna", "Boris", "Clara", "Dmitri"], ["kg", "hours"]
+
+    def sentence(n):
+        out = []
+        for k in range(n):
+            kind = rng.random()
+            word = rng.choice(names) if kind < 0.12 else str(rng.randrange(100)) if kind < 0.24 else rng.choice(units) if kind < 0.28 else rng.choice(vocabulary)
+            out.append(word.capitalize() if k == 0 else word)
+        return out
+
+    items = [(k, " ".join(sentence(rng.randrange(4, 30))) + rng.choice(["", ".", "?"])) for k in range(25)]
+    texts = []
+    for k in range(150):
+        words = items[rng.randrange(25)][1].split()
+        rename, shift = dict(zip(names, rng.sample(names, 4))), rng.randrange(1, 9)
+        if k % 3:
+            words = [rename.get(w, str(int(w) + shift) if w.isdigit() else w) for w in words]
+        if k % 5 == 0:
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        if k % 7 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(vocabulary))
+        texts.append(" ".join([*sentence(rng.randrange(6)), *words, *sentence(6)]))
+    m = decontamination.Matcher(items)
+    found = m.find_all(pa.array(texts))
+    kinds = set()
+    for text, matches in zip(texts, found):
+        got = {m.ids[x.item]: (x.covered, x.exact) for x in matches}
+        expected = {i: b for i, t in items if (b := brute_match(t, text))}
+        assert got.keys() == expected.keys() and all(got[i][0] == expected[i][0] for i in got)
+        kinds |= {e for _, e in expected.values()}
+    assert kinds == {True, False}
+    # texts of a batch don't meet
+    assert [m.find(t) for t in texts[:20]] == found[:20]
+
+
 def test_contaminated_is_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(40)]
@@ -197,7 +366,7 @@ def test_contaminated_is_brute_force(spark):
         item = items[rng.randrange(20)][1].split()
         part = item[: max(5, rng.randrange(len(item) + 1))]
         rows[k] = (rows[k][0], rows[k][1] + " " + " ".join(part) + " tail")
-    rows += [(100, None), (101, ""), (102, " ".join(vocabulary * 500)), (7, rows[3][1])]
+    rows += [(100, None), (101, ""), (102, " ".join(vocabulary * 60)), (7, rows[3][1])]
 
     def brute(text, item):
         d, b = (text or "").split(), item.split()
@@ -217,9 +386,9 @@ def test_contaminated_is_brute_force(spark):
     expected = {}
     for k, t in rows:
         for i, b in items:
-            if t is not None and len(t) < 5000 and (c := brute(t, b)):
+            if t is not None and (c := brute(t, b)):
                 expected[k, i] = max(c, expected.get((k, i), 0))
-    assert expected and {k: v for k, v in got.items() if k[0] != 102} == expected
+    assert expected and got == expected
     clean = decontamination.without_benchmark(df, bench)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} & {k for k, _ in expected} <= {7}
     assert decontamination.contaminated(df.limit(0), bench).count() == 0 and decontamination.without_benchmark(df, bench.limit(0)).count() == len(rows)
@@ -236,10 +405,14 @@ def test_benchmark_in_blocks_finds_the_same(spark, monkeypatch):
 def mixture_rows():
     rng = random.Random(9)
     rows = [(k, " ".join(["w"] * int(rng.paretovariate(0.8) + 1)), rng.choice(["a", "b", "b", "b", "é", "z"])) for k in range(300)]
+    rows += [(None, f"no id {'w ' * k}", "b") for k in range(9)] + [(None, "no id w", "b")]
     return rows + [(300, None, "a"), (301, "", None), (302, "two words", None), (302, "two words", None), (303, " \t ", "empty"), (304, "x", "Z")]
 
 
-def test_mix_is_its_sql(spark, tmp_path):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_mix_is_its_sql(spark, tmp_path, monkeypatch, small):
+    """With tables of sources that are broadcast, and with salted joins."""
+    monkeypatch.setattr(mixing, "SMALL", small)
     df = docs(spark, mixture_rows())
     df.write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
@@ -277,13 +450,19 @@ def test_mixed_rows(spark):
     assert out.columns == df.columns
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {k: v for k, v in n.items() if v}
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0)).count() == 0
+    clash = df.withColumnsRenamed({"lang": "_key", "n_chars": "_n", "id": "_Rows", "cid": "_times"})
+    assert mixing.mixed_rows(clash).columns == clash.columns and mixing.mixed_rows(clash).count() == out.count()
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_shards(spark, hot):
+def shard_rows(hot):
     rng = random.Random(10)
     rows = [(k if k else None, None if k == 5 else "same text for many rows" if hot and k % 3 == 0 else "t" * rng.randrange(200)) for k in range(2000)]
-    rows += [(1, "same row")] * 3
+    return rows + [(1, "same row")] * 3
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards(spark, hot):
+    rows = shard_rows(hot)
     for bytes_ in (128 << 20, 200):
         got = sharding.histogram_shards(docs(spark, rows), 8, range_bytes=bytes_).collect()
         by = {}
@@ -296,6 +475,43 @@ def test_shards(spark, hot):
         assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
     assert all(r["size"] == len(r.text or "") + 16 for r in got)
     assert sharding.histogram_shards(docs(spark, rows).limit(0), 8).count() == 0 and sharding.histogram_shards(docs(spark, rows[:1]), 8).count() == 1
+    clash = docs(spark, rows).withColumnsRenamed({"lang": "_h1", "source": "_piece", "id": "_SIZE", "cid": "_before"})
+    put = sharding.histogram_shards(clash, 8)
+    assert put.columns == [*[c for c in clash.columns if c not in ("size", "shard")], "size", "shard", "slot"] and put.count() == len(rows)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_are_brute_force(spark, hot):
+    """Splitters, shards and slots from one sorted list of the keys."""
+    rows, shards, tolerance = shard_rows(hot), 8, 0.01
+    df = docs(spark, rows)
+    h1, h2 = sharding._keys(F.col("text"), F.col("doc_id"))
+    keyed = [(r.a + (1 << 63), r.b + (1 << 63), len(r.text or "") + 16) for r in df.select(h1.alias("a"), h2.alias("b"), "text").collect()]
+    keyed.sort()
+    total = sum(s for *_, s in keyed)
+    for bits in (3, 12):
+        keys = df.select(h1.alias("h1"), h2.alias("h2"), (F.coalesce(F.length("text"), F.lit(0)) + 16).alias("size"))
+        cuts, counted, _ = sharding.splitters(keys, shards, tolerance, bits)
+        assert counted == total and cuts == sorted(cuts)
+        for k, cut in enumerate(cuts, 1):
+            under = sum(s for a, b, s in keyed if (a, b) < cut)
+            goal = total * k / shards
+            # no cut between two keys is nearer, unless this one is near enough
+            sums, best = {}, goal
+            for a, b, s in keyed:
+                sums[a, b] = sums.get((a, b), 0) + s
+            run = 0
+            for s in sums.values():
+                run += s
+                best = min(best, abs(run - goal))
+            assert abs(under - goal) <= max(tolerance * total / shards, best)
+    got = {}
+    for r in sharding.histogram_shards(df, shards).select("shard", "slot", h1.alias("a"), h2.alias("b")).collect():
+        got.setdefault(r.shard, {})[r.slot] = (r.a + (1 << 63), r.b + (1 << 63))
+    cuts = sharding.splitters(keys, shards, tolerance)[0]
+    for k in range(shards):
+        mine = [(a, b) for a, b, _ in keyed if sum((a, b) >= c for c in cuts) == k]
+        assert [got.get(k, {})[j] for j in range(len(mine))] == mine
 
 
 def test_grammar_weakens_and_strengthens():

@@ -1,125 +1,268 @@
 """Benchmark decontamination by canonical templates.
 
-Words stand between any white space, and are lower-cased and stripped of punctuation; the end of a line is an end of a sentence, no more; numbers (digits, with signs, separators or a unit attached, and small
-number words), names (capitalised inside a sentence, among words
-that mostly aren't) and units become typed placeholders, whose words are kept as slots.
-Windows of `width` words of every benchmark item are hashed into a table, as template words and as the plain words, and
-every window of every document is looked up in it, in both readings. Matches of one item at one offset form an alignment; it counts if it covers min(item, `least`) words of
-the item, enough of them not placeholders (or in windows copied word by word), and if its slots agree: one value of the item always stands for one of the
-document. Where they don't, windows copied word by word are judged alone. Alignments at neighbouring offsets count together as well. Equal slots: exact; else the question is re-parameterised.
-
-The benchmark is taken in blocks of bounded size, each of them broadcast and held against all documents.
-
-Null or empty text, documents or items: no windows, no match. Items shorter than a window are one window, items of fewer
-than 4 words are not looked for. Repeated items, equal ids: the best alignment of each id. Documents without id are
-matched all the same. Several copies in one document: the best one is reported. Empty tables: an empty result. Texts are
-read whole. Extra columns are ignored.
+Words stand between any white space, and are lower-cased and stripped of punctuation; the end of a line is an end of a
+sentence, no more. Numbers (digits, with signs, separators or a unit attached, and number words), names (capitalised inside
+a sentence, among words that mostly aren't) and units become typed placeholders, whose words are kept as slots. A capital
+that begins a sentence may be a name or not, so that there are three readings of a text: without such names, with them, and
+the plain words. Windows of `width` words of every benchmark item are hashed into a table in all readings, and every window
+of every document is looked up in it, in all readings. Matches of one item at one offset form an alignment; it counts if it
+covers min(item, `least`) words of the item, enough of them not placeholders (or in windows copied word by word), and if its
+slots agree: one value of the item always stands for one of the document. Where they don't, windows copied word by word are
+judged alone. Alignments at neighbouring offsets count together as well. Equal slots: exact; else the question is
+re-parameterised.
+
+A batch of texts is read at once, as arrays over its bytes and words; only words with digits and windows that an item has are
+looked at one by one. The benchmark is taken in blocks of bounded size, each of them broadcast and held against all documents.
+
+Null or empty text, documents or items: no windows, no match. Items shorter than a window are one window; items of fewer
+than 4 words must be a whole sentence or line of the document, word by word, as they stand in any text by chance. Repeated
+items, equal ids: the best alignment of each id. Documents without id are matched all the same. Several copies in one
+document: the best one is reported. Empty tables: an empty result. Texts are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.common import mix64, slices
+from tidewell.llm.shingles import BASE, INVERSE, powers
 
 WIDTH, LEAST, LITERAL = 8, 13, 6
+#: Items of fewer words are looked for as whole sentences.
+SHORT = 4
 #: Alignments of an item whose offsets differ by so many words at most are one copy with words put in or left out.
 SHIFT = 4
 BLOCK_BYTES = 16 << 20
+#: Bytes of texts that are read at once.
+SLICE = 2 << 20
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
-_AROUND = ".,;:!?…\"'()[]{}«»„“”‘’*_`-–—|"
 _NUMBER = re.compile(r"[+\-±$€£#]*\d[\d.,:/]*(?:%|°|[a-zµ]{1,3})?")
-_NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
-_UNITS = set("kg g mg km m cm mm l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds mile miles foot feet inch inches meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres percent degree degrees mph kmh watt watts volt volts hz".split())
+#: English, German, French, Spanish; words that are articles or anything else more often are left out.
+_NUMBER_WORDS = set(
+    """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+    null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen
+    deux trois quatre cinq sept huit dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent cents mille millions
+    dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones""".split()
+)
+_UNITS = set(
+    """kg g mg km m cm mm l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent euro euros pound pounds mile miles foot feet inch inches
+    meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres percent degree degrees mph kmh watt watts volt volts hz
+    sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad gramm kilogramm kilometern
+    seconde secondes heure heures jour jours semaine semaines mois année années kilomètre kilomètres mètre mètres gramme grammes degré degrés
+    segundo segundos minuto minutos hora horas día días semana semanas mes meses año años kilómetro kilómetros metro metros gramo gramos litro litros grado grados dólar dólares""".split()
+)
 _HASH = {NUMBER: np.uint64(0x1F3A5C7E9B2D4F61), UNIT: np.uint64(0x2E4B6D8FA1C3E507), NAME: np.uint64(0x3D5C7B9AF8E6D4C2)}
+#: A random number for each byte.
+_BYTE = mix64(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-class Words(dict):
-    """word -> number of an entry in the arrays: hash, hash of the word itself, kind, capitalised, ends a sentence, is nothing but punctuation."""
-
-    def __init__(self, remember: int = 150_000):
-        super().__init__()
-        self.remember, self.n = remember, 0
-        self.hash = np.zeros(1 << 12, np.uint64)
-        self.plain = np.zeros(1 << 12, np.uint64)
-        self.flags = np.zeros((1 << 12, 4), np.uint8)
-        self.bare: list[str] = []
-
-    def renew(self) -> None:
-        """Between texts, so that numbers in use stay valid."""
-        if self.n > self.remember:
-            self.clear()
-            self.n, self.bare = 0, []
+def _set(*signs: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(signs)] = True
+    return out
 
-    def __missing__(self, word: str) -> int:
-        if self.n == len(self.hash):
-            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
-            self.plain = np.concatenate([self.plain, np.zeros_like(self.plain)])
-            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-        stripped = word.strip(_AROUND)
-        bare = stripped.lower()
-        kind = NUMBER if _NUMBER.fullmatch(bare) or bare in _NUMBER_WORDS else UNIT if bare in _UNITS or stripped in ("%", "°") else WORD
-        self.plain[self.n] = hash_text(bare)
-        self.hash[self.n] = _HASH[kind] if kind else self.plain[self.n]
-        self.flags[self.n] = kind, stripped[:1].isupper(), word[-1] in ".!?:", not stripped
-        self.bare.append(bare)
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
 
+_SPACE, _LINE, _DIGIT = _set(*range(9, 14), *range(0x1C, 0x21)), _set(10, 11, 12, 13, 0x1C, 0x1D, 0x1E), _set(*range(48, 58))
+#: What is stripped from words; 0 stands behind a quote or dash that was more than one byte.
+_STRIP, _CLOSE, _END = _set(0, *b".,;:!?\"'()[]{}*_`-|"), _set(0, *b"\"')]"), _set(*b".!?:")
+#: White space and punctuation beyond ASCII, in UTF-8, by the first byte: the bytes behind it, and what stands for it.
+_WIDE = {
+    0xC2: [((0x85,), 10), ((0xA0,), 32), ((0xAB,), 34), ((0xBB,), 34), ((0xA1,), 33), ((0xBF,), 40)],
+    0xE1: [((0x9A, 0x80), 32)],
+    0xE2: [*(((0x80, k), 10 if k in (0xA8, 0xA9) else 32) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), ((0x81, 0x9F), 32), ((0x80, 0xA6), 46), *(((0x80, k), 34) for k in (0x9C, 0x9D, 0x9E, 0x98, 0x99)), *(((0x80, k), 45) for k in (0x93, 0x94))],
+    0xE3: [((0x80, 0x80), 32)],
+}
+#: Letters whose lower case has another length in UTF-8.
+_ODD = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if len(c.lower().encode()) != len(c.encode()))
+_ODD_LEADS = sorted({c.encode()[0] for c in _ODD})
+_EVEN = re.compile(f"[^{re.escape(_ODD)}]+")
+
+
+def plainer(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with all white space and punctuation as ASCII signs, in the same places."""
+    out = data
+    for lead, kinds in _WIDE.items():
+        leads = np.flatnonzero(data[: len(data) - len(kinds[0][0])] == lead)
+        for rest, sign in kinds if len(leads) else ():
+            at = leads
+            for k, byte in enumerate(rest, 1):
+                at = at[data[at + k] == byte]
+            if len(at):
+                out = data.copy() if out is data else out
+                out[at] = sign
+                for k in range(1, len(rest) + 1):
+                    out[at + k] = sign if _SPACE[sign] else 0
+    return out
 
-def hash_text(text: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 5)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in lower case, in the same places; the few letters whose lower case is longer or shorter stay."""
+    text = data.tobytes().decode("utf-8", "surrogateescape")
+    there = np.bincount(data, minlength=256) > 0
+    if there[_ODD_LEADS].any() and any(c in text for c in _ODD):
+        raw = _EVEN.sub(lambda m: m.group().lower(), text)
+    else:
+        raw = text.lower()
+    return np.frombuffer(raw.encode("utf-8", "surrogateescape"), np.uint8)
+
+
+def _shrunk(data: np.ndarray, kind: np.ndarray, at: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
+    """Places moved by step over signs of a kind, as far as stop."""
+    at = at.copy()
+    some = np.flatnonzero(at != stop)
+    for _ in range(16):
+        some = some[kind[data[at[some]]]]
+        at[some] += step
+        some = some[at[some] != stop[some]]
+        if not len(some):
+            return at
+    # long runs: the nearest other sign of every place
+    place = np.arange(len(data))
+    if step < 0:
+        near = np.maximum.accumulate(np.where(kind[data], -1, place))
+        at[some] = np.maximum(near[at[some]], stop[some])
+    else:
+        near = np.minimum.accumulate(np.where(kind[data], len(data), place)[::-1])[::-1]
+        at[some] = np.minimum(near[at[some]], stop[some])
+    return at
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the words at these places."""
+    size = 1 << max(16, int(len(data)).bit_length())
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(BASE, size)[: len(data)], dtype=np.uint64)])
+        return mix64((total[end] - total[start]) * powers(INVERSE, size)[start] + (end - start).astype(np.uint64))
+
+
+def _listed() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and kinds of the words with a kind of their own, at the places that their first 12 bits name, or behind."""
+    known, kinds = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+    for kind, words in ((NUMBER, _NUMBER_WORDS), (UNIT, {*_UNITS, "%", "°"} - _NUMBER_WORDS)):
+        for w in sorted(words):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            h = hashes_of(raw, np.array([0]), np.array([len(raw)]))[0]
+            at = int(h >> np.uint64(52))
+            while known[at]:
+                at = (at + 1) & 4095
+            known[at], kinds[at] = h, kind
+    return known, kinds
+
+
+_KNOWN, _KINDS = _listed()
+
+
+def kinds_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers and units among words in lower case."""
+    out, at = np.zeros(len(hashes), np.uint8), (hashes >> np.uint64(52)).astype(np.int64)
+    left = np.arange(len(hashes))
+    while len(left):
+        there = _KNOWN[at[left]]
+        same = there == hashes[left]
+        out[left[same]] = _KINDS[at[left[same]]]
+        left = left[~same & (there != 0)]
+        at[left] = (at[left] + 1) & 4095
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int32)])
+    for k in np.flatnonzero(digits[end] > digits[start]).tolist():
+        if _NUMBER.fullmatch(data[start[k] : end[k]].tobytes().decode("utf-8", "replace")):
+            out[k] = NUMBER
+    return out
 
 
 @dataclass
-class Template:
-    """hash and kind of each template word, the hash of the word itself, and its number in Words."""
-
-    hash: np.ndarray
-    plain: np.ndarray
+class Reading:
+    """The words of a batch of texts: where each text's begin (and, last, all end), their places in the bytes, whether they begin a sentence; kinds and hashes
+    without and with names that begin a sentence, and hashes of the words themselves."""
+
+    first: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    begins: np.ndarray
     kind: np.ndarray
-    ids: np.ndarray
-
-
-def template(text: str | None, words: Words) -> Template:
-    lines = [line.split() for line in (text or "").splitlines()]
-    ids = np.fromiter((words[p] for line in lines for p in line), np.int64)
-    if not len(ids):
-        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), ids)
-    flags = words.flags[ids]
-    after_end = np.concatenate([[1], flags[:, 2]])
-    after_end[np.cumsum([len(line) for line in lines])] = 1
-    after_end = after_end[:-1]
+    wide: np.ndarray
+    hashes: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.start[k] : self.end[k]].tobytes()
+
+
+def read(texts: pa.Array) -> Reading:
+    texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    data = plainer(data)
+    inside = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1] | cut[1:-1]
+    closes[:-1] &= ~inside[1:] | cut[1:-1]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    n, first = len(start), np.searchsorted(start, offsets)
+    a = _shrunk(data, _STRIP, start, end, 1)
+    b = _shrunk(data, _STRIP, end - 1, a - 1, -1) + 1
+    last = _shrunk(data, _CLOSE, end - 1, start - 1, -1)
+    lower = lowered(data)
+    keep = np.flatnonzero(a < b)
+    ends, capital = np.zeros(n, bool), np.zeros(n, bool)
+    own, hashed = np.zeros(len(keep), np.uint8), np.zeros(len(keep), np.uint64)
+    if n:
+        ends = (last >= start) & _END[data[last]]
+        a, b = a[keep], b[keep]
+        differs = lower[a] != data[a]
+        # a letter of more bytes may differ in the later ones
+        wide = np.flatnonzero(data[a] > 127)
+        for k in (1, 2, 3):
+            wide = wide[a[wide] + k < b[wide]]
+            wide = wide[(data[a[wide] + k] & 0xC0) == 0x80]
+            differs[wide] |= lower[a[wide] + k] != data[a[wide] + k]
+        capital[keep] = differs
+        hashed = hashes_of(lower, a, b)
+        own = kinds_of(lower, a, b, hashed)
+    lines = np.concatenate([[0], np.cumsum(_LINE[data], dtype=np.int32)])
+    after_end = np.ones(n + 1, bool)
+    if n:
+        after_end[1:n] = ends[:-1] | (lines[start[1:]] != lines[start[:-1]])
+    after_end[first] = True
+    after_end = after_end[:n]
     # where most words around are capitalised, as in titles, capitals name nothing
-    capitals, at = np.concatenate([[0], np.cumsum(flags[:, 1], dtype=np.int64)]), np.arange(len(ids))
-    lo, hi = np.maximum(at - 4, 0), np.minimum(at + 5, len(ids))
-    name = (flags[:, 0] == WORD) & (flags[:, 1] == 1) & (after_end == 0) & (2 * (capitals[hi] - capitals[lo]) <= hi - lo)
-    keep = flags[:, 3] == 0
-    kind = np.where(name, NAME, flags[:, 0])[keep]
-    return Template(np.where(name, _HASH[NAME], words.hash[ids])[keep], words.plain[ids[keep]], kind.astype(np.uint8), ids[keep])
-
-
-def windows(hashes: np.ndarray, widths: list[int]) -> list[np.ndarray]:
-    """Of each width (rising), the hashes of the windows that begin at each word; not mixed yet."""
-    out, h = [], np.zeros(len(hashes) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(widths[-1], len(hashes)) if widths else 0):
-            h = h[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[k:]
-            if k + 1 in widths:
-                out.append(h + np.uint64(k + 1))
-    return out + [np.zeros(0, np.uint64)] * (len(widths) - len(out))
+    capitals, at, text = np.concatenate([[0], np.cumsum(capital, dtype=np.int32)]), keep, np.repeat(np.arange(len(texts)), np.diff(first))[keep]
+    lo, hi = np.maximum(at - 4, first[:-1][text]), np.minimum(at + 5, first[1:][text])
+    capital = capital[keep] & (own == WORD) & (2 * (capitals[hi] - capitals[lo]) <= hi - lo)
+    sentence = np.cumsum(after_end, dtype=np.int32)[keep]
+    begins = np.ones(len(keep), bool)
+    begins[1:] = sentence[1:] != sentence[:-1]
+    name = capital & ~after_end[keep]
+    typed = np.where(own == NUMBER, _HASH[NUMBER], np.where(own == UNIT, _HASH[UNIT], hashed))
+    kind, wide = np.where(name, NAME, own).astype(np.uint8), np.where(capital, NAME, own).astype(np.uint8)
+    return Reading(np.searchsorted(keep, first), lower, a, b, begins, kind, wide, (np.where(name, _HASH[NAME], typed), np.where(capital, _HASH[NAME], typed), hashed))
+
+
+class Windows:
+    """Hashes of the windows of a batch's words, of any width, from sums over all of them."""
+
+    def __init__(self, hashes: np.ndarray):
+        size = 1 << max(16, int(len(hashes)).bit_length())
+        self.back = powers(INVERSE, size)
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(BASE, size)[: len(hashes)], dtype=np.uint64)])
+
+    def __call__(self, at: np.ndarray | slice, width: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            if isinstance(at, slice):
+                return (self.total[at.start + width : at.stop + width] - self.total[at]) * self.back[at] + np.uint64(width)
+            return (self.total[at + width] - self.total[at]) * self.back[at] + np.uint64(width)
 
 
 @dataclass
@@ -133,63 +276,98 @@ class Match:
 
 
 class Matcher:
-    """A block of benchmark items, and what of it stands in a text."""
+    """A block of benchmark items, and what of it stands in a batch of texts."""
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = WIDTH, least: int = LEAST, literal: int = LITERAL):
-        self.words = Words()
+    def __init__(self, items: Sequence[tuple[object, str | None]], width: int = WIDTH, least: int = LEAST, literal: int = LITERAL):
         self.most, self.least, self.literal = width, least, literal
         self.ids = [i for i, _ in items]
-        own = Words(1 << 60)
-        self.items = [template(t, own) for _, t in items]
-        self.values = [[own.bare[k] for k in t.ids] for t in self.items]
-        # windows of templates and of the words themselves: what is copied is found even where names are read otherwise
-        rows = []
-        for k, t in enumerate(self.items):
-            w = min(width, len(t.hash))
-            if w >= 4:
-                for hashes in (t.hash, t.plain):
-                    h = windows(hashes, [w])[0]
-                    rows.append((h, np.full(len(h), k), np.arange(len(h)), np.full(len(h), w)))
-        h, self.item, self.at, self.width = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [()] * 4))
-        h = mix64(h.astype(np.uint64))
-        order = np.argsort(h, kind="stable")
+        r = read(pa.array([t or "" for _, t in items], pa.large_string()))
+        bounds = [(int(a), int(b)) for a, b in zip(r.first[:-1], r.first[1:])]
+        self.values = [[r.word(k) for k in range(a, b)] for a, b in bounds]
+        self.kinds, self.wide = [r.kind[a:b] for a, b in bounds], [r.wide[a:b] for a, b in bounds]
+        length = np.diff(r.first)
+        wide = np.minimum(length, width)
+        item = np.repeat(np.arange(len(items)), length)
+        at = np.arange(len(item)) - r.first[:-1][item]
+        found = []
+        for w in sorted(set(wide[wide > 0].tolist())):
+            here = np.flatnonzero((wide[item] == w) & (at + w <= length[item]))
+            # windows of templates and of the words themselves: what is copied is found even where names are read otherwise
+            for hashes in r.hashes if w >= SHORT else r.hashes[2:]:
+                found.append((Windows(hashes)(here, w), item[here], at[here], np.full(len(here), w)))
+        h, self.item, self.at, self.width = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 4))
+        h = h.astype(np.uint64)
+        order = np.lexsort((self.at, self.item, h))
         self.known, self.item, self.at, self.width = h[order], self.item[order], self.at[order], self.width[order]
         self.widths = sorted(set(self.width.tolist()))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(h >> np.uint64(44)).astype(np.int64)] = True
-
-    def _aligned(self, doc: Template) -> dict[tuple[int, int], set[int]]:
-        """(item, place in the document less place in the item) -> places in the item of the windows that both have."""
-        out: dict[tuple[int, int], set[int]] = defaultdict(set)
-        parts = windows(doc.hash, self.widths)
-        if (doc.kind != WORD).any():
-            parts = parts + windows(doc.plain, self.widths)
-        h = mix64(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        hits = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-        if not len(hits):
-            return out
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        lo, hi = np.searchsorted(self.known, h[hits]), np.searchsorted(self.known, h[hits], "right")
-        places = hits - starts[np.searchsorted(starts, hits, "right") - 1]
-        some = lo < hi
-        for place, i, j in zip(places[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+        # about one bit in sixteen is set, at any size of the block
+        self.shift = np.uint64(64 - max(16, int(16 * len(h)).bit_length()))
+        self.bits = np.zeros(1 << (61 - int(self.shift)), np.uint8)
+        places = self._place(h)
+        np.bitwise_or.at(self.bits, (places >> np.uint64(3)).astype(np.int64), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def _hits(self, r: Reading) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the batch whose windows the table has, and from where to where it has them."""
+        n = len(r.start)
+        rest = np.repeat(r.first[1:], np.diff(r.first)) - np.arange(n)
+        apart = [None, r.hashes[1] != r.hashes[0], (r.kind != WORD)]
+        out = []
+        for hashes, odd in zip(r.hashes, apart):
+            if odd is not None:
+                odd = np.concatenate([[0], np.cumsum(odd)])
+            windows = Windows(hashes)
+            for w in self.widths:
+                if n < w or w < SHORT and hashes is not r.hashes[2] and odd is not None:
+                    continue
+                # readings that don't differ in a window are looked up once
+                h = windows(slice(0, n - w + 1), w)
+                place = self._place(h)
+                hit = ((self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                if odd is not None:
+                    hit &= odd[w:] != odd[: n - w + 1]
+                at = np.flatnonzero(hit)
+                at = at[rest[at] >= w]
+                if len(at):
+                    lo, hi = np.searchsorted(self.known, h[at]), np.searchsorted(self.known, h[at], "right")
+                    some = lo < hi
+                    out.append((at[some], lo[some], hi[some]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def find_all(self, texts: pa.Array) -> list[list[Match]]:
+        """The matches of each text."""
+        r = read(texts)
+        found: list[list[Match]] = [[] for _ in range(len(texts))]
+        if not len(self.known) or not len(r.start):
+            return found
+        place, lo, hi = self._hits(r)
+        by_text: dict[int, dict[tuple[int, int], set[int]]] = defaultdict(lambda: defaultdict(set))
+        of = np.searchsorted(r.first, place, "right") - 1
+        for text, p, i, j in zip(of.tolist(), place.tolist(), lo.tolist(), hi.tolist()):
             for k in range(i, j):
-                out[int(self.item[k]), place - int(self.at[k])].add(int(self.at[k]))
-        return out
+                item, at = int(self.item[k]), int(self.at[k])
+                if len(self.values[item]) < SHORT:
+                    end = p + len(self.values[item])
+                    if not r.begins[p] or not (end == r.first[text + 1] or r.begins[end]) or r.begins[p + 1 : end].any():
+                        continue
+                by_text[text][item, p - at].add(at)
+        for text, aligned in by_text.items():
+            best: dict[object, Match] = {}
+            for item, runs in self._runs(aligned):
+                m = self._judge(item, r, runs)
+                if m is None:
+                    continue
+                key = self.ids[item]
+                if key not in best or (m.covered, m.matched, m.exact) > (best[key].covered, best[key].matched, best[key].exact):
+                    best[key] = m
+            found[text] = list(best.values())
+        return found
 
     def find(self, text: str | None) -> list[Match]:
-        self.words.renew()
-        doc = template(text, self.words)
-        aligned = self._aligned(doc)
-        best: dict[object, Match] = {}
-        for item, runs in self._runs(aligned):
-            m = self._judge(item, doc, runs)
-            if m is None:
-                continue
-            key = self.ids[item]
-            if key not in best or (m.covered, m.matched, m.exact) > (best[key].covered, best[key].matched, best[key].exact):
-                best[key] = m
-        return list(best.values())
+        return self.find_all(pa.array([text or ""], pa.large_string()))[0]
 
     def _runs(self, aligned: dict[tuple[int, int], set[int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """Item and (place in it, offset) of windows to be judged together: those of each alignment, and those of neighbouring ones, as words put in or left out shift what follows."""
@@ -209,22 +387,22 @@ class Matcher:
                         yield item, [(at, o) for o in group for at in sorted(aligned[item, o])]
                     group = []
 
-    def _judge(self, item: int, doc: Template, runs: list[tuple[int, int]]) -> Match | None:
+    def _judge(self, item: int, r: Reading, runs: list[tuple[int, int]]) -> Match | None:
         """runs: windows, the ones that count first where two cover a word."""
-        t, own = self.items[item], self.values[item]
+        own, narrow, wide = self.values[item], self.kinds[item], self.wide[item]
         width = min(self.most, len(own))
-        copied = [(at, o) for at, o in runs if all(own[k] == self.words.bare[doc.ids[k + o]] for k in range(at, at + width))]
+        copied = [(at, o) for at, o in runs if all(own[k] == r.word(k + o) for k in range(at, at + width))]
         same = {k for at, _ in copied for k in range(at, at + width)}
         # if the slots disagree, the windows that are copied word by word may still be enough
         for taken in (runs, copied):
-            theirs: dict[int, str] = {}
+            theirs: dict[int, bytes] = {}
             for at, o in taken:
                 for k in range(at, at + width):
-                    theirs.setdefault(k, self.words.bare[doc.ids[k + o]])
-            kinds = t.kind[list(theirs)].tolist()
-            if len(theirs) < min(len(own), self.least) or sum(kind == WORD or k in same for k, kind in zip(theirs, kinds)) < min(self.literal, (len(theirs) + 1) // 2):
+                    theirs.setdefault(k, r.word(k + o))
+            literal = sum(k in same or narrow[k] == WORD and own[k] == v for k, v in theirs.items())
+            if len(theirs) < min(len(own), self.least) or literal < min(self.literal, (len(theirs) + 1) // 2):
                 continue
-            slots = [(kind, own[k], theirs[k]) for k, kind in zip(theirs, kinds) if kind != WORD]
+            slots = [(int(wide[k]), own[k], v) for k, v in theirs.items() if wide[k] != WORD and (narrow[k] != WORD or own[k] != v)]
             if len({(kind, a) for kind, a, _ in slots}) == len(set(slots)):
                 return Match(item, len(theirs), len(own), len({at for at, _ in taken}), len(slots), all(a == b for _, a, b in slots))
         return None
@@ -251,10 +429,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
-            for b in slices(batches, 1):
+            for b in slices(batches, 1, SLICE):
                 rows = []
-                for row_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    rows += [(row_id, matcher.ids[m.item], m.covered, m.item_words, m.matched, m.slots, "exact" if m.exact else "re-parameterised") for m in matcher.find(text)]
+                for k, matches in enumerate(matcher.find_all(b.column(1))):
+                    rows += [(b.column(0)[k].as_py(), matcher.ids[m.item], m.covered, m.item_words, m.matched, m.slots, "exact" if m.exact else "re-parameterised") for m in matches]
                 if rows:
                     frame = dict(zip(("id", "item", "covered", "item_words", "matched_windows", "slots", "kind"), map(list, zip(*rows))))
                     yield pa.RecordBatch.from_arrays([pa.array(frame["id"], b.schema.field(0).type), *[pa.array(frame[c]) for c in list(frame)[1:]]], list(frame))
@@ -271,14 +449,17 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     out = docs
     for block in _blocks(benchmark, item_col, item_text_col):
         clean = _clean(docs.sparkSession.sparkContext.broadcast(block))
-        out = out.where(F.pandas_udf(clean, "boolean")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+        out = out.where(F.arrow_udf(clean, "boolean")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return out
 
 
 def _clean(block: Broadcast):
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(block.value)
         for batch in texts:
-            yield pd.Series([not matcher.find(t) for t in batch], dtype="bool")
+            found = []
+            for b in slices([pa.RecordBatch.from_arrays([batch], ["text"])], 0, SLICE):
+                found += [not m for m in matcher.find_all(b.column(0))]
+            yield pa.array(found, pa.bool_())
 
     return judge

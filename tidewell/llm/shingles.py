@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -18,12 +16,17 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BYTE[65:91] = _BYTE[97:123]
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, size: int) -> np.ndarray:
+    """1, base, base**2 and so on, modulo 2**64; kept as far as they have been needed."""
+    if len(_POWERS.get(base, ())) < size:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:size]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +36,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = 1 << max(16, int(len(data)).bit_length())
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(BASE, size)[: len(data)], dtype=np.uint64)])
-        word = (total[end] - total[start]) * _powers(INVERSE, size)[start]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(BASE, size)[: len(data)], dtype=np.uint64)])
+        word = (total[end] - total[start]) * powers(INVERSE, size)[start]
         return mix64(word + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), start
 
 
