@@ -528,6 +528,43 @@ def test_grammar_weakens_and_strengthens():
     assert out == "NOiRr"
 
 
+def test_composed_grammar_is_its_transducers_in_turn():
+    """Brute force: each of the five reads what the one before wrote; factors multiply."""
+    rng, machine = random.Random(12), toxicity.grammar()
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.aimed(), toxicity.threatening(), toxicity.weighing()]
+    for _ in range(300):
+        state, states, total = machine.start, [t.start for t in parts], 1.0
+        for label in (rng.choice(toxicity.CLASSES) for _ in range(rng.randrange(1, 25))):
+            state, out, factor = machine.step(state, label)
+            seen, product = label, 1.0
+            for k, t in enumerate(parts):
+                states[k], seen, f = t.step(states[k], seen)
+                product *= f
+            assert out == seen and factor == pytest.approx(product)
+
+
+def test_learned_words_behind_intentions_are_threats():
+    lexicon = toxicity.BUILT_IN | {"zork": ("I", 2.0), "blim*": ("I", 2.0)}
+    texts = ["we will zork them", "I will then zork it. zork", "they will surely zork", "a blimmer will go. what blims", "will go. blimmed"]
+    seen = toxicity.planned(texts, lexicon, {"zork", "blim*"})
+    assert seen == {"zork": (4, 3), "blim*": (3, 0)}
+    classes = {m: c for m, (c, _) in toxicity.with_threats(lexicon, {"zork", "blim*"}, seen).items()}
+    assert classes["zork"] == "H" and classes["blim*"] == "I" and classes["idiot"] == "I"
+
+
+def test_strewn_signs_hide_no_word():
+    reader = toxicity.Reader(toxicity.BUILT_IN)
+    assert reader.clauses("a fine day trash### here") == reader.clauses("a fine day *trash* here") == reader.clauses("a fine day trash here") != []
+    assert reader.clauses("he said so.*** trash") == reader.clauses("he said so. trash")
+
+
+def test_few_false_marks():
+    rng = random.Random(1)
+    counts = {f"w{k}$": (n := sum(rng.random() < 0.1 for _ in range(8)), 8 - n) for k in range(5000)} | {f"t{k}$": (7, 0) for k in range(40)}
+    assert toxicity.beyond_chance(counts, 0.1, len(counts)) == {f"t{k}$" for k in range(40)}
+    assert toxicity.beyond_chance({}, 0.1, 0) == set()
+
+
 def toxic_rows():
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]

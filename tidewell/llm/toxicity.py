@@ -8,8 +8,9 @@ score is the sum of its words' lexical weights times the machine's factors.
 
 The lexicon holds some common English words; whole words and word beginnings that mark the labels are learned with it,
 those that explain toxic documents and can't be chance
-among all that were tried. A logistic regression then maps the
-clause scores of a document to a probability. Learning sees at most `sample` labelled rows (by hash of the id, none of
+among all that were tried. A learned word that mostly stands behind an intention is a threat, any other an insult. A logistic
+regression then maps the clause scores of a document to a probability; it is fitted on scores from lexicons that the other
+folds of the labelled rows taught. Learning sees at most `sample` labelled rows (by hash of the id, none of
 them held out); scoring reads every whole text.
 
 Null or empty text: no clause, the score of a text without any. No labels at all: the built-in lexicon and fixed
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.common import crc_mod, materialize, slices
+from tidewell.llm.common import crc_mod, drop_table, materialize, slices
 
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers clown worthless pathetic disgusting dumb imbecile degenerate vermin filth lowlife jerk".split()
 THREATS = "kill hurt beat destroy smash strangle stab shoot punish crush".split()
@@ -38,9 +39,14 @@ REPORTS = "said says say claimed claims called quoted quote wrote alleged sagte
 INTENTIONS = "will shall gonna going werde werden vais allons voy vamos i'll we'll".split()
 CLASSES = "OITNRMH"
 ENDS = ".,;:!?…"
-AROUND = ".,;:!?…\"'()[]{}«»„“”-"
+#: Signs strewn around words, behind an end of a clause too.
+STREWN = "*#$%&+=@~^<>|/\\_\"'()[]{}«»„“”‘’`"
+AROUND = ENDS + STREWN + "-–—¿¡"
 STEMS = (4, 5, 6, 7)
-FAMILY, RELATED = 4, 1000
+FAMILY = 4
+#: Parts of the labelled rows: the features of each come from a lexicon that the others taught.
+FOLDS = 4
+_COUNTS = [f"{kind}{k}" for k in range(FOLDS) for kind in ("clean", "toxic")]
 
 
 @dataclass
@@ -142,7 +148,7 @@ class Reader(dict):
             code = self.codes[hit] = len(self.classes)
             self.classes.append(hit[0])
             self.weights.append(hit[1])
-        self[word] = out = code * 2 + (word[-1] in ENDS)
+        self[word] = out = code * 2 + (word.rstrip(STREWN)[-1:] in tuple(ENDS))
         return out
 
     def clauses(self, text: str | None) -> list[float]:
@@ -181,47 +187,75 @@ def weight_of(toxic: int, clean: int) -> float:
     return round(min(3.0, max(0.1, math.log((toxic + 0.5) / (clean + 0.5)) / 2)), 6)
 
 
-def beyond_chance(toxic: int, clean: int, rate: float, limit: float) -> bool:
-    """Whether, if documents were toxic at this rate, so large a share of toxic ones had a probability below the limit (Chernoff's bound)."""
+def log_chance(toxic: int, clean: int, rate: float) -> float:
+    """Bounds the logarithm of the chance that so large a share is toxic of documents that are so at this rate (Chernoff)."""
     n, share = toxic + clean, toxic / max(1, toxic + clean)
     if share <= rate:
-        return False
-    log = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
-    return -n * log < math.log(limit)
+        return 0.0
+    return -n * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
 
 
-def learned_lexicon(counts: dict[str, tuple[int, int]], having: list[list[str]], tried: int, toxic: int, clean: int, chance: float = 0.01) -> dict[str, tuple[str, float]]:
+def beyond_chance(counts: dict[str, tuple[int, int]], rate: float, tried: int, part: float = 0.01) -> set[str]:
+    """Marks of which no more than about this part are there by chance, of all that were tried (Benjamini and Hochberg)."""
+    ordered = sorted((log_chance(*c, rate), m) for m, c in counts.items())
+    last = max((k for k, (p, _) in enumerate(ordered, 1) if p <= math.log(part * k / max(1, tried))), default=0)
+    return {m for _, m in ordered[:last]}
+
+
+def learned_lexicon(counts: dict[str, tuple[int, int]], having: list[list[str]], tried: int, families: dict[str, int], toxic: int, clean: int) -> dict[str, tuple[str, float]]:
     """Words and beginnings (with *) that toxic documents have more often than chance allows.
 
-    counts: mark -> toxic and clean documents with it; having: the marks of each toxic document; tried: the number of all marks. Greedily the
-    mark is taken that explains most documents not yet explained, nine times its clean ones taken off (ties: the longer, then by code point),
-    if its counts are beyond chance. So words that only stand beside others, or in copies of one text, aren't learned. Then words that share
-    a beginning with a learned one are taken if their counts are beyond chance among RELATED tries.
+    counts: mark -> toxic and clean documents with it; having: the marks of each toxic document; tried: the number of all marks, families: by their
+    first letters. Greedily the mark is taken that explains most documents not yet explained, nine times its clean ones taken off (ties: the longer,
+    then by code point), of those beyond chance. So words that only stand beside others, or in copies of one text, aren't learned. Then words that
+    begin as a learned one does are taken if they are beyond chance among their family.
     """
     rate = max(1e-6, toxic / max(1, toxic + clean))
+    sure = beyond_chance(counts, rate, tried)
     where: dict[str, set[int]] = defaultdict(set)
     for k, marks in enumerate(having):
         for m in marks:
-            where[m].add(k)
+            if m in sure:
+                where[m].add(k)
     open_, out = set(range(len(having))), {}
     while where:
         mark = max(where, key=lambda m: (len(where[m]) - 9 * counts[m][1], len(m), m))
         explained, n = where.pop(mark), counts[mark][1]
         if len(explained) <= 9 * n or len(explained) < 2:
             break
-        if not beyond_chance(*counts[mark], rate, chance / max(1, tried)):
-            continue
         open_ -= explained
         out[mark.rstrip("$")] = ("I", weight_of(*counts[mark]))
         where = {m: left for m, ks in where.items() if (left := ks & open_)}
-    # inflections: words that begin as a learned one does have been looked for, so chance has fewer tries
-    families = {m[:FAMILY] for m in out if len(m.rstrip("*")) >= FAMILY}
-    for mark, (p, n) in counts.items():
-        if mark[:FAMILY] in families and mark.endswith("$") and p > 9 * n and beyond_chance(p, n, rate, chance / RELATED):
-            out[mark.rstrip("$")] = ("I", weight_of(p, n))
+    for family in {m[:FAMILY] for m in out if len(m.rstrip("*")) >= FAMILY}:
+        own = {m: c for m, c in counts.items() if m.startswith(family) and m.endswith("$")}
+        for mark in beyond_chance(own, rate, families.get(family, len(own))):
+            out.setdefault(mark.rstrip("$"), ("I", weight_of(*counts[mark])))
     return out
 
 
+def planned(texts: Iterable[str], lexicon: dict[str, tuple[str, float]], learned: set[str], reach: int = 3) -> dict[str, tuple[int, int]]:
+    """Of learned words and beginnings: how often they stand in the texts, and how often within reach behind an intention of their clause."""
+    reader, found = Reader(lexicon), defaultdict(lambda: [0, 0])
+    for text in texts:
+        since = reach + 1
+        for word in (text or "").replace("\n", " . ").split():
+            bare = word.lower().strip(AROUND)
+            mark = bare if bare in learned else next((bare[:n] + "*" for n in reader.lengths if bare[:n] + "*" in learned), None) if bare not in reader.whole else None
+            if mark is not None:
+                found[mark][0] += 1
+                found[mark][1] += since < reach
+            code = reader[word]
+            since = 0 if reader.classes[code >> 1] == "M" else since + 1
+            if code & 1:
+                since = reach + 1
+    return {m: (n, k) for m, (n, k) in found.items()}
+
+
+def with_threats(lexicon: dict[str, tuple[str, float]], learned: set[str], seen: dict[str, tuple[int, int]]) -> dict[str, tuple[str, float]]:
+    """Learned words that mostly stand behind an intention are threats."""
+    return {m: (("H", w) if m in learned and (n := seen.get(m, (0, 0)))[1] >= 3 and 2 * n[1] > n[0] else (c, w)) for m, (c, w) in lexicon.items()}
+
+
 def marks_in(text: str | None) -> set[str]:
     """Words, with $, and their beginnings, with *."""
     marks = set()
@@ -234,36 +268,38 @@ def marks_in(text: str | None) -> set[str]:
 
 
 def _marks_of(docs: DataFrame, wanted: set[str]) -> DataFrame:
+    """fold, marks of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(marks_in(t) & shared.value) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["marks"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(marks_in(t) & shared.value) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["fold", "marks"])
 
-    return docs.select("text").mapInArrow(run, "marks array<string>")
+    return docs.select("text", "fold").mapInArrow(run, "fold int, marks array<string>")
 
 
 def _count_marks(docs: DataFrame) -> DataFrame:
-    """mark, toxic, clean: in how many documents words ($) and beginnings (*) stand."""
+    """mark, toxic, clean: in how many documents of each fold words ($) and beginnings (*) stand, as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        found: dict[str, np.ndarray] = defaultdict(lambda: [0] * (2 * FOLDS))
 
         def flush() -> pa.RecordBatch:
-            marks = list(found)
-            out = pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array([found[m][1] for m in marks], pa.int64()), pa.array([found[m][0] for m in marks], pa.int64())], ["mark", "toxic", "clean"])
+            n = np.array(list(found.values()), np.int64).reshape(-1, 2 * FOLDS)
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array(n[:, k]) for k in range(2 * FOLDS)]], ["mark", *_COUNTS])
             found.clear()
             return out
 
         for b in slices(batches, 0):
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, label, fold in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for m in marks_in(text):
-                    found[m][1 if label else 0] += 1
-            if len(found) > 150_000:
+                    found[m][2 * fold + (1 if label else 0)] += 1
+            if len(found) > 100_000:
                 yield flush()
         yield flush()
 
-    return docs.mapInArrow(run, "mark string, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = docs.select("text", "y", "fold").mapInArrow(run, ", ".join(["mark string", *(f"{c} long" for c in _COUNTS)])).groupBy("mark").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return counted.select("mark", F.array(*_COUNTS[1::2]).alias("toxic"), F.array(*_COUNTS[::2]).alias("clean"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -302,24 +338,68 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", held_out: Column | None = None) -> Model:
     """held_out: of labels' rows, those not to learn from; by default crc32(id) mod 5 = 0."""
     held_out = crc_mod(F.col(id_col), 5) == 0 if held_out is None else held_out
-    rows = labelled_sample(docs, labels, label, held_out, sample, id_col, text_col)
-    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    if not n.get(1) or not n.get(0):
+    rows = labelled_sample(docs, labels, label, held_out, sample, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(FOLDS)).cast("int"))
+    n = np.zeros((2, FOLDS), np.int64)
+    for r in rows.groupBy("y", "fold").count().collect():
+        n[int(r.y > 0), r.fold] = r["count"]
+    if not n[1].sum() or not n[0].sum():
         return DEFAULT
     marks = materialize(_count_marks(rows), "marks")
-    tried = marks.where("toxic + clean >= 3").count()
-    known = marks.where(F.col("mark").isin([w + "$" for w in INSULTS]) & (F.col("toxic") + F.col("clean") >= 3)).collect()
-    counts = {r.mark: (r.toxic, r.clean) for r in marks.where("toxic >= 3 AND toxic > 9 * clean").collect()}
-    rate = n[1] / (n[1] + n[0])
-    counts = {m: c for m, c in counts.items() if beyond_chance(*c, rate, 0.01 / RELATED)}
-    sure = {m for m, c in counts.items() if beyond_chance(*c, rate, 0.01 / max(1, tried))}
-    having = [r.marks for r in _marks_of(rows.where("y = 1"), sure).collect()]
-    lexicon = BUILT_IN | learned_lexicon(counts, having, tried, n[1], n[0]) | {r.mark[:-1]: ("I", weight_of(r.toxic, r.clean)) for r in known}
-    found = _features(rows.select(F.col("y").alias("id"), "text"), lexicon, "int")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    folds = range(FOLDS) if ((n.sum(1, keepdims=True) - n) > 0).all() else []
+    common = total("toxic") + total("clean") >= 3
+    tried = marks.where(common).count()
+    own = {r.mark[:-1]: (r.toxic, r.clean) for r in marks.where(F.col("mark").isin([w + "$" for w in INSULTS])).collect()}
+    kept = marks.where((total("toxic") >= 3) & (total("toxic") > 9 * (total("clean") - F.array_max("clean"))))
+    counts = {r.mark: (np.array(r.toxic), np.array(r.clean)) for r in kept.collect()}
+    beginnings = sorted({m[:FAMILY] for m in counts})
+    words = marks.where(common & F.col("mark").endswith("$")).groupBy(F.substring("mark", 1, FAMILY).alias("f")).count()
+    families = {r.f: r["count"] for r in words.where(F.col("f").isin(beginnings)).collect()} if beginnings else {}
+    drop_table(marks)
+    rate = n[1].sum() / n.sum()
+    few = lambda k, c: int(c.sum() - (c[k] if k is not None else 0))
+    worth = {k: {m: (few(k, t), few(k, c)) for m, (t, c) in counts.items()} for k in (None, *folds)}
+    worth = {k: {m: c for m, c in of.items() if c[0] >= 3 and c[0] > 9 * c[1]} for k, of in worth.items()}
+    sure = set().union(*(beyond_chance(of, rate, tried) for of in worth.values()))
+    toxic_rows = rows.where("y > 0")
+    having = [(r.fold, r.marks) for r in _marks_of(toxic_rows, sure).collect()]
+    lexicons = {}
+    for k in (None, *folds):
+        of = worth[k]
+        learned = learned_lexicon(of, [[m for m in ms if m in of] for f, ms in having if f != k], tried, families, few(k, n[1]), few(k, n[0]))
+        known = {w: ("I", weight_of(few(k, np.array(t)), few(k, np.array(c)))) for w, (t, c) in own.items() if few(k, np.array(t)) + few(k, np.array(c)) >= 3}
+        lexicons[k] = (BUILT_IN | learned | known, set(learned) - set(BUILT_IN))
+    # which of the learned words are threats is read off the toxic texts
+    lexicons = _threats(toxic_rows, lexicons)
+    if not folds:
+        return Model(lexicons[None], DEFAULT.weights)
+    found = None
+    for k in folds:
+        part = _features(rows.where(F.col("fold") == k).select(F.col("y").alias("id"), "text"), lexicons[k], "int")
+        found = part if found is None else found.unionByName(part)
     got = found.groupBy("id", "f").count().collect()
     x = np.repeat(np.array([r.f for r in got]), [r["count"] for r in got], axis=0)
-    y = np.repeat(np.array([r.id for r in got], float), [r["count"] for r in got])
-    return Model(lexicon, tuple(float(w) for w in fit_logistic(x, y)))
+    y = np.repeat(np.array([r.id > 0 for r in got], float), [r["count"] for r in got])
+    return Model(lexicons[None], tuple(float(w) for w in fit_logistic(x, y)))
+
+
+def _threats(rows: DataFrame, lexicons: dict) -> dict:
+    """The lexicons, with the learned words that are threats as such. rows: toxic ones, with their fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 0):
+            out = []
+            texts, of = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k, (lexicon, learned) in shared.value.items():
+                out += [(-1 if k is None else k, m, n, p) for m, (n, p) in planned([t for t, f in zip(texts, of) if f != k], lexicon, learned).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["k", "mark", "n", "p"])
+
+    got = rows.select("text", "fold").mapInArrow(run, "k int, mark string, n long, p long").groupBy("k", "mark").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
+    seen: dict = defaultdict(dict)
+    for r in got:
+        seen[None if r.k < 0 else r.k][r.mark] = (r.n, r.p)
+    return {k: with_threats(lexicon, learned, seen[k]) for k, (lexicon, learned) in lexicons.items()}
 
 
 def _features(docs: DataFrame, lexicon: dict[str, tuple[str, float]], kind: str) -> DataFrame:
