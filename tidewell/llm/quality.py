@@ -4,7 +4,7 @@ Features of a document, all binary and scaled to length 1 together: its distinct
 (share of distinct words, repeats in a row, letters, capitals, digits, other signs, line lengths and repeated lines, word
 lengths), each as the bin it falls in; its length, as metadata. The model is w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 the pairs computed in linear time as half of sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2). It is trained by AdaGrad on the
-logistic loss from a fixed seed, in fixed order: reruns agree. Learning sees at most about `sample` labelled rows (by hash
+logistic loss from a fixed seed, in fixed order: reruns agree. Its sums are scaled to probabilities by cross-validation. Learning sees at most about `sample` labelled rows (by hash
 of the id, none held out); scoring reads every whole text. Language, source and id are no features.
 
 Null or empty text: no words, the bins of empty statistics. Without labels of both kinds: the score is 0.5 everywhere.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import crc_mod, slices
-from tidewell.llm.toxicity import labelled_sample
+from tidewell.llm.toxicity import fit_logistic, labelled_sample
 
 BITS, FACTORS = 15, 8
 WORDS = 1 << BITS
@@ -84,9 +84,12 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    #: What the sum is multiplied by, and what is added, before it becomes a probability.
+    scale: float = 1.0
+    shift: float = 0.0
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Probabilities; the statistics weigh as much as all words together."""
+    def sums(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The statistics weigh as much as all words together."""
         if not rows:
             return np.zeros(0)
         index = np.concatenate(rows)
@@ -96,8 +99,11 @@ class Machine:
         z = self.bias + np.add.reduceat(self.linear[index] * x, start)
         vx = self.factors[index] * x[:, None]
         s = np.add.reduceat(vx, start, axis=0)
-        z = z + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), start))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return z + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), start))
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Probabilities."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.sums(rows) + self.shift, -30, 30)))
 
 
 def values(index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -136,6 +142,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 750, batch: int
     return Machine(bias, w, v)
 
 
+def fit_calibrated(rows: list[np.ndarray], labels: np.ndarray, folds: int = 4, **how: object) -> Machine:
+    """A machine whose sums are scaled to probabilities by those of machines that hadn't learned from the rows: with few rows sums are too near the mean."""
+    machine = fit(rows, labels, **how)
+    of = np.array([zlib.crc32(r.tobytes()) % folds for r in rows])
+    sums, seen = np.zeros(len(rows)), np.zeros(len(rows), bool)
+    for k in range(folds):
+        held, taught = np.flatnonzero(of == k), np.flatnonzero(of != k)
+        if len(held) and 0 < labels[taught].sum() < len(taught):
+            sums[held] = fit([rows[j] for j in taught], labels[taught], **how).sums([rows[j] for j in held])
+            seen[held] = True
+    y = labels[seen]
+    if 0 < y.sum() < len(y):
+        scale, shift = fit_logistic(sums[seen, None], y, decay=1e-3)
+        if scale > 0:
+            machine.scale, machine.shift = float(scale), float(shift)
+    return machine
+
+
 def _index(rows: DataFrame) -> DataFrame:
     """y, i: each row's features."""
 
@@ -154,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, id_col: str =
     got = got.sort_values(["y", "i"], kind="stable")
     if got["y"].nunique() < 2:
         return None
-    return fit([np.frombuffer(i, np.int32).astype(np.int64) for i in got["i"]], got["y"].to_numpy(np.float64))
+    return fit_calibrated([np.frombuffer(i, np.int32).astype(np.int64) for i in got["i"]], got["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
