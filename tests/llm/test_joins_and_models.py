@@ -621,6 +621,34 @@ def test_quality_learns_structure(spark):
     assert quality.score(df.limit(0), None).count() == 0
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Rows without id, text or source, empty texts, repeated rows, further columns with names used inside, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))
+    lone = [" ".join(word() for _ in range(60)) for _ in range(30)]
+    rows = [(k, t, rng.choice(["a", "b", None])) for k, t in enumerate(lone)] + [(None, " ".join(word() for _ in range(60)), "a") for _ in range(10)]
+    rows += [rows[0], rows[35], (100, None, "a"), (None, None, None), (101, "", "b"), (102, "x " * 30_000, "b"), (103, lone[3] + " tail", "a")]
+    schema = "doc_id long, text string, source string, _key string, _n string, _row string, _h1 string, label int, cid string, `a.b` string"
+    whole = spark.createDataFrame([(*r, "c", "c", "c", "c", 1, "c", "c") for r in rows], schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, lone[7]), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs_ in (whole, whole.limit(0)):
+        before = docs_
+        sizes = []
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, before, str(tmp_path))
+            assert out.columns == (docs_.columns if k < 4 else [*docs_.columns, "size", "shard", "slot"]), name
+            before = jaccard.materialize(out, "odd") if k < 4 else out
+            sizes.append(before.count())
+        if docs_ is whole:
+            # three rows are copies; an item is found; mixing moves words between sources, which keep their number
+            assert sizes[0] == len(rows) and sizes[1] == len(rows) - 3 and sizes[2] == sizes[1] - 1 and sizes[4] == sizes[3] > 0
+        else:
+            assert sizes == [0] * 5
+
+
 def test_pipeline_keeps_what_its_stages_say(spark):
     import corpus_pipeline
 

@@ -559,7 +559,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     times = members.where("n > 0").groupBy(F.col("id").alias("key")).agg(F.count("*").alias("times"))
     keep = materialize(keep.join(times, "key"), "jaccard-kept")
     empty = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
-    rows = df.where(~empty).select(key.alias("key"), F.struct(*df.columns).alias("row"))
+    rows = df.where(~empty).select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     kept = skew_join(rows, keep, "key", F.col("times"), members.count(), "inner")
     # equal rows are reduced where they are before they meet
     once = kept.where("times = 1").select("row").unionByName(kept.where("times > 1").groupBy("key").agg(F.first("row").alias("row")).select("row"))

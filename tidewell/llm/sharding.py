@@ -136,7 +136,9 @@ def histogram_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
     # a shard is numbered in pieces of bounded size: ranges of the first half, and of the second half in case one text fills the shard;
     # at most about half a million of them at any size of the input, so that their counts can be broadcast and rows move once
-    piece_bytes = max(range_bytes, total // 500_000 + 1)
+    # and enough of them that the tasks of the exchange are alike
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece_bytes = max(min(range_bytes, total // (8 * tasks)), total // 500_000, 1 << 16)
     side = max(1, min(1 << 10, math.isqrt(max(0, total // (shards * piece_bytes) - 1)) + 1))
 
     def part(half: Column, n: int) -> Column:
