@@ -1,6 +1,8 @@
 """A corpus from raw documents: toxicity, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, written as Parquet and read again as the next one's docs.
+Rows may lack id, text or source, may be repeated, and may have further columns of any names; a table without rows gives one
+without rows. Texts may be of any length. What a stage does with each case is in its docstring.
 """
 
 from __future__ import annotations
@@ -12,22 +14,27 @@ from tidewell.llm.common import documents, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under 0.5 by a model of the labelled rows stay; null and empty texts have no clause and stay."""
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked texts the row with the least (id, hash of the text) stays, ids before none; null and empty texts all stay."""
     return jaccard.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows stay in which no item of the benchmark is found; null and empty texts and items match nothing."""
     return decontamination.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, up to three times; a null source is one of its own, null and empty texts weigh nothing."""
     return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with size, shard and slot, which replace columns of these names; a null text weighs 16 bytes."""
     return sharding.histogram_shards(docs, 40)
 
 
@@ -42,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each one's output is written before the next one reads it."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
