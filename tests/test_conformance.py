@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.corpus import HERE, ROWS, doc, index, scalar
 from tidewell.functions.text import normalize_query
-from tidewell.model import Cursor, FacetPlan, GeoFilter, NormalizedQuery, RangeFilter, SearchQuery
+from tidewell.model import Between, Box, Circle, CountPlan, Cursor, Search, Words
 from tidewell.operators import changes, facets, ranking
 from tidewell.plans.engine import Engine
 from tidewell.plans.parse import decode_cursor
@@ -24,7 +24,7 @@ def engine(spark, tmp_path_factory):
 
 
 def ask(**how):
-    return SearchQuery(**({"doc_type": "thing", "sort": "newest", "limit": 20, "as_of": AS_OF, "count_facets": False} | how))
+    return Search(**({"doc_type": "thing", "sort": "newest", "limit": 20, "as_of": AS_OF, "counting": False} | how))
 
 
 def words(text, language=""):
@@ -37,48 +37,48 @@ def keys(engine, **how):
 
 
 def box(*b):
-    return GeoFilter(min_lat=b[0], min_lon=b[1], max_lat=b[2], max_lon=b[3])
+    return Box(b[0], b[1], b[2], b[3])
 
 
 def near(km):
-    return GeoFilter(lat=HERE[0], lon=HERE[1], radius_km=km)
+    return Circle(HERE[0], HERE[1], km)
 
 
 FILTERS = [
     ("all visible", {}, "1234"),
     ("other type", {"doc_type": "other"}, ""),
-    ("owner u2", {"owner_key": "u2"}, "4"),
-    ("owner u1", {"owner_key": "u1"}, "123"),
-    ("language", {"language_filter": "ru"}, "1234"),
-    ("no such language", {"language_filter": "de"}, ""),
-    ("category", {"category_path": ("electronics",)}, "123"),
-    ("category leaf", {"category_path": ("electronics", "laptops")}, "3"),
-    ("no such category", {"category_path": ("nonexistent",)}, ""),
-    ("facet", {"facets": {"brand": ["apple"]}}, "1"),
-    ("or within", {"facets": {"brand": ["apple", "samsung"]}}, "12"),
-    ("and across", {"facets": {"brand": ["apple"], "color": ["blue"]}}, ""),
-    ("several values", {"facets": {"color": ["red"]}}, "12"),
-    ("several values, one", {"facets": {"color": ["blue"]}}, "2"),
-    ("path root", {"facets": {"tree": ["a"]}}, "1"),
-    ("path middle", {"facets": {"tree": ["a/b"]}}, "1"),
-    ("path leaf", {"facets": {"tree": ["a/b/c"]}}, "1"),
-    ("path inner name", {"facets": {"tree": ["b"]}}, ""),
-    ("range from", {"ranges": (RangeFilter("year", Decimal(2015)),)}, "13"),
-    ("range both", {"ranges": (RangeFilter("year", Decimal(2014), Decimal(2015)),)}, "12"),
-    ("range to", {"ranges": (RangeFilter("year", None, Decimal(2014)),)}, "2"),
-    ("price range", {"ranges": (RangeFilter("price", Decimal(100), None),)}, "12"),
-    ("word in title", {"text": words("Samsung")}, "2"),
-    ("word in body", {"text": words("работы", "ru")}, "3"),
-    ("word in extra", {"text": words("128")}, "1"),
-    ("unknown word", {"text": words("nonexistentword")}, ""),
-    ("both words", {"text": words("Samsung Lenovo")}, ""),
-    ("synonym", {"text": words("самсунг", "ru")}, "2"),
-    ("10 km", {"geo": near(10)}, "12"),
-    ("1 km", {"geo": near(1)}, "1"),
-    ("centre alone", {"geo": near(None)}, "1234"),
-    ("box", {"geo": box(49.0, 6.0, 50.0, 7.0)}, "12"),
-    ("box over the date line", {"geo": box(-10.0, 179.0, 10.0, -179.0)}, "4"),
-    ("box the long way", {"geo": box(-10.0, -179.0, 10.0, 179.0)}, ""),
+    ("owner u2", {"owner": "u2"}, "4"),
+    ("owner u1", {"owner": "u1"}, "123"),
+    ("language", {"only_language": "ru"}, "1234"),
+    ("no such language", {"only_language": "de"}, ""),
+    ("category", {"within": ("electronics",)}, "123"),
+    ("category leaf", {"within": ("electronics", "laptops")}, "3"),
+    ("no such category", {"within": ("nonexistent",)}, ""),
+    ("facet", {"chosen": {"brand": ["apple"]}}, "1"),
+    ("or within", {"chosen": {"brand": ["apple", "samsung"]}}, "12"),
+    ("and across", {"chosen": {"brand": ["apple"], "color": ["blue"]}}, ""),
+    ("several values", {"chosen": {"color": ["red"]}}, "12"),
+    ("several values, one", {"chosen": {"color": ["blue"]}}, "2"),
+    ("path root", {"chosen": {"tree": ["a"]}}, "1"),
+    ("path middle", {"chosen": {"tree": ["a/b"]}}, "1"),
+    ("path leaf", {"chosen": {"tree": ["a/b/c"]}}, "1"),
+    ("path inner name", {"chosen": {"tree": ["b"]}}, ""),
+    ("range from", {"between": (Between("year", Decimal(2015)),)}, "13"),
+    ("range both", {"between": (Between("year", Decimal(2014), Decimal(2015)),)}, "12"),
+    ("range to", {"between": (Between("year", None, Decimal(2014)),)}, "2"),
+    ("price range", {"between": (Between("price", Decimal(100), None),)}, "12"),
+    ("word in title", {"words": words("Samsung")}, "2"),
+    ("word in body", {"words": words("работы", "ru")}, "3"),
+    ("word in extra", {"words": words("128")}, "1"),
+    ("unknown word", {"words": words("nonexistentword")}, ""),
+    ("both words", {"words": words("Samsung Lenovo")}, ""),
+    ("synonym", {"words": words("самсунг", "ru")}, "2"),
+    ("10 km", {"area": near(10)}, "12"),
+    ("1 km", {"area": near(1)}, "1"),
+    ("centre alone", {"area": near(None)}, "1234"),
+    ("box", {"area": box(49.0, 6.0, 50.0, 7.0)}, "12"),
+    ("box over the date line", {"area": box(-10.0, 179.0, 10.0, -179.0)}, "4"),
+    ("box the long way", {"area": box(-10.0, -179.0, 10.0, 179.0)}, ""),
 ]
 
 
@@ -93,8 +93,8 @@ def test_sorts_put_nulls_last_and_are_stable(engine, sort, expected):
 
 
 def test_distance_is_sorted_and_reported(engine):
-    assert keys(engine, sort="distance", geo=near(500)) == ["1", "2", "3"]
-    found = {i["key"]: i["distance_km"] for i in engine.search(ask(geo=near(10)))["items"]}
+    assert keys(engine, sort="distance", area=near(500)) == ["1", "2", "3"]
+    found = {i["key"]: i["distance_km"] for i in engine.search(ask(area=near(10)))["items"]}
     assert found["1"] < 0.5 and 3 < found["2"] < 6
 
 
@@ -112,7 +112,7 @@ def test_tombstone_and_repeated_build(spark):
 
 
 def counts(engine, **how):
-    rows = facets.facet_counts(engine.index, ask(**how), FacetPlan(("brand",))).collect()
+    rows = facets.facet_counts(engine.index, ask(**how), CountPlan(("brand",))).collect()
     return {r.value: r["count"] for r in rows}
 
 
@@ -121,22 +121,22 @@ def test_facet_counts(engine):
 
 
 def test_a_chosen_facet_keeps_its_neighbours(engine):
-    assert counts(engine, facets={"brand": ["apple"]}) == {"apple": 1, "samsung": 1, "lenovo": 1, "acme": 1}
+    assert counts(engine, chosen={"brand": ["apple"]}) == {"apple": 1, "samsung": 1, "lenovo": 1, "acme": 1}
 
 
 def test_facets_follow_other_filters(engine):
-    assert counts(engine, category_path=("electronics", "laptops")) == {"lenovo": 1}
+    assert counts(engine, within=("electronics", "laptops")) == {"lenovo": 1}
 
 
 def test_zero_fill_and_candidates(engine):
-    q, plan = ask(facets={"brand": ["apple"]}), FacetPlan(("brand", "color"), {}, {"brand": ("apple", "nokia")})
+    q, plan = ask(chosen={"brand": ["apple"]}), CountPlan(("brand", "color"), {}, {"brand": ("apple", "nokia")})
     rows = {(r.slug, r.value): r["count"] for r in facets.zero_filled(facets.facet_counts(engine.index, q, plan), plan).collect()}
     assert rows["brand", "nokia"] == 0 and rows["color", "red"] == 1 and ("color", "blue") not in rows
     assert {r.slug: r.candidates for r in facets.facet_candidates(engine.index, q, plan).collect()} == {"brand": 4, "color": 1}
 
 
 def test_typo_is_tolerated(engine):
-    assert [i["key"] for i in engine.search(ask(text=words("Samsng")))["items"]] == ["2"]
+    assert [i["key"] for i in engine.search(ask(words=words("Samsng")))["items"]] == ["2"]
 
 
 def with_signals(engine, spark, *rows):
@@ -146,12 +146,12 @@ def with_signals(engine, spark, *rows):
 
 def test_boost_moves_relevance_only(engine, spark):
     boosted = with_signals(engine, spark, ("2", "boost", 50.0), ("3", "boost", 5.0))
-    assert keys(boosted, sort="relevance", text=words("телефон", "ru"))[0] == "2"
+    assert keys(boosted, sort="relevance", words=words("телефон", "ru"))[0] == "2"
     assert keys(boosted, sort="price_asc") == ["4", "2", "1", "3"]
 
 
 def test_popularity_raises_a_score(engine, spark):
-    score = lambda e: {r.doc_key: r.score for r in e.hits(ask(sort="relevance", text=words("телефон", "ru"))).collect()}
+    score = lambda e: {r.doc_key: r.score for r in e.hits(ask(sort="relevance", words=words("телефон", "ru"))).collect()}
     assert score(with_signals(engine, spark, ("1", "popularity", 1000.0)))["1"] > score(engine)["1"]
 
 
@@ -179,7 +179,7 @@ def test_pages_cover_everything_once(engine, sort):
 
 def test_page_back(engine):
     _, last = walk(engine, sort="newest", limit=2)
-    back = engine.search(ask(limit=2, direction="prev", cursor=decode_cursor(last["prev_anchor"])))
+    back = engine.search(ask(limit=2, backwards=True, cursor=decode_cursor(last["prev_anchor"])))
     assert [i["key"] for i in back["items"]] == ["3", "2"] and back["has_next"]
 
 
@@ -203,7 +203,7 @@ def test_suggest(engine):
 
 def test_capabilities_health_disclosure(engine):
     caps = engine.capabilities
-    assert caps.max_result_window > 0 and caps.max_facet_fields > 0 and "relevance" in caps.supported_scorers
+    assert caps.limits["max_result_window"] > 0 and caps.limits["max_facet_fields"] > 0 and "relevance" in caps.scorers and "exact_facet_counts" in caps.able
     assert engine.health(AS_OF)["types"]["thing"] == {"documents": 4, "lag_seconds": 86400}
     assert [d["slug"] for d in engine.ranking()] == sorted(d["slug"] for d in engine.ranking())
 
@@ -211,7 +211,7 @@ def test_capabilities_health_disclosure(engine):
 def test_normalised_query_is_one_for_all():
     a = normalize_query("Айфон б/у продам", "ru")
     assert a == normalize_query("Айфон б/у продам", "ru")
-    assert "продам" in a.dropped_stopwords and any("iphone" in g for g in a.terms) and isinstance(a, NormalizedQuery)
+    assert "продам" in a.dropped and any("iphone" in g for g in a.groups) and isinstance(a, Words)
 
 
 def test_cursor_without_value(engine):

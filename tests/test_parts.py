@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.corpus import doc, index, listed, scalar
 from tidewell.conf import EngineConf
 from tidewell.functions import geo, stem, text
-from tidewell.model import FacetPlan, QueryRefused, SearchQuery
+from tidewell.model import Box, CountPlan, QueryRefused, Search
 from tidewell.operators import changes, facets
 from tidewell.operators.filters import candidates
 from tidewell.plans.parse import decode_cursor, encode_cursor, parse_query
@@ -53,10 +53,10 @@ def test_refusals(params, code):
 
 def test_parse():
     q = parse(q=" Red ring ", f__brand=["a", "b"], r__size="1..", category="/x/y/", limit="1000", direction="sideways", lang="EN", facets="brand, size")
-    assert q.sort == "relevance" and q.facets == {"brand": ["a", "b"]} and q.ranges[0].lower == Decimal(1) and q.category_path == ("x", "y")
-    assert q.limit == 100 and q.direction == "next" and q.language_filter == "en" and q.facet_slugs == ("brand", "size")
-    assert parse().sort == "newest" and parse(limit="junk").limit == 24 and parse(facets="off").count_facets is False
-    assert parse(bbox="1,170,2,-170", lat="1", lon="1").geo.is_box
+    assert q.sort == "relevance" and q.chosen == {"brand": ["a", "b"]} and q.between[0].low == Decimal(1) and q.within == ("x", "y")
+    assert q.limit == 100 and not q.backwards and q.only_language == "en" and q.counted == ("brand", "size")
+    assert parse().sort == "newest" and parse(limit="junk").limit == 24 and parse(facets="off").counting is False
+    assert parse(bbox="1,170,2,-170", lat="1", lon="1").area == Box(1, 170, 2, -170)
 
 
 def test_cursor_round_trip():
@@ -85,9 +85,9 @@ def test_transliteration():
 
 def test_query_normalisation_order_and_budget():
     q = text.normalize_query("стиралка срочно samsung", "RU")
-    assert q.dropped_stopwords == ("срочно",) and [g[0] for g in q.terms] == ["стиральная", "машина", "samsung"]
-    assert q.terms[1] == ("машина", "авто", "автомобиль") and q.terms[2] == ("samsung", "самсунг")
-    assert len([t for g in text.normalize_query(" ".join(["машина"] * 20), "ru").terms for t in g]) == 32
+    assert q.dropped == ("срочно",) and [g[0] for g in q.groups] == ["стиральная", "машина", "samsung"]
+    assert q.groups[1] == ("машина", "авто", "автомобиль") and q.groups[2] == ("samsung", "самсунг")
+    assert len([t for g in text.normalize_query(" ".join(["машина"] * 20), "ru").groups for t in g]) == 32
     assert not text.normalize_query("cheap", "en")
 
 
@@ -140,17 +140,17 @@ def test_long_terms_are_cut_and_counted(spark):
 def test_facet_plan():
     features = [{"slug": "brand", "config": {"type": "select", "options": [{"value": "a"}]}}, {"slug": "open", "config": {"type": "select", "options": [{"value": "a"}], "allowCustom": True}}, {"slug": "head", "config": {"type": "header"}}]
     p = facets.facet_plan(features)
-    assert p.slugs == ("brand", "open") and p.closed_options == {"brand": ("a",)}
+    assert p.slugs == ("brand", "open") and p.options == {"brand": ("a",)}
     p = facets.facet_plan(features, tuple(f"x{k}" for k in range(12)) + ("open",))
-    assert p.slugs[0] == "open" and p.skipped == ("x11",) and p.kinds["x0"] == "term"
+    assert p.slugs[0] == "open" and p.left_out == ("x11",) and p.kinds["x0"] == "term"
 
 
 def test_one_pass_counts_are_the_per_slug_counts(spark):
     rng = random.Random(4)
     rows = [doc(str(k), features={s: scalar("string", rng.choice("abc")) for s in "xyz" if rng.random() < 0.9}) for k in range(80)]
     df = index(spark, rows).persist()
-    q = SearchQuery("thing", facets={"x": ["a"], "y": ["b", "c"]}, as_of="2026-01-01")
-    got = {(r.slug, r.value): r["count"] for r in facets.facet_counts(df, q, FacetPlan(("x", "y", "z"))).collect()}
+    q = Search("thing", chosen={"x": ["a"], "y": ["b", "c"]}, as_of="2026-01-01")
+    got = {(r.slug, r.value): r["count"] for r in facets.facet_counts(df, q, CountPlan(("x", "y", "z"))).collect()}
     expected = {}
     for s in "xyz":
         for r in candidates(df, q, skip=s).select(F.explode("facet_terms").alias("t")).where(F.startswith("t", F.lit(f"{s}="))).groupBy("t").count().collect():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.corpus import doc, index
 from tidewell import __main__ as cli
 from tidewell.conf import EngineConf
-from tidewell.model import INPUT_SCHEMA, FacetPlan
+from tidewell.model import INPUT_SCHEMA, CountPlan
 from tidewell.operators import build, changes, filters, ranking
 from tidewell.operators.facets import facet_counts
 from tidewell.plans.engine import Engine
@@ -21,18 +21,18 @@ AT = "2026-05-01 00:00:00"
 def test_ingest_applies_guards_and_keeps_signals(spark):
     old = index(spark).withColumns({"boost": F.lit(2.0), "source_event_id": F.lit("e1"), "source_seq": F.lit(5).cast("bigint")})
     built = index(spark, [doc("1", "new title"), doc("2", "late"), doc("3", "again"), doc("7", "first")]).drop("indexed_at").withColumn("indexed_at", F.lit(AT).cast("timestamp"))
-    keys = spark.createDataFrame([("1", "e2", 6), ("2", "e3", 4), ("3", "e1", 9), ("7", "e4", 1), ("4", "e5", 7)], "doc_key string, eid string, seq long")
+    keys = spark.createDataFrame([("thing", "1", "e2", 6), ("thing", "2", "e3", 4), ("thing", "3", "e1", 9), ("thing", "7", "e4", 1), ("thing", "4", "e5", 7), ("thing", "x", "e6", 1)], "doc_type string, doc_key string, eid string, seq long")
     after, report = changes.ingest(old, built, keys, AT)
     rows = {r.doc_key: r for r in after.collect()}
     assert rows["1"].title == "new title" and rows["1"].boost == 2.0 and rows["1"].source_seq == 6
     assert rows["2"].title == "Samsung Galaxy" and rows["3"].title == "Ноутбук Lenovo" and rows["7"].visible and not rows["4"].visible and len(rows) == 6
-    assert report.first().asDict() == {"indexed": 2, "duplicate": 1, "stale": 1, "truncated": 0, "removed": 1}
+    assert report.first().asDict() == {"indexed": 2, "duplicate": 1, "stale": 1, "truncated": 0, "removed": 1, "missing": 2}
 
 
 def test_events(spark):
     rows = [("a", "listing.updated", 10, {"listing_id": "7"}), ("b", "listing.updated", 11, {}), ("c", "other", 12, {"listing_id": "8"}), ("d", "search.signal", 13, {"doc_type": "listing", "doc_key": "7", "boost": 9.0, "promoted": True}), ("e", "user.deleted", 14, {"user_id": "u"})]
     df = spark.createDataFrame([(i, n, t, json.dumps(p)) for i, n, t, p in rows], events.ENVELOPE)
-    assert [tuple(r) for r in events.keys_of(df, SOURCES["listing"]).collect()] == [("7", "a", 10)]
+    assert [tuple(r) for r in events.keys_of(df, SOURCES["listing"]).collect()] == [("listing", "7", "a", 10)]
     s = changes.last_signals(events.signals_of(df)).first()
     assert (s.doc_key, s.boost, s.popularity, s.promoted) == ("7", 5.0, 0, True)
     assert [r.owner_key for r in events.deleted_owners(df).collect()] == ["u"] and events.check_wiring(SOURCES) == []
@@ -49,7 +49,7 @@ def test_validation_and_sampling(spark):
     assert Engine(index(spark)).validate(inputs) == ["W002:unheard"]
     e = Engine(index(spark), EngineConf(facet_candidate_cap=1), SOURCES.overlay({"thing": SOURCES["listing"]}))
     out = e.search({"type": "thing", "facets": "brand", "as_of": AT})
-    assert out["facet_meta"]["approximate"] and out["degraded"] == ["exact_facet_counts"] and not e.capabilities.exact_facet_counts
+    assert out["facet_meta"]["approximate"] and out["degraded"] == ["exact_facet_counts"] and "exact_facet_counts" not in e.capabilities.able
 
 
 def plan(df):
@@ -58,12 +58,12 @@ def plan(df):
 
 def test_plans(spark, tmp_path):
     e = Engine(index(spark)).stored(str(tmp_path / "i"))
-    q = ask(doc_type="thing", owner_key="u1", sort="price_asc", limit=5)
+    q = ask(doc_type="thing", owner="u1", sort="price_asc", limit=5)
     text = plan(ranking.page(e.hits(q), q))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text and "Python" not in text
     assert "EqualTo(owner_key,u1)" in text and "EqualTo(visible,true)" in text and "PartitionFilters" in text
     assert "body" not in text.split("ReadSchema:")[1].split("\n")[0]
-    text = plan(facet_counts(e.index, q, FacetPlan(("brand",))))
+    text = plan(facet_counts(e.index, q, CountPlan(("brand",))))
     assert text.split("(1) Scan")[0].count("Exchange") == 1
     assert filters.candidates(e.index, q).count() == 3
 

@@ -50,6 +50,15 @@ def geohash(lat: float, lon: float, precision: int = 12) -> str:
     return "".join(_ALPHABET[bits >> 5 * (precision - 1 - k) & 31] for k in range(precision))
 
 
+def geohash_box(code: str) -> tuple[float, float, float, float]:
+    """South, west, north, east of a geohash's cell; south and west belong to it."""
+    ranges = [[-180.0, 180.0], [-90.0, 90.0]]
+    for k, bit in enumerate(b >> s & 1 for b in map(_ALPHABET.index, code.lower()) for s in (4, 3, 2, 1, 0)):
+        r = ranges[k % 2]
+        r[0 if bit else 1] = (r[0] + r[1]) / 2
+    return ranges[1][0], ranges[0][0], ranges[1][1], ranges[0][1]
+
+
 def box_prefix(min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> str:
     """Common geohash beginning of the box's corners; empty across the date line."""
     if min_lon > max_lon:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tidewell.functions.text import fold, tokens_col
+from tidewell.conf import DEFAULT, EngineConf
+from tidewell.functions.text import fold, tokens, tokens_col
 
 _RULES: dict[str, tuple[tuple[int, str], ...]] = {
     "en": ((3, "ational ization fulness ousness iveness"), (3, "ingly edly ement ments ness ance ence able ible"), (3, "ing ed es s ly er"), (2, "e y")),
@@ -41,19 +42,26 @@ def _stemmer(language: str):
     return lambda word: stem_col(word, language)
 
 
-def stems_col(text: Column, language: Column) -> Column:
-    """Stems of a text's tokens by its row's language."""
-    words = tokens_col(text)
+def stems_col(text: Column, language: Column, conf: EngineConf = DEFAULT) -> Column:
+    """The distinct stems of a text's tokens by its row's language; of languages without rules, or by the fallback's."""
+    words = F.array_distinct(tokens_col(text))
     out: Column | None = None
-    for name in _RULES:
+    for name in (n for n in _RULES if n in conf.stemmed_languages):
         these = F.transform(words, _stemmer(name))
-        out = F.when(language == name, these) if out is None else out.when(language == name, these)
-    return out.otherwise(words)
+        out = F.when(F.lower(language) == name, these) if out is None else out.when(F.lower(language) == name, these)
+    rest = F.transform(words, _stemmer(conf.fallback_language)) if conf.fallback_language in _RULES else words
+    return F.array_distinct(rest if out is None else out.otherwise(rest))
 
 
-def matches_stems(stems: Column, groups: tuple[tuple[str, ...], ...], language: str) -> Column:
+def stem_groups(groups: tuple[tuple[str, ...], ...], language: str, conf: EngineConf = DEFAULT) -> list[list[str]]:
+    """Of each group its terms' stems; a term of several words stands for its words together and has none."""
+    name = language.lower() if language.lower() in conf.stemmed_languages else conf.fallback_language
+    return [[stem(t, name) for t in g if len(tokens(t)) == 1] for g in groups]
+
+
+def matches_stems(stems: Column, groups: tuple[tuple[str, ...], ...], language: str, conf: EngineConf = DEFAULT) -> Column:
     """Every group has a member whose stem the text has."""
     out = F.lit(True)
-    for g in groups:
-        out = out & F.arrays_overlap(stems, F.array(*[F.lit(stem(t, language)) for t in g]))
+    for own in stem_groups(groups, language, conf):
+        out = out & (F.arrays_overlap(stems, F.array(*map(F.lit, own))) if own else F.lit(False))
     return out

@@ -12,8 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-from tidewell.conf import DEFAULT, EngineConf
-from tidewell.model import NormalizedQuery
+from tidewell.conf import DEFAULT, EngineConf, imported
+from tidewell.model import Words
 
 TOKEN = re.compile(r"[^\W_]+(?:[-/][^\W_]+)*")
 CYRILLIC = ("Ѐ", "ӿ")
@@ -121,19 +121,38 @@ _SHIPPED = {
 }
 
 
+def _entries(given: object) -> dict:
+    """A dictionary's entries: a mapping, a JSON file, or the dotted path of a mapping or of what returns one."""
+    import json
+    import os
+
+    if isinstance(given, str):
+        if os.path.exists(given):
+            with open(given, encoding="utf-8") as f:
+                given = json.load(f)
+        else:
+            given = imported(given)
+            given = given() if callable(given) else given
+    if not isinstance(given, dict):
+        raise TypeError(f"no dictionary: {type(given).__name__}")
+    return given
+
+
 def dictionary(language: str, conf: EngineConf = DEFAULT) -> Dictionary:
-    """Shipped entries, overlaid by conf.dictionaries[language]: groups and stop words join, rewrites replace, the version is the larger."""
+    """Shipped entries, overlaid in turn by those of conf.dictionaries[language]: groups and stop words join, rewrites replace, the version is the largest."""
     language = (language or "").lower()
     version, groups, rewrites, stops = _SHIPPED.get(language, (0, "", "", ""))
     found = [tuple(g.split("=")) for g in groups.split(";") if g]
     changes = dict(r.split(">") for r in rewrites.split(";") if r)
     dropped = set(stops.split())
-    extra = conf.dictionaries.get(language, {})
-    found += [tuple(g) for g in extra.get("equivalents", ())]
-    changes |= extra.get("rewrites", {})
-    dropped |= set(extra.get("stopwords", ()))
+    given = conf.dictionaries.get(language, ())
+    for extra in map(_entries, given if isinstance(given, (list, tuple)) else [given]):
+        found += [tuple(g) for g in extra.get("equivalents", ())]
+        changes |= extra.get("rewrites", {})
+        dropped |= set(extra.get("stopwords", ()))
+        version = max(version, int(extra.get("version", 0)))
     folded = tuple(g for g in (tuple(dict.fromkeys(map(fold, g))) for g in found) if len(g) > 1)
-    return Dictionary(language, folded, {fold(k): fold(v) for k, v in changes.items()}, frozenset(map(fold, dropped)), max(version, int(extra.get("version", 0))))
+    return Dictionary(language, folded, {fold(k): fold(v) for k, v in changes.items()}, frozenset(map(fold, dropped)), version)
 
 
 def lint(d: Dictionary, conf: EngineConf = DEFAULT) -> list[str]:
@@ -160,7 +179,7 @@ def lint(d: Dictionary, conf: EngineConf = DEFAULT) -> list[str]:
     return out
 
 
-def normalize_query(text: str, language: str = "", conf: EngineConf = DEFAULT) -> NormalizedQuery:
+def normalize_query(text: str, language: str = "", conf: EngineConf = DEFAULT) -> Words:
     """fold, tokens, rewrites, stop words, synonyms or else transliteration, and the budget of terms, in this order."""
     d = dictionary(language, conf)
     words = [w for t in tokens(text) for w in (tokens(d.rewrites[t]) if t in d.rewrites else [t])]
@@ -179,7 +198,7 @@ def normalize_query(text: str, language: str = "", conf: EngineConf = DEFAULT) -
             used += len(group)
         if cut:
             break
-    return NormalizedQuery(text, d.language, tuple(groups), dropped, d.version, cut)
+    return Words(tuple(groups), text, d.language, dropped, d.version, cut)
 
 
 def contains_group(text: Column, group: tuple[str, ...]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.conf import DEFAULT, EngineConf
 from tidewell.functions.geo import geohash_col
+from tidewell.functions.stem import stems_col
 from tidewell.functions.text import fold_col
 from tidewell.sources.registry import FACET_MAPPINGS, OTHER_TYPE, Registry
 
@@ -71,7 +72,10 @@ def build_index(df: DataFrame, conf: EngineConf = DEFAULT, visible_statuses: tup
         text("title").alias("title"),
         text("body").alias("body"),
         extra.alias("text_extra"),
+        plain[0].alias("folded_title"),
+        plain[1].alias("folded_extra"),
         F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in plain]).alias("text_plain"),
+        stems_col(F.concat_ws(" ", text("title"), extra, text("body")), text("language"), conf).alias("stems"),
         facets.alias("facets"),
         terms.alias("facet_terms"),
         numbers.alias("numbers"),
@@ -99,6 +103,12 @@ def attach_category_path(df: DataFrame, categories: DataFrame) -> DataFrame:
     return out.withColumn("category_path", F.coalesce("category_path", "_path", F.when(F.col("category_id").isNotNull(), F.array("category_id")))).drop("_path")
 
 
+def unplaced(df: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """Rows with a category and no path, neither their own nor a known one: they are found under their category alone."""
+    bare = df.where("category_id IS NOT NULL AND category_path IS NULL")
+    return bare if categories is None else bare.join(categories.select("category_id"), "category_id", "left_anti")
+
+
 def defaulted_types(df: DataFrame, mappings: Registry = FACET_MAPPINGS) -> DataFrame:
     """Attribute types without a mapping, which are treated as terms."""
     types = df.select(F.explode(F.map_values("features")).alias("f")).select(F.col("f.type").alias("type"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.geo import haversine_col
-from tidewell.model import Cursor, SearchQuery
+from tidewell.model import Cursor, Search
 from tidewell.operators.filters import text_score
 from tidewell.sources.registry import SCORERS, Registry, scorers_for
 
@@ -13,12 +13,12 @@ from tidewell.sources.registry import SCORERS, Registry, scorers_for
 ORDERS = {"relevance": ("score", True), "newest": ("published_at", True), "price_asc": ("price_base", False), "price_desc": ("price_base", True), "distance": ("distance_km", False)}
 
 
-def scored(df: DataFrame, q: SearchQuery, scorers: Registry = SCORERS) -> DataFrame:
+def scored(df: DataFrame, q: Search, scorers: Registry = SCORERS) -> DataFrame:
     """df with distance_km and score, rounded before anything is ordered by them. q.as_of stands for now."""
-    distance = haversine_col(F.col("lat"), F.col("lon"), q.geo.lat, q.geo.lon) if q.geo is not None and q.geo.has_center else F.lit(None).cast("double")
+    distance = haversine_col(F.col("lat"), F.col("lon"), q.centre.lat, q.centre.lon) if q.centre else F.lit(None).cast("double")
     df = df.withColumn("distance_km", F.round(distance, 6))
     now = F.lit(q.as_of).cast("timestamp") if q.as_of else F.current_timestamp()
-    context: dict[str, Column] = {"text_score": text_score(q.text), "distance_km": F.col("distance_km"), "boost": F.col("boost"), "popularity": F.col("popularity"), "published_at": F.col("published_at").cast("timestamp"), "as_of": now, "category_path": F.col("category_path"), "facet_terms": F.col("facet_terms")}
+    context: dict[str, Column] = {"text_score": text_score(q.words), "distance_km": F.col("distance_km"), "boost": F.col("boost"), "popularity": F.col("popularity"), "published_at": F.col("published_at").cast("timestamp"), "as_of": now, "category_path": F.col("category_path"), "facet_terms": F.col("facet_terms")}
     total = F.lit(0.0)
     for s in scorers_for(q.sort, scorers):
         if s.expr is not None:
@@ -55,9 +55,9 @@ def behind(sort: str, cursor: Cursor, backwards: bool = False) -> Column:
     return F.coalesce(further | tied, F.lit(False)) if backwards else F.coalesce(further | tied, F.lit(True))
 
 
-def page(df: DataFrame, q: SearchQuery, extra: int = 0) -> DataFrame:
+def page(df: DataFrame, q: Search, extra: int = 0) -> DataFrame:
     """A page of scored rows, `extra` rows more to look ahead, in order; a top-k in each partition and no full sort."""
-    backwards = q.direction == "prev" and q.cursor is not None
+    backwards = q.backwards and q.cursor is not None
     if q.cursor is not None:
         df = df.where(behind(q.sort, q.cursor, backwards))
     out = df.orderBy(*ordering(q.sort, backwards)).limit(q.limit + extra)

@@ -9,7 +9,7 @@ from decimal import Decimal, InvalidOperation
 
 from tidewell.conf import DEFAULT, EngineConf
 from tidewell.functions.text import normalize_query
-from tidewell.model import Cursor, GeoFilter, QueryRefused, RangeFilter, SearchQuery
+from tidewell.model import Between, Box, Circle, Cursor, QueryRefused, Search
 
 
 def encode_cursor(c: Cursor) -> str:
@@ -42,24 +42,24 @@ def _number(text: str) -> Decimal | None:
     return d
 
 
-def parse_range(slug: str, text: str) -> RangeFilter:
+def parse_range(slug: str, text: str) -> Between:
     low, dots, high = str(text).partition("..")
     if not dots:
         raise QueryRefused("bad_range", text)
-    r = RangeFilter(slug, _number(low), _number(high))
-    if r.lower is None and r.upper is None or r.lower is not None and r.upper is not None and r.lower > r.upper:
+    r = Between(slug, _number(low), _number(high))
+    if r.low is None and r.high is None or r.low is not None and r.high is not None and r.low > r.high:
         raise QueryRefused("bad_range", text)
     return r
 
 
-def parse_geo(params: Mapping) -> GeoFilter | None:
+def parse_area(params: Mapping) -> Box | Circle | None:
     """A box wins over a circle."""
     try:
         if params.get("bbox"):
             south, west, north, east = (float(x) for x in str(params["bbox"]).split(","))
             if not (-90 <= south <= north <= 90 and -180 <= west <= 180 and -180 <= east <= 180):
                 raise QueryRefused("bad_geo", "bbox")
-            return GeoFilter(min_lat=south, min_lon=west, max_lat=north, max_lon=east)
+            return Box(south, west, north, east)
         given = [params.get(k) not in (None, "") for k in ("lat", "lon")]
         if not any(given):
             if params.get("radius") not in (None, ""):
@@ -73,10 +73,10 @@ def parse_geo(params: Mapping) -> GeoFilter | None:
         raise QueryRefused("bad_geo") from e
     if not all(given) or not (-90 <= lat <= 90 and -180 <= lon <= 180) or radius is not None and not radius > 0:
         raise QueryRefused("bad_geo")
-    return GeoFilter(lat=lat, lon=lon, radius_km=radius)
+    return Circle(lat, lon, radius)
 
 
-def parse_query(params: Mapping, doc_types: Mapping, conf: EngineConf = DEFAULT, accept_language: str = "") -> SearchQuery:
+def parse_query(params: Mapping, doc_types: Mapping, conf: EngineConf = DEFAULT, accept_language: str = "") -> Search:
     doc_type = params.get("type") or ""
     if doc_type not in doc_types:
         raise QueryRefused("unknown_doc_type", doc_type)
@@ -92,11 +92,11 @@ def parse_query(params: Mapping, doc_types: Mapping, conf: EngineConf = DEFAULT,
         raise QueryRefused("too_many_facets")
     if len(ranges) > conf.max_range_filters:
         raise QueryRefused("too_many_ranges")
-    geo = parse_geo(params)
+    area = parse_area(params)
     sort = params.get("sort") or ("relevance" if raw else "newest")
     if sort not in conf.sorts:
         raise QueryRefused("unknown_sort", sort)
-    if sort == "distance" and not (geo and geo.has_center):
+    if sort == "distance" and not isinstance(area, Circle):
         raise QueryRefused("distance_without_center")
     try:
         limit = max(1, min(conf.max_page_size, int(params.get("limit") or conf.default_page_size)))
@@ -107,21 +107,21 @@ def parse_query(params: Mapping, doc_types: Mapping, conf: EngineConf = DEFAULT,
         raise QueryRefused("window_exceeded")
     wanted = params.get("facets")
     slugs = None if wanted in (None, "", "on") else tuple(s.strip() for s in str(wanted).split(",") if s.strip())
-    return SearchQuery(
-        doc_type=doc_type,
-        text=text,
-        language=language,
-        language_filter=asked or None,
-        owner_key=params.get("owner") or None,
-        category_path=tuple(p for p in str(params.get("category") or "").strip("/").split("/") if p),
-        facets=facets,
-        ranges=ranges,
-        geo=geo,
+    return Search(
+        doc_type,
+        owner=params.get("owner") or None,
+        only_language=asked or None,
+        within=tuple(p for p in str(params.get("category") or "").strip("/").split("/") if p),
+        chosen=facets,
+        between=ranges,
+        area=area,
+        words=text,
         sort=sort,
-        limit=limit,
-        cursor=cursor,
-        direction="prev" if params.get("direction") == "prev" and cursor else "next",
-        facet_slugs=None if wanted == "off" else slugs,
-        count_facets=wanted != "off",
         as_of=(cursor.as_of if cursor else None) or params.get("as_of"),
+        cursor=cursor,
+        backwards=params.get("direction") == "prev" and cursor is not None,
+        limit=limit,
+        language=language,
+        counting=wanted != "off",
+        counted=None if wanted == "off" else slugs,
     )

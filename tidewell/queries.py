@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions import geo, text
-from tidewell.model import Cursor, GeoFilter, NormalizedQuery, RangeFilter, SearchQuery
+from tidewell.model import Between, Box, Circle, Cursor, Search, Words
 from tidewell.operators import build, changes, facets, filters, ranking, suggest
 from tidewell.plans.engine import Engine
 from tidewell.sources import corpora
@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 AS_OF, SIGNALS_AS_OF = "2002-01-01 00:00:00", "2024-01-20 00:00:00"
-CENTER = GeoFilter(lat=10.0, lon=20.0, radius_km=2000.0)
+CENTER = Circle(10.0, 20.0, 2000.0)
 
 _TABLES = {t: t for t in "region nation customer supplier part orders lineitem events documents labels pages".split()}
 FOLD = "replace(strip_accents(lower({0})), 'ß', 'ss')"
@@ -66,12 +66,12 @@ def document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, "document").index
 
 
-def ask(**how) -> SearchQuery:
-    return SearchQuery(**({"doc_type": "listing", "sort": "newest", "as_of": AS_OF} | how))
+def ask(**how) -> Search:
+    return Search(**({"doc_type": "listing", "sort": "newest", "as_of": AS_OF} | how))
 
 
-def words(*groups: str) -> NormalizedQuery:
-    return NormalizedQuery(terms=tuple(tuple(g.split("|")) for g in groups))
+def words(*groups: str) -> Words:
+    return Words(groups=tuple(tuple(g.split("|")) for g in groups))
 
 
 def _keys(name: str, where: str, **how) -> None:
@@ -85,24 +85,24 @@ def _keys(name: str, where: str, **how) -> None:
 
 
 _keys("q_visible_scan", "true")
-_keys("q_language_filter", "language = 'de'", language_filter="de")
-_keys("q_owner_filter", "owner_key = 's3'", owner_key="s3")
-_keys("q_category_prefix", "ptype = 'ECONOMY' AND noun = 'widget'", category_path=("ECONOMY", "widget"))
-_keys("q_facet_or_within", "brand IN ('Brand#2', 'Brand#17')", facets={"brand": ["Brand#2", "Brand#17"]})
-_keys("q_facet_and_across", "brand IN ('Brand#2', 'Brand#17') AND ptype = 'ECONOMY'", facets={"brand": ["Brand#2", "Brand#17"], "ptype": ["ECONOMY"]})
-_keys("q_facet_path_rollup", "region = 'ASIA'", facets={"place": ["ASIA"]})
-_keys("q_range_closed", "size BETWEEN 10 AND 30", ranges=(RangeFilter("size", Decimal(10), Decimal(30)),))
-_keys("q_range_open_lower", "size <= 7", ranges=(RangeFilter("size", None, Decimal(7)),))
-_keys("q_range_open_upper", "price_base >= 950.5", ranges=(RangeFilter("price", Decimal("950.5"), None),))
-_keys("q_bbox", "lat BETWEEN -30 AND 30 AND lon BETWEEN -50 AND 60", geo=GeoFilter(min_lat=-30.0, min_lon=-50.0, max_lat=30.0, max_lon=60.0))
-_keys("q_bbox_antimeridian", "lat BETWEEN -20 AND 20 AND (lon >= 170 OR lon <= -170)", geo=GeoFilter(min_lat=-20.0, min_lon=170.0, max_lat=20.0, max_lon=-170.0))
-_keys("q_radius_filter", f"{_DIST} <= 2000", geo=CENTER)
+_keys("q_language_filter", "language = 'de'", only_language="de")
+_keys("q_owner_filter", "owner_key = 's3'", owner="s3")
+_keys("q_category_prefix", "ptype = 'ECONOMY' AND noun = 'widget'", within=("ECONOMY", "widget"))
+_keys("q_facet_or_within", "brand IN ('Brand#2', 'Brand#17')", chosen={"brand": ["Brand#2", "Brand#17"]})
+_keys("q_facet_and_across", "brand IN ('Brand#2', 'Brand#17') AND ptype = 'ECONOMY'", chosen={"brand": ["Brand#2", "Brand#17"], "ptype": ["ECONOMY"]})
+_keys("q_facet_path_rollup", "region = 'ASIA'", chosen={"place": ["ASIA"]})
+_keys("q_range_closed", "size BETWEEN 10 AND 30", between=(Between("size", Decimal(10), Decimal(30)),))
+_keys("q_range_open_lower", "size <= 7", between=(Between("size", None, Decimal(7)),))
+_keys("q_range_open_upper", "price_base >= 950.5", between=(Between("price", Decimal("950.5"), None),))
+_keys("q_bbox", "lat BETWEEN -30 AND 30 AND lon BETWEEN -50 AND 60", area=Box(-30.0, -50.0, 30.0, 60.0))
+_keys("q_bbox_antimeridian", "lat BETWEEN -20 AND 20 AND (lon >= 170 OR lon <= -170)", area=Box(-20.0, 170.0, 20.0, -170.0))
+_keys("q_radius_filter", f"{_DIST} <= 2000", area=CENTER)
 
 
 @query(_WITH + "SELECT doc_key FROM vis WHERE size BETWEEN 10 AND 30")
 def q_range_semi_join(spark, sf_dir):
     index = listing(spark, sf_dir)
-    return filters.in_range_semi(filters.candidates(index, ask()), filters.numbers_table(index), RangeFilter("size", Decimal(10), Decimal(30))).select("doc_key")
+    return filters.in_range_semi(filters.candidates(index, ask()), filters.numbers_table(index), Between("size", Decimal(10), Decimal(30))).select("doc_key")
 
 
 def _page(name: str, order: str, value: str, extra: str = "true", **how) -> None:
@@ -119,22 +119,22 @@ def _page(name: str, order: str, value: str, extra: str = "true", **how) -> None
 
 _NEWEST, _PRICE = "strftime(published_at, '%Y-%m-%dT%H:%M:%S.%f')", "CAST(price_base AS VARCHAR)"
 _page("q_sort_newest", "published_at DESC NULLS LAST, doc_key", _NEWEST)
-_page("q_sort_price_asc_nulls_last", "price_base NULLS LAST, doc_key", _PRICE, "brand = 'Brand#2'", sort="price_asc", facets={"brand": ["Brand#2"]})
+_page("q_sort_price_asc_nulls_last", "price_base NULLS LAST, doc_key", _PRICE, "brand = 'Brand#2'", sort="price_asc", chosen={"brand": ["Brand#2"]})
 _page("q_sort_price_desc_nulls_last", "price_base DESC NULLS LAST, doc_key", _PRICE, sort="price_desc")
 _page("q_keyset_next", "price_base NULLS LAST, doc_key", _PRICE, "(price_base > 920.10 OR (price_base = 920.10 AND doc_key > '1201') OR price_base IS NULL)", sort="price_asc", cursor=Cursor("920.10", "1201", 24))
-_page("q_keyset_prev", "price_base DESC NULLS FIRST, doc_key DESC", _PRICE, "(price_base < 960.10 OR (price_base = 960.10 AND doc_key < '601'))", sort="price_asc", direction="prev", cursor=Cursor("960.10", "601", 200))
+_page("q_keyset_prev", "price_base DESC NULLS FIRST, doc_key DESC", _PRICE, "(price_base < 960.10 OR (price_base = 960.10 AND doc_key < '601'))", sort="price_asc", backwards=True, cursor=Cursor("960.10", "601", 200))
 _page("q_keyset_null_frontier", "doc_key", _PRICE, "price_base IS NULL AND doc_key > '1300'", sort="price_asc", cursor=Cursor(None, "1300", 24))
 
 
 @query(_WITH + f"SELECT doc_key, round({_DIST}, 2) AS distance_km FROM vis WHERE {_DIST} <= 2000 ORDER BY {_DIST}, doc_key LIMIT 50")
 def q_sort_distance(spark, sf_dir):
-    q = ask(geo=CENTER, sort="distance", limit=50)
+    q = ask(area=CENTER, sort="distance", limit=50)
     return ranking.page(ranking.scored(filters.candidates(listing(spark, sf_dir), q), q), q).select("doc_key", F.round("distance_km", 2).alias("distance_km"))
 
 
 @query(_WITH + "SELECT count(*) AS total FROM vis WHERE ptype = 'ECONOMY'")
 def q_exact_total(spark, sf_dir):
-    return filters.candidates(listing(spark, sf_dir), ask(facets={"ptype": ["ECONOMY"]})).agg(F.count("*").alias("total"))
+    return filters.candidates(listing(spark, sf_dir), ask(chosen={"ptype": ["ECONOMY"]})).agg(F.count("*").alias("total"))
 
 
 @query(_WITH + "SELECT least(count(*), 101) AS total FROM vis")
@@ -147,7 +147,7 @@ _TERMS = "SELECT split_part(t, '=', 1) AS slug, substr(t, strpos(t, '=') + 1) AS
 
 def _counts(name: str, slugs: tuple[str, ...], sql: str, after=None, **how) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        plan = facets.FacetPlan(slugs, {s: "term" for s in slugs}, {"brand": ("Brand#1", "Brand#99", "none")})
+        plan = facets.CountPlan(slugs, {s: "term" for s in slugs}, {"brand": ("Brand#1", "Brand#99", "none")})
         counts = facets.facet_counts(listing(spark, sf_dir), ask(**how), plan)
         return after(counts, plan) if after else counts
 
@@ -156,34 +156,34 @@ def _counts(name: str, slugs: tuple[str, ...], sql: str, after=None, **how) -> N
 
 
 _counts("q_facet_counts", ("brand", "ptype", "noun"), _TERMS.format("true", "'brand', 'ptype', 'noun'"))
-_counts("q_facet_counts_path", ("place",), _TERMS.format("size > 20", "'place'"), ranges=(RangeFilter("size", Decimal("20.5"), None),))
+_counts("q_facet_counts_path", ("place",), _TERMS.format("size > 20", "'place'"), between=(Between("size", Decimal("20.5"), None),))
 _counts(
     "q_facet_drilldown_onepass",
     ("brand", "ptype", "noun"),
     " UNION ALL ".join(_TERMS.format(w, f"'{s}'") for s, w in (("brand", "ptype = 'ECONOMY' AND noun = 'widget'"), ("ptype", "brand IN ('Brand#2', 'Brand#3') AND noun = 'widget'"), ("noun", "brand IN ('Brand#2', 'Brand#3') AND ptype = 'ECONOMY'"))),
-    facets={"brand": ["Brand#2", "Brand#3"], "ptype": ["ECONOMY"], "noun": ["widget"]},
+    chosen={"brand": ["Brand#2", "Brand#3"], "ptype": ["ECONOMY"], "noun": ["widget"]},
 )
-_counts("q_facet_zero_fill", ("brand",), f", c AS ({_TERMS.format('size < 3', chr(39) + 'brand' + chr(39))}), o(slug, value) AS (VALUES ('brand', 'Brand#1'), ('brand', 'Brand#99'), ('brand', 'none')) SELECT slug, value, coalesce(count, 0) AS count FROM c FULL JOIN o USING (slug, value)", facets.zero_filled, ranges=(RangeFilter("size", None, Decimal(2)),))
+_counts("q_facet_zero_fill", ("brand",), f", c AS ({_TERMS.format('size < 3', chr(39) + 'brand' + chr(39))}), o(slug, value) AS (VALUES ('brand', 'Brand#1'), ('brand', 'Brand#99'), ('brand', 'none')) SELECT slug, value, coalesce(count, 0) AS count FROM c FULL JOIN o USING (slug, value)", facets.zero_filled, between=(Between("size", None, Decimal(2)),))
 _counts("q_facet_top200", ("brand", "noun"), f", c AS ({_TERMS.format('true', chr(39) + 'brand' + chr(39) + ', ' + chr(39) + 'noun' + chr(39))}) SELECT slug, value, count, row_number() OVER (PARTITION BY slug ORDER BY count DESC, value) AS place FROM c QUALIFY place <= 5", lambda c, p: facets.top_values(c, 5))
 
 
 @query(_WITH + "SELECT 'brand' AS slug, count(*) AS candidates FROM vis WHERE ptype = 'ECONOMY' UNION ALL SELECT 'ptype', count(*) FROM vis WHERE brand = 'Brand#2' UNION ALL SELECT 'noun', count(*) FROM vis WHERE brand = 'Brand#2' AND ptype = 'ECONOMY'")
 def q_facet_candidates(spark, sf_dir):
-    return facets.facet_candidates(listing(spark, sf_dir), ask(facets={"brand": ["Brand#2"], "ptype": ["ECONOMY"]}), facets.FacetPlan(("brand", "ptype", "noun")))
+    return facets.facet_candidates(listing(spark, sf_dir), ask(chosen={"brand": ["Brand#2"], "ptype": ["ECONOMY"]}), facets.CountPlan(("brand", "ptype", "noun")))
 
 
 @query()
 def q_facet_sampled(spark, sf_dir):
-    return facets.sampled_counts(listing(spark, sf_dir), ask(), facets.FacetPlan(("brand",)), 0.5)
+    return facets.sampled_counts(listing(spark, sf_dir), ask(), facets.CountPlan(("brand",)), 0.5)
 
 
 _T1, _T2 = "contains(text_plain, 'red') OR contains(text_plain, 'blue')", "contains(text_plain, 'ring')"
-_keys("q_text_and_groups", f"({_T1}) AND ({_T2})", text=words("red|blue", "ring"))
+_keys("q_text_and_groups", f"({_T1}) AND ({_T2})", words=words("red|blue", "ring"))
 
 
 @query(_DOC + "SELECT doc_key FROM vis WHERE (contains(folded_title, 'erte') OR contains(text_body, 'erte')) AND (contains(folded_title, 'ation') OR contains(text_body, 'ation') OR contains(folded_title, 'einge') OR contains(text_body, 'einge'))")
 def q_text_documents(spark, sf_dir):
-    return filters.candidates(document(spark, sf_dir), ask(doc_type="document", text=words("erte", "ation|einge"))).select("doc_key")
+    return filters.candidates(document(spark, sf_dir), ask(doc_type="document", words=words("erte", "ation|einge"))).select("doc_key")
 
 
 def _weight(*terms: str) -> str:
@@ -206,8 +206,8 @@ def q_tokenize(spark, sf_dir):
     return document(spark, sf_dir).where("visible").select("doc_key", F.array_join(text.tokens_col(F.col("title")), " ").alias("words"))
 
 
-_keys("q_synonym_expand", "contains(text_plain, 'laptop') OR contains(text_plain, 'notebook') OR contains(text_plain, 'tv') OR contains(text_plain, 'ring')", text=NormalizedQuery(terms=(tuple(dict.fromkeys([*text.normalize_query("laptop", "en").terms[0], *text.normalize_query("tv", "en").terms[0], "ring"])),)))
-_keys("q_stopword_strip", "contains(text_plain, 'ring')", text=text.normalize_query("urgent ring cheap", "en"))
+_keys("q_synonym_expand", "contains(text_plain, 'laptop') OR contains(text_plain, 'notebook') OR contains(text_plain, 'tv') OR contains(text_plain, 'ring')", words=Words(groups=(tuple(dict.fromkeys([*text.normalize_query("laptop", "en").groups[0], *text.normalize_query("tv", "en").groups[0], "ring"])),)))
+_keys("q_stopword_strip", "contains(text_plain, 'ring')", words=text.normalize_query("urgent ring cheap", "en"))
 
 
 def _scores(name: str, sql: str, only: str | None, **how) -> None:
@@ -225,8 +225,8 @@ def _scores(name: str, sql: str, only: str | None, **how) -> None:
 _POP = "CAST(popularity AS DOUBLE) / (popularity + 10)"
 _scores("q_score_freshness", f"SELECT doc_key, round(round(0.3 * {_FRESH}, 6), 4) AS score FROM vis", "freshness_decay")
 _scores("q_score_popularity", f"SELECT doc_key, round(round(0.2 * {_POP}, 6), 4) AS score FROM vis", "popularity")
-_scores("q_score_geo_decay", f"SELECT doc_key, round(round(0.3 * greatest(0.0, 1 - {_DIST} / 50), 6), 4) AS score FROM vis WHERE {_DIST} <= 2000", "geo_decay", geo=CENTER)
-_scores("q_relevance_score", f"SELECT doc_key, round(round({_weight('ring')} + 0.3 * {_FRESH} + 0.2 * {_POP}, 6), 4) AS score FROM vis WHERE {_T2}", None, text=words("ring"))
+_scores("q_score_geo_decay", f"SELECT doc_key, round(round(0.3 * greatest(0.0, 1 - {_DIST} / 50), 6), 4) AS score FROM vis WHERE {_DIST} <= 2000", "geo_decay", area=CENTER)
+_scores("q_relevance_score", f"SELECT doc_key, round(round({_weight('ring')} + 0.3 * {_FRESH} + 0.2 * {_POP}, 6), 4) AS score FROM vis WHERE {_T2}", None, words=words("ring"))
 
 
 @query(_WITH + "SELECT DISTINCT title FROM vis WHERE starts_with(folded_title, 'red') ORDER BY title LIMIT 10")
@@ -366,7 +366,7 @@ def q_geohash_prefilter(spark, sf_dir):
 
 @query()
 def q_typo_arm(spark, sf_dir):
-    return engine(spark, sf_dir, "listing").candidates(ask(text=words("widgett")), fuzzy=True).select("doc_key")
+    return engine(spark, sf_dir, "listing").candidates(ask(words=words("widgett")), fuzzy=True).select("doc_key")
 
 
 @query()
@@ -397,7 +397,7 @@ def q_stream_ingest(spark, sf_dir):
 @query(_WITH + "SELECT doc_key FROM vis WHERE brand IN ('Brand#2', 'Brand#3') AND size BETWEEN 10 AND 30 ORDER BY price_base NULLS LAST, doc_key LIMIT 24")
 def q_search_flagship(spark, sf_dir):
     """Facet, range, sort and page in one plan: what search() runs for its items."""
-    q = ask(facets={"brand": ["Brand#2", "Brand#3"]}, ranges=(RangeFilter("size", Decimal(10), Decimal(30)),), sort="price_asc", limit=24)
+    q = ask(chosen={"brand": ["Brand#2", "Brand#3"]}, between=(Between("size", Decimal(10), Decimal(30)),), sort="price_asc", limit=24)
     return ranking.page(engine(spark, sf_dir, "listing").hits(q), q).select("doc_key")
 
 

@@ -1,57 +1,145 @@
-"""The change paths as streams: each batch is folded into a versioned Parquet state.
+"""The change paths as streams: each batch is folded into a state in buckets of keys.
 
-foreachBatch runs at least once, so a batch writes under its own number and a repeated one replaces itself. Late means
-late by sequence number, not by time: no watermark drops rows, the guards of the fold do.
+foreachBatch runs at least once. A batch writes the buckets that it touches under its own number, reads those before it,
+and so replaces itself when it is repeated; a state's bucket is that of the highest number. What two later batches have
+replaced is removed, so that a batch costs what it touches and disk holds two states at most. Late means late by
+sequence number, not by time: no watermark drops rows, the guards do.
 """
 
 from __future__ import annotations
 
-import os
 import re
+from collections import defaultdict
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.operators.changes import guard_fold, last_signals
+from tidewell.operators import changes
+from tidewell.sources import events as inbound
+from tidewell.sources.registry import Registry
 
+BUCKETS = 64
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [re.fullmatch(r"v=(\d+)", s.getPath().getName()) for s in fs.listStatus(path)]
-    done = [int(m[1]) for m in found if m and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{m[0]}/_SUCCESS"))]
-    return sorted(done)
 
+def bucket_of(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-def latest_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    versions = [v for v in _versions(spark, folder) if before is None or v < before]
-    return spark.read.parquet(os.path.join(folder, f"v={versions[-1]}")) if versions else None
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """bucket -> numbers of the batches that wrote it and ended, rising."""
+    path, fs = _files(spark, folder)
+    out: dict[int, list[int]] = defaultdict(list)
+    if fs.exists(path):
+        for s in fs.listStatus(path):
+            m = re.fullmatch(r"v=(\d+)", s.getPath().getName())
+            if not m or not fs.exists(_files(spark, f"{folder}/{m[0]}/_SUCCESS")[0]):
+                continue
+            for b in fs.listStatus(s.getPath()):
+                if n := re.fullmatch(r"bucket=(\d+)", b.getPath().getName()):
+                    out[int(n[1])].append(int(m[1]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def state(spark: SparkSession, folder: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """What the batches (those before one) have left, of some buckets or of all; None if nothing."""
+    paths = []
+    for b, versions in sorted(_versions(spark, folder).items()):
+        known = [v for v in versions if before is None or v < before]
+        if known and (buckets is None or b in buckets):
+            paths.append(f"{folder}/v={known[-1]}/bucket={b}")
+    return spark.read.parquet(*paths) if paths else None
+
+
+latest_state = state
+
+
+def _store(rows: DataFrame, folder: str, number: int, keys: list[str]) -> None:
+    rows.withColumn("bucket", bucket_of(*keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+    spark = rows.sparkSession
+    for b, versions in _versions(spark, folder).items():
+        # the batch may come again and then reads what was before it
+        kept = {versions[-1], *[v for v in versions if v < number][-1:]}
+        for v in versions:
+            if v not in kept:
+                path, fs = _files(spark, f"{folder}/v={v}/bucket={b}")
+                fs.delete(path, True)
+
+
+def _touched(keys: DataFrame, *names: str) -> set[int]:
+    """At most BUCKETS numbers."""
+    return {r.b for r in keys.select(bucket_of(*names).alias("b")).distinct().collect()}
 
 
 def ingest_stream(deliveries: DataFrame, payload: list[str], folder: str, checkpoint: str) -> StreamingQuery:
-    """Deliveries (doc_key, arrival, seq, eid, payload) into the last state of each key under folder/v=N."""
+    """Deliveries (doc_key, arrival, seq, eid, payload) into the last state of each key."""
     keep = ["doc_key", "seq", "eid", *payload]
 
     def apply(batch: DataFrame, number: int) -> None:
-        state = latest_state(batch.sparkSession, folder, number)
-        changed = guard_fold(batch, payload, state).select(*keep)
-        whole = changed if state is None else changed.unionByName(state.join(changed.select("doc_key"), "doc_key", "left_anti").select(*keep))
-        whole.write.mode("overwrite").parquet(os.path.join(folder, f"v={number}"))
+        batch.persist()
+        held = state(batch.sparkSession, folder, number, _touched(batch, "doc_key"))
+        # what is held came before all that arrives
+        known = [] if held is None else [held.withColumn("arrival", F.lit(-1).cast("long"))]
+        log = batch.select("doc_key", F.col("arrival").cast("long").alias("arrival"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "eid", *payload)
+        for k in known:
+            log = log.unionByName(k)
+        _store(changes.latest_by_sequence(log, ["eid", *payload]).select(*keep), folder, number, ["doc_key"])
+        batch.unpersist()
 
     return deliveries.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def event_stream(events: DataFrame, sources: Registry, pull: Callable[[str, DataFrame], DataFrame], folder: str, checkpoint: str, paths: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Events (inbound.ENVELOPE) into an index: documents that an event names are pulled and ingested, signals applied, owners erased, categories renamed.
+
+    pull(doc_type, keys): index rows of the keys that the source still has. paths(category ids): category_id, path of changed categories.
+    Times are those of the events, never the wall clock's.
+    """
+    inbound.wire(sources)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        last = batch.agg(F.max("timestamp")).first()[0] or 0
+        at = spark.range(1).select(F.date_format(F.timestamp_millis(F.lit(last)), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        keys = None
+        for s in sources.values():
+            one = inbound.keys_of(batch, s)
+            keys = one if keys is None else keys.unionByName(one)
+        signals, owners, moved = inbound.signals_of(batch), inbound.deleted_owners(batch), inbound.changed_categories(batch)
+        everywhere = not owners.isEmpty() or paths is not None and not moved.isEmpty()
+        buckets = None if everywhere else _touched(keys.select(*changes.KEY).union(signals.select(*changes.KEY)), *changes.KEY)
+        built = None
+        for name in sources:
+            rows = pull(name, keys.where(F.col("doc_type") == name))
+            built = rows if built is None else built.unionByName(rows)
+        held = state(spark, folder, number, buckets)
+        index = built.limit(0) if held is None else held.select(*built.columns)
+        after, _ = changes.ingest(index, built, keys, at)
+        after = changes.with_signals(after, changes.folded_signals(signals))
+        if everywhere:
+            after = changes.erased(after, owners).select(*built.columns)
+            if paths is not None:
+                after = changes.recategorised(after, paths(moved))
+        _store(after, folder, number, changes.KEY)
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def signal_stream(signals: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Signals are appended as they come, once for each batch; their state is last_signals() of all that came."""
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(folder, f"batch={number}"))
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return signals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def signal_state(spark: SparkSession, folder: str) -> DataFrame:
-    return last_signals(spark.read.parquet(folder).drop("batch"))
+    return changes.last_signals(spark.read.parquet(folder).drop("batch"))
