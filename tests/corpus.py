@@ -39,3 +39,5 @@ ROWS = [
 
 def index(spark, rows=None):
     return build_index(spark.createDataFrame(ROWS if rows is None else rows, INPUT_SCHEMA)).withColumn("indexed_at", F.lit("2026-04-01").cast("timestamp"))
+
+WORDS = {"equivalents": [["couch", "sofa"]]}

@@ -75,3 +75,182 @@ def test_commands(spark, tmp_path, capsys):
     lines = capsys.readouterr().out.strip().splitlines()
     assert json.loads(lines[-2])["in_sync"] and len(json.loads(lines[-1])["items"]) <= 2
 
+    assert cli.main(["reindex", *where, "--keys", "1,2,none"]) == 0 and cli.main(["catch-up", *where]) == 0 and cli.main(["purge", *where]) == 0 and cli.main(["expire", *where]) == 0
+    assert cli.main(["rebuild", *where, "--type", "page"]) == 0 and cli.main(["health", *where]) == 0 and cli.main(["validate", *where]) == 0 and cli.main(["suggest", *where, "--prefix", "re"]) == 0
+    lines = [json.loads(line) if line.startswith("{") else line for line in capsys.readouterr().out.strip().splitlines()]
+    assert lines[0] == {"indexed": 2, "removed": 0, "missing": 1, "duplicate": 0, "stale": 0, "truncated": 0} and len(lines[-1]["items"]) > 0
+    # a rebuild of pages leaves listings as they were
+    types = next(x["types"] for x in lines if isinstance(x, dict) and "types" in x)
+    assert types["listing"]["documents"] > 100 and types["page"]["documents"] == 50
+    settings = tmp_path / "s.json"
+    settings.write_text(json.dumps({"TYPO_THRESHOLD": 5}))
+    assert cli.main(["settings", "--settings", str(settings)]) == 0 and json.loads(capsys.readouterr().out)["typo_threshold"] == 5
+
+
+def two(spark):
+    """A thing and a page of the same key."""
+    own = index(spark, [doc("1", "one"), doc("2", "two")])
+    return own.unionByName(index(spark, [doc("1", "page one", doc_type="page")]))
+
+
+def test_types_with_one_key_stay_apart(spark):
+    both = two(spark).withColumn("boost", F.when(F.col("doc_type") == "page", 2.0).otherwise(1.0))
+    gone = spark.createDataFrame([("thing", "1")], "doc_type string, doc_key string")
+    seen = lambda df: {(r.doc_type, r.doc_key): r for r in df.collect()}
+    hidden = seen(changes.tombstones(both, gone, AT))
+    assert not hidden["thing", "1"].visible and hidden["page", "1"].visible
+    built = index(spark, [doc("1", "new")])
+    keys = spark.createDataFrame([("thing", "1", "e", 9), ("thing", "2", "e", 9)], "doc_type string, doc_key string, eid string, seq long")
+    after, report = changes.ingest(both, built, keys, AT)
+    rows = seen(after)
+    assert rows["thing", "1"].title == "new" and rows["page", "1"].title == "page one" and rows["page", "1"].boost == 2.0 and rows["thing", "1"].boost == 1.0 and not rows["thing", "2"].visible
+    assert changes.merged(report, report).first().asDict() == {"indexed": 2, "removed": 2, "missing": 2, "duplicate": 0, "stale": 0, "truncated": 0}
+    rebuilt = seen(changes.rebuild(both, built.drop("indexed_at").withColumn("indexed_at", F.lit(AT).cast("timestamp")).select(*both.columns), AT))
+    assert rebuilt["page", "1"].visible and rebuilt["page", "1"].boost == 2.0 and rebuilt["thing", "1"].boost == 1.0 and not rebuilt["thing", "2"].visible
+    emptied = seen(changes.rebuild(both, built.limit(0).select(*both.columns), AT, ("thing",)))
+    assert not emptied["thing", "1"].visible and emptied["page", "1"].visible
+
+
+def test_signals_without_ids_and_of_types(spark):
+    rows = [(1, "", "thing", "1", "boost", 1.0, None), (2, "", "thing", "2", "boost", 2.0, None), (3, None, "page", "1", "promoted", 1.0, None), (4, "s", "thing", "1", "popularity", 5.0, None), (5, "s", "thing", "1", "popularity", 9.0, None)]
+    log = spark.createDataFrame(rows, "arrival long, sig_id string, doc_type string, doc_key string, kind string, value double, expires_at timestamp")
+    got = {(r.doc_type, r.doc_key): (r.boost, r.popularity, r.promoted) for r in changes.last_signals(log).collect()}
+    assert got == {("thing", "1"): (1.0, 5, False), ("thing", "2"): (2.0, 0, False), ("page", "1"): (0.0, 0, True)}
+    both = two(spark).withColumn("popularity", F.lit(7))
+    after = {(r.doc_type, r.doc_key): (r.boost, r.popularity, r.promoted) for r in changes.with_signals(both, changes.folded_signals(log)).collect()}
+    # a kind that nobody signalled stays
+    assert after == {("thing", "1"): (1.0, 5, False), ("thing", "2"): (2.0, 7, False), ("page", "1"): (0.0, 7, True)}
+    audit = changes.signal_audit(both.where("doc_key = '1'"), log).collect()
+    assert len(audit) == 4 and sum(not r.applied for r in audit) == 1
+
+
+def test_latest_by_sequence_is_the_fold(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(k, str(rng.randrange(12)), f"e{k}", rng.choice([0, 0, *range(1, 9)]), f"v{k}") for k in range(400)]
+    log = spark.createDataFrame(rows, "arrival long, doc_key string, eid string, seq long, title string")
+    fold = {r.doc_key: (r.title, r.seq) for r in changes.guard_fold(log, ["title"]).collect()}
+    latest = changes.latest_by_sequence(log, ["title"])
+    assert {r.doc_key: (r.title, r.seq) for r in latest.collect()} == fold
+    assert "Window" not in plan(latest)
+
+
+def test_event_stream(spark, tmp_path):
+    from tidewell.sources.registry import Registry, Source
+    from tidewell.streaming.jobs import event_stream, state
+
+    sources = Registry({"thing": Source("thing", lambda s, d: None, signals=("listing.updated",)), "page": Source("page", lambda s, d: None, key_fields=("page_id",), signals=("listing.published",))})
+    docs = index(spark, [doc("1", "one", category_path=["root", "c1"]), doc("2", "two", owner_key="gone"), doc("3", "three")]).unionByName(index(spark, [doc("1", "page", doc_type="page")]))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    batches = [
+        [("a", "listing.updated", 10, {"key": "1"}), ("b", "listing.updated", 11, {"key": "2"}), ("c", "listing.published", 12, {"page_id": "1"}), ("d", "listing.updated", 12, {"other": "1"})],
+        [("e", "search.signal", 20, {"doc_type": "thing", "doc_key": "1", "boost": 2.0}), ("f", "listing.updated", 21, {"key": "9"}), ("g", "listing.updated", 5, {"key": "1"})],
+        [("h", "user.deleted", 30, {"user_id": "gone"}), ("i", "category.changed", 31, {"category_id": "c1", "revision": 2}), ("j", "listing.updated", 32, {"key": "3"})],
+    ]
+    paths = lambda moved: moved.select("category_id", F.array(F.lit("top"), F.col("category_id")).alias("path"))
+    for rows in batches:
+        spark.createDataFrame([(i, n, t, json.dumps(p)) for i, n, t, p in rows], events.ENVELOPE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.ENVELOPE).parquet(str(tmp_path / "in"))
+        event_stream(stream, sources, lambda kind, keys: changes.pulled(docs.where(F.col("doc_type") == kind), keys), str(tmp_path / "state"), str(tmp_path / "cp"), paths).awaitTermination()
+    rows = {(r.doc_type, r.doc_key): r for r in state(spark, str(tmp_path / "state")).collect()}
+    assert rows.keys() == {("thing", "1"), ("page", "1"), ("thing", "3")}
+    assert rows["thing", "1"].boost == 2.0 and rows["thing", "1"].source_seq == 10 and list(rows["thing", "1"].category_path) == ["top", "c1"]
+    # two states of a bucket at most
+    assert all(len(list((tmp_path / "state").glob(f"v=*/bucket={b}"))) <= 2 for b in range(64))
+    bad = spark.createDataFrame([(i, n, t, json.dumps(p)) for i, n, t, p in batches[0]], events.ENVELOPE)
+    assert [(r.doc_type, r.event_id) for r in events.without_key(bad, sources).collect()] == [("thing", "d")]
+
+
+def test_wiring_is_refused():
+    import pytest
+
+    from tidewell.sources.registry import Registry, Source
+
+    with pytest.raises(ValueError, match="E004:x:never.heard"):
+        events.wire(Registry({"x": Source("x", lambda s, d: None, signals=("never.heard",))}))
+    assert events.wire(SOURCES) is SOURCES
+
+
+def test_schedules(spark):
+    from datetime import datetime
+
+    from tidewell.streaming.schedule import due, jobs, run_due
+
+    now = datetime(2026, 5, 1, 3, 25)
+    names = lambda last: [j.name for j in due(now, last)]
+    assert names({}) == list(jobs())
+    assert names(dict.fromkeys(jobs(), datetime(2026, 5, 1, 3, 21))) == ["expire_signals"]
+    assert names(dict.fromkeys(jobs(), datetime(2026, 5, 1, 3, 19))) == list(jobs()) and names(dict.fromkeys(jobs(), now)) == []
+    assert [j.name for j in due(datetime(2026, 5, 1, 3, 10), dict.fromkeys(jobs(), datetime(2026, 4, 30, 23, 59)))] == ["reindex_stale", "expire_signals"]
+    rows = index(spark).withColumns({"source_updated_at": F.lit("2026-04-01").cast("timestamp"), "promoted": F.lit(True), "promotion_expires_at": F.lit("2026-04-02").cast("timestamp")})
+    after, keys, ran = run_due(rows, now, {})
+    assert ran == list(jobs()) and keys.count() == 5 and after.where("promoted").count() == 0 and after.where("visible").count() == 4 and after.count() == 4
+
+
+def test_settings_and_dictionaries(tmp_path):
+    import pytest
+
+    from tidewell.functions.text import dictionary
+
+    file = tmp_path / "d.json"
+    file.write_text(json.dumps({"version": 7, "equivalents": [["bike", "Bicycle"]], "stopwords": ["Very"]}), encoding="utf-8")
+    conf = EngineConf.of({"DICTIONARIES": {"en": [str(file), "tests.corpus.WORDS", {"rewrites": {"fone": "phone"}}]}, "max_page_size": 5})
+    d = dictionary("en", conf)
+    assert d.version == 7 and d.group("bike") == ("bike", "bicycle") and "very" in d.stopwords and d.rewrites == {"fone": "phone"} and d.group("couch") == ("couch", "sofa") and conf.max_page_size == 5
+    with pytest.raises(ValueError, match="unknown settings: no_such"):
+        EngineConf.of({"no_such": 1})
+    with pytest.raises(ImportError):
+        dictionary("en", EngineConf(dictionaries={"en": "nowhere"}))
+    with pytest.raises(TypeError):
+        dictionary("en", EngineConf(dictionaries={"en": 3}))
+
+
+def test_all_checks(spark):
+    conf = EngineConf(engine="tidewell.plans.engine.Nothing", sorts=("newest", "popular", "odd"))
+    inputs = spark.createDataFrame([doc("1", category_id="c9", category_path=None)], INPUT_SCHEMA)
+    e = Engine(index(spark).drop("stems").withColumn("truncated_terms", F.lit(1)), conf)
+    found = e.validate(inputs, scheduled=("expire_signals",))
+    assert found == ["E001:tidewell.plans.engine.Nothing", "E002:odd", "E003:stems", "W006", "W003:reindex_stale", "W003:purge_tombstones", "W004", "W005"]
+    known = spark.createDataFrame([("c9", ["root", "c9"])], "category_id string, path array<string>")
+    assert "W006" not in e.validate(inputs, categories=known)
+    assert Engine(index(spark), EngineConf(engine="collections.OrderedDict")).validate()[:2] == ["E002:search", "E002:suggest"]
+
+
+def test_degraded_paths_are_said(spark):
+    from tidewell.sources.registry import Registry, Source
+
+    inputs = spark.createDataFrame([doc("1", category_id="c9", category_path=None)], INPUT_SCHEMA)
+    sources = Registry({"thing": Source("thing", lambda s, d: inputs)})
+    out = Engine.over(spark, "", ("thing",), sources=sources).search({"type": "thing", "category": "c9", "as_of": AT})
+    assert out["degraded"] == ["category_path"] and [i["key"] for i in out["items"]] == ["1"]
+    known = spark.createDataFrame([("c9", ["root", "c9"])], "category_id string, path array<string>")
+    out = Engine.over(spark, "", ("thing",), sources=sources, categories=known).search({"type": "thing", "category": "root", "as_of": AT})
+    assert out["degraded"] == [] and [i["key"] for i in out["items"]] == ["1"]
+
+
+def test_stems_and_postings(spark, tmp_path):
+    from tidewell.functions.text import normalize_query
+    from tidewell.operators import postings
+
+    rows = index(spark, [doc("1", "Walking boots", language="en"), doc("2", "he walked", "in boots and boots", language="EN"), doc("3", "walk", language="de"), doc("4", "boot walks", status="draft", language="en")])
+    e = Engine(rows, sources=SOURCES.overlay({"thing": SOURCES["listing"]}))
+    search = lambda text: sorted(i["key"] for i in e.search({"type": "thing", "q": text, "lang": "", "as_of": AT}, "en")["items"])
+    assert search("walks boot") == ["1", "2"] and search("walks") == ["1", "2", "3"]
+    table = postings.store(rows, str(tmp_path / "p"))
+    assert table.where("stem = 'boot'").count() == 2 and table.where("doc_key = '4'").count() == 0
+    got = postings.search(rows, table, "thing", normalize_query("walks boot", "en"), "en")
+    assert sorted(r.doc_key for r in got.collect()) == ["1", "2"]
+    text = plan(postings.matching(table, "thing", normalize_query("walks", "en"), "en"))
+    assert "PushedFilters" in text and "EqualTo(stem,walk)" in text or "In(stem" in text
+
+
+def test_geohash_cells():
+    from tidewell.functions import geo
+
+    for lat, lon in ((49.6116, 6.1319), (-33.9, 151.2), (0.0, 0.0), (-90.0, -180.0)):
+        for n in (1, 5, 12):
+            south, west, north, east = geo.geohash_box(geo.geohash(lat, lon, n))
+            assert south <= lat < north and west <= lon < east
+            assert geo.geohash((south + north) / 2, (west + east) / 2, n) == geo.geohash(lat, lon, n)

@@ -172,7 +172,7 @@ def q_facet_candidates(spark, sf_dir):
     return facets.facet_candidates(listing(spark, sf_dir), ask(chosen={"brand": ["Brand#2"], "ptype": ["ECONOMY"]}), facets.CountPlan(("brand", "ptype", "noun")))
 
 
-@query()
+@query(_WITH + "SELECT 'brand' AS slug, brand AS value, CAST(round(count(*) / 0.5) AS BIGINT) AS count FROM vis WHERE CAST('0x' || substr(md5(doc_key), 1, 8) AS BIGINT) < 2147483648 AND brand IS NOT NULL GROUP BY brand")
 def q_facet_sampled(spark, sf_dir):
     return facets.sampled_counts(listing(spark, sf_dir), ask(), facets.CountPlan(("brand",)), 0.5)
 
@@ -196,14 +196,21 @@ def q_text_weights(spark, sf_dir):
     return listing(spark, sf_dir).where("visible").select("doc_key", F.round(filters.text_score(words("red|promo", "brand#2")), 6).alias("text_score"))
 
 
-@query(_DOC + "SELECT doc_key, folded_title AS folded FROM vis")
+@query(_DOC + "SELECT doc_key, folded_title AS folded, length(text_body) AS signs, md5(text_body) AS folded_text FROM vis")
 def q_text_fold(spark, sf_dir):
-    return document(spark, sf_dir).where("visible").select("doc_key", text.fold_col(F.col("title")).alias("folded"))
+    """Titles, and whole texts by their digests."""
+    whole = text.fold_col(F.col("body"))
+    return document(spark, sf_dir).where("visible").select("doc_key", F.col("folded_title").alias("folded"), F.length(whole).cast("bigint").alias("signs"), F.md5(whole.cast("binary")).alias("folded_text"))
 
 
-@query(_DOC + f"SELECT doc_key, array_to_string(list_transform(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}]+(?:[-/][\\p{{L}}\\p{{N}}]+)*'), lambda t: {FOLD.format('t')}), ' ') AS words FROM vis")
+_TOKENS = f"list_transform(regexp_extract_all({{0}}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+(?:[-/][\\p{{{{L}}}}\\p{{{{N}}}}]+)*'), lambda t: {FOLD.format('t')})"
+
+
+@query(_DOC + f", w AS (SELECT doc_key, {_TOKENS.format('body')} AS ws FROM vis) SELECT doc_key, CAST(len(ws) AS BIGINT) AS n, md5(array_to_string(ws, ' ')) AS words FROM w")
 def q_tokenize(spark, sf_dir):
-    return document(spark, sf_dir).where("visible").select("doc_key", F.array_join(text.tokens_col(F.col("title")), " ").alias("words"))
+    """The tokens of whole texts: how many, and their digest."""
+    ws = text.tokens_col(F.col("body"))
+    return document(spark, sf_dir).where("visible").select("doc_key", F.size(ws).cast("bigint").alias("n"), F.md5(F.array_join(ws, " ").cast("binary")).alias("words"))
 
 
 _keys("q_synonym_expand", "contains(text_plain, 'laptop') OR contains(text_plain, 'notebook') OR contains(text_plain, 'tv') OR contains(text_plain, 'ring')", words=Words(groups=(tuple(dict.fromkeys([*text.normalize_query("laptop", "en").groups[0], *text.normalize_query("tv", "en").groups[0], "ring"])),)))
@@ -226,6 +233,8 @@ _POP = "CAST(popularity AS DOUBLE) / (popularity + 10)"
 _scores("q_score_freshness", f"SELECT doc_key, round(round(0.3 * {_FRESH}, 6), 4) AS score FROM vis", "freshness_decay")
 _scores("q_score_popularity", f"SELECT doc_key, round(round(0.2 * {_POP}, 6), 4) AS score FROM vis", "popularity")
 _scores("q_score_geo_decay", f"SELECT doc_key, round(round(0.3 * greatest(0.0, 1 - {_DIST} / 50), 6), 4) AS score FROM vis WHERE {_DIST} <= 2000", "geo_decay", area=CENTER)
+_NEAR = _DIST.replace("radians(10.0", "radians(-59.5").replace("radians(20.0", "radians(-179.0")
+_scores("q_score_geo_decay_near", f"SELECT doc_key, round(round(0.3 * greatest(0.0, 1 - {_NEAR} / 50), 6), 4) AS score FROM vis WHERE {_NEAR} <= 300", "geo_decay", area=Circle(-59.5, -179.0, 300.0))
 _scores("q_relevance_score", f"SELECT doc_key, round(round({_weight('ring')} + 0.3 * {_FRESH} + 0.2 * {_POP}, 6), 4) AS score FROM vis WHERE {_T2}", None, words=words("ring"))
 
 
@@ -341,7 +350,12 @@ def q_health_lag(spark, sf_dir):
     return changes.health(listing(spark, sf_dir), SIGNALS_AS_OF)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{slug}', {weight}::DOUBLE, '{params}', '{sorts}', {active}, '{reason}')".format(**d) for d in disclosure()) + ") t(slug, weight, params, sorts, active, reason)")
+@query(
+    """SELECT * FROM (VALUES
+      ('freshness_decay', 0.3::DOUBLE, 'half_life_days=14', 'relevance', true, 'newer first'), ('geo_decay', 0.3::DOUBLE, 'radius_km=50', 'relevance', true, 'nearer first'),
+      ('popularity', 0.2::DOUBLE, 'half=10', 'relevance', true, 'often seen'), ('promotion_boost', 1.0::DOUBLE, 'max=5,min=-1', 'relevance', true, 'promoted'),
+      ('relevance', 1.0::DOUBLE, '', 'relevance', true, 'how well the words match')) t(slug, weight, params, sorts, active, reason)"""
+)
 def q_ranking_disclosure(spark, sf_dir):
     return spark.createDataFrame([tuple(d.values()) for d in disclosure()], "slug string, weight double, params string, sorts string, active boolean, reason string")
 
@@ -358,40 +372,144 @@ def q_page_corpus(spark, sf_dir):
     return index.groupBy(F.get("category_path", F.lit(0)).alias("host"), F.get("category_path", F.lit(1)).alias("section")).agg(F.count("*").alias("n"))
 
 
-@query()
+_CELL = geo.geohash_box(geo.box_prefix(*geo.radius_box(CENTER.lat, CENTER.lon, 100.0)))
+
+
+def _geohash_sql() -> str:
+    """Twelve signs from the interleaved bits of both grid numbers."""
+    bit = lambda k: f"((({'gx' if k % 2 == 0 else 'gy'} >> {29 - k // 2}) & 1) << {4 - k % 5})"
+    return " || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(1 + {' + '.join(bit(5 * s + b) for b in range(5))} AS BIGINT), 1)" for s in range(12))
+
+
+_GRID = "CAST(floor((CAST(lon AS DOUBLE) + 180.0) / 360.0 * 1073741824) AS BIGINT) AS gx, CAST(floor((CAST(lat AS DOUBLE) + 90.0) / 180.0 * 1073741824) AS BIGINT) AS gy"
+
+
+@query(_WITH + f", g AS (SELECT doc_key, {_GRID} FROM vis WHERE lat >= {_CELL[0]} AND lat < {_CELL[2]} AND lon >= {_CELL[1]} AND lon < {_CELL[3]}) SELECT doc_key, {_geohash_sql()} AS geohash FROM g")
 def q_geohash_prefilter(spark, sf_dir):
     box = geo.radius_box(CENTER.lat, CENTER.lon, 100.0)
     return listing(spark, sf_dir).where(F.col("visible") & F.startswith("geohash", F.lit(geo.box_prefix(*box)))).select("doc_key", "geohash")
 
 
-@query()
+_OWN_TRIGRAMS = "[" + ", ".join(f"'{t}'" for t in text.trigrams("widgett")) + "]"
+_SHARE = f"len(list_intersect(list_transform(range(1, length('  ' || t || ' ') - 1), lambda i: substr('  ' || t || ' ', i, 3)), {_OWN_TRIGRAMS})) / {len(text.trigrams('widgett'))}::DOUBLE"
+
+
+@query(_WITH + f"SELECT doc_key FROM vis WHERE contains(text_plain, 'widgett') OR list_max(list_transform(regexp_split_to_array(text_plain, '[^\\p{{L}}\\p{{N}}]+'), lambda t: {_SHARE})) >= 0.45")
 def q_typo_arm(spark, sf_dir):
     return engine(spark, sf_dir, "listing").candidates(ask(words=words("widgett")), fuzzy=True).select("doc_key")
 
 
-@query()
+_STEMMED = (("antions", "thened"), ("inth",))
+
+
+def _stem_sql(word: str, language: str) -> str:
+    from tidewell.functions.stem import _RULES, _pattern
+
+    for least, endings in _RULES[language]:
+        word = f"regexp_replace({word}, '{_pattern(least, endings)}', '\\1')"
+    return word
+
+
+def _stems_sql() -> str:
+    from tidewell.functions.stem import stem
+
+    met = " AND ".join("list_has_any(CASE language " + " ".join(f"WHEN '{n}' THEN list_transform(ws, lambda t: {_stem_sql('t', n)})" for n in ("en", "de")) + " ELSE ws END, [" + ", ".join(f"'{stem(t, 'en')}'" for t in g) + "])" for g in _STEMMED)
+    return _DOC + f", w AS (SELECT doc_key, language, list_distinct({_TOKENS.format(chr(116) + 'itle || chr(32) || body')}) AS ws FROM vis) SELECT doc_key FROM w WHERE {met}"
+
+
+@query(_stems_sql())
 def q_stemmed_arm(spark, sf_dir):
-    from tidewell.functions.stem import stems_col
+    """Whole texts that have the words by their stems."""
+    from tidewell.functions.stem import matches_stems
 
-    df = document(spark, sf_dir).where("visible")
-    return df.select("doc_key", stems_col(F.col("title"), F.col("language")).alias("stems"))
+    return document(spark, sf_dir).where(F.col("visible") & matches_stems(F.col("stems"), _STEMMED, "en")).select("doc_key")
+
+
+@query(_stems_sql())
+def q_postings_search(spark, sf_dir):
+    """The same over a table of postings, which is read by stem."""
+    from tidewell.operators import postings
+
+    index = document(spark, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir, "postings")
+    if at not in _STORED:
+        _STORED[at] = shared_scratch(spark, "postings")
+        postings.store(index, _STORED[at])
+    return postings.search(index, spark.read.parquet(_STORED[at]), "document", Words(_STEMMED), "en").select("doc_key")
+
+
+def _two_types(spark, sf_dir) -> DataFrame:
+    """Listings and pages in one index: their keys are the same numbers."""
+    return listing(spark, sf_dir).unionByName(engine(spark, sf_dir, "page").index)
+
+
+_TWO = _WITH + f", pg AS ({corpora.PAGE.format(**_TABLES)}), two AS (SELECT 'listing' AS doc_type, doc_key, visible, size FROM idx UNION ALL SELECT 'page', doc_key, true, NULL FROM pg)\n"
+
+
+@query(_TWO + "SELECT doc_type, doc_key, visible AND NOT coalesce(size = 4, false) AS visible FROM two")
+def q_tombstone_two_types(spark, sf_dir):
+    """Hiding listings leaves pages of the same keys alone."""
+    index = _two_types(spark, sf_dir)
+    return changes.tombstones(index, index.where("doc_type = 'listing' AND numbers['size'] = 4"), "2024-01-05").select("doc_type", "doc_key", "visible")
+
+
+@query(_TWO + "SELECT doc_type, doc_key, doc_type = 'page' OR (visible AND CAST(doc_key AS BIGINT) % 5 <> 0) AS visible, CAST(CASE WHEN doc_type = 'page' THEN 3.5 ELSE 0 END AS DOUBLE) + CASE WHEN CAST(doc_key AS BIGINT) % 3 = 0 THEN 1.5 ELSE 0 END AS boost FROM two")
+def q_rebuild_two_types(spark, sf_dir):
+    """A snapshot of listings but those divisible by 5: pages stay, and what signals gave stays with all rows."""
+    boost = F.when(F.col("doc_type") == "page", 3.5).otherwise(0.0) + F.when(F.col("doc_key").cast("bigint") % 3 == 0, 1.5).otherwise(0.0)
+    index = _two_types(spark, sf_dir).withColumn("boost", boost)
+    snapshot = listing(spark, sf_dir).drop("indexed_at").where("CAST(doc_key AS BIGINT) % 5 <> 0")
+    return changes.rebuild(index, snapshot, "2024-01-02", ("listing",)).select("doc_type", "doc_key", "visible", "boost")
+
+
+_EVENTS = """
+SELECT o_orderkey AS arrival, CASE WHEN o_orderkey % 7 = 3 THEN '' ELSE CONCAT('e', CAST(o_orderkey AS string)) END AS event_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'listing.updated' WHEN 1 THEN 'listing.published' WHEN 2 THEN 'listing.removed' WHEN 3 THEN 'search.signal' ELSE 'unheard.of' END AS event_name,
+  CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 1000 * o_custkey END AS timestamp, CAST(o_custkey AS string) AS doc_key, round(o_totalprice / 100000, 2) AS boost FROM {orders}
+"""
+_EVENTS_SQL = f"""WITH ev AS ({_EVENTS.format(**_TABLES)}), k AS (SELECT * FROM ev WHERE event_name LIKE 'listing.%'), n AS (SELECT doc_key, max("timestamp") AS seq FROM k GROUP BY 1),
+l AS ({corpora.LISTING.format(**_TABLES)}), s AS (SELECT doc_key, arg_max(boost, "timestamp" * 1000000000 + arrival) AS boost FROM ev WHERE event_name = 'search.signal' GROUP BY 1)
+"""
+
+
+@query(_EVENTS_SQL + "SELECT l.doc_key, l.status = 'published' AS visible, n.seq AS source_seq, round(CASE WHEN s.boost IS NULL THEN 0.0 ELSE CAST(greatest(-1.0, least(5.0, s.boost)) AS DOUBLE) END, 6) AS boost FROM l JOIN n USING (doc_key) LEFT JOIN s USING (doc_key)")
+def q_stream_events(spark, sf_dir):
+    """Events, some twice, late, without number or without id, as a stream: documents pulled and ingested, signals applied; the index that results."""
+    from tidewell.streaming.jobs import event_stream, state
+
+    folder = shared_scratch(spark, "events")
+    ev = corpora.load_sql(spark, sf_dir, _EVENTS)
+    at = F.when(F.col("event_name") == "search.signal", F.col("timestamp") * F.lit(1_000_000_000) + F.col("arrival")).otherwise(F.col("timestamp"))
+    signal = F.to_json(F.struct(F.lit("listing").alias("doc_type"), "doc_key", F.col("boost").cast("double").alias("boost")))
+    payload = F.when(F.col("event_name") == "search.signal", signal).otherwise(F.to_json(F.struct(F.col("doc_key").alias("listing_id"))))
+    rows = ev.select("event_id", "event_name", at.cast("long").alias("timestamp"), payload.alias("payload"), "doc_key")
+    # signals are about documents that the first file brings; every third event comes again in the last one
+    first = rows.where("event_name <> 'search.signal'").drop("doc_key")
+    then = rows.where("event_name = 'search.signal'").drop("doc_key").unionByName(rows.where("event_name <> 'search.signal' AND CAST(doc_key AS BIGINT) % 3 = 0").drop("doc_key"))
+    for part in (first, then):
+        part.coalesce(2).write.mode("append").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+    index = listing(spark, sf_dir)
+    sources = corpora.SOURCES.overlay({"document": None, "page": None})
+    event_stream(stream, sources, lambda _, keys: changes.pulled(index, keys), f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return state(spark, f"{folder}/state").select("doc_key", "visible", "source_seq", F.round("boost", 6).alias("boost"))
 
 
 @query(_CHANGES + "SELECT doc_key, title, status, CAST(seq AS BIGINT) AS seq FROM st")
 def q_stream_ingest(spark, sf_dir):
     """The change log as a stream of files, folded batch by batch; its state."""
-    from tidewell.streaming.jobs import ingest_stream, latest_state
+    from tidewell.streaming.jobs import ingest_stream, state
 
     folder = shared_scratch(spark, "stream")
     log = corpora.changes(spark, sf_dir)
     last = log.agg(F.max("arrival")).first()[0]
     for k in range(4):  # delivered in order: a stream reads files in the order in which they were written
         part = F.least(F.floor(F.col("arrival") * 4 / F.lit(max(1, last))), F.lit(3))
-        log.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        log.where(part == k).repartition(1).write.mode("append").parquet(f"{folder}/log")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/log").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     q = ingest_stream(stream, ["title", "status"], f"{folder}/state", f"{folder}/checkpoint")
     q.awaitTermination()
-    return latest_state(spark, f"{folder}/state").select("doc_key", "title", "status", "seq")
+    return state(spark, f"{folder}/state").select("doc_key", "title", "status", "seq")
 
 
 @query(_WITH + "SELECT doc_key FROM vis WHERE brand IN ('Brand#2', 'Brand#3') AND size BETWEEN 10 AND 30 ORDER BY price_base NULLS LAST, doc_key LIMIT 24")

@@ -56,12 +56,15 @@ def state(spark: SparkSession, folder: str, before: int | None = None, buckets:
     return spark.read.parquet(*paths) if paths else None
 
 
-latest_state = state
-
-
-def _store(rows: DataFrame, folder: str, number: int, keys: list[str]) -> None:
-    rows.withColumn("bucket", bucket_of(*keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+def _store(rows: DataFrame, folder: str, number: int, keys: list[str], read: set[int] | None = None) -> None:
+    """read: the buckets that the batch had before it, None for all: those without rows now are written as empty ones."""
     spark = rows.sparkSession
+    before = {b for b, v in _versions(spark, folder).items() if any(n < number for n in v)}
+    rows.withColumn("bucket", bucket_of(*keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+    for b in before if read is None else before & read:
+        path, fs = _files(spark, f"{folder}/v={number}/bucket={b}")
+        if not fs.exists(path):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{folder}/v={number}/bucket={b}")
     for b, versions in _versions(spark, folder).items():
         # the batch may come again and then reads what was before it
         kept = {versions[-1], *[v for v in versions if v < number][-1:]}
@@ -88,7 +91,7 @@ def ingest_stream(deliveries: DataFrame, payload: list[str], folder: str, checkp
         log = batch.select("doc_key", F.col("arrival").cast("long").alias("arrival"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "eid", *payload)
         for k in known:
             log = log.unionByName(k)
-        _store(changes.latest_by_sequence(log, ["eid", *payload]).select(*keep), folder, number, ["doc_key"])
+        _store(changes.latest_by_sequence(log, ["eid", *payload]).select(*keep), folder, number, ["doc_key"], set())
         batch.unpersist()
 
     return deliveries.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -126,7 +129,7 @@ def event_stream(events: DataFrame, sources: Registry, pull: Callable[[str, Data
             after = changes.erased(after, owners).select(*built.columns)
             if paths is not None:
                 after = changes.recategorised(after, paths(moved))
-        _store(after, folder, number, changes.KEY)
+        _store(after, folder, number, changes.KEY, buckets)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
