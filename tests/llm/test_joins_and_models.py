@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, jaccard, mixing, quality, sharding, toxicity
+from tidewell.llm import decontamination, jaccard, mixing, quality, sharding, toxicity, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, shard string, cid string, y string"
 
@@ -256,11 +256,11 @@ def test_words_are_pythons():
     r = decontamination.read(pa.array([None, *texts], pa.string()).slice(1))
     around = ".,;:!?…\"'()[]{}«»„“”‘’*_`-–—|¿¡"
     plain = lambda w: w.translate({ord(k): v for k, v in {**dict.fromkeys("„“”‘’", '"\0\0'), **dict.fromkeys("«»", '"\0'), **dict.fromkeys("–—", "-\0\0"), "…": ".\0\0", "¿": "(\0", "¡": "!\0"}.items()})
-    lower = lambda w: "".join(c if c in decontamination._ODD else c.lower() for c in w)
+    lower = lambda w: "".join(c if c in words.ODD else c.lower() for c in w)
     for k, text in enumerate(texts):
         got = [r.word(j).decode() for j in range(r.first[k], r.first[k + 1])]
-        words = [w.strip(around) for w in re.split(r"[\s\x1c-\x1f]+", text)]
-        expected = [lower(plain(w)) for w in words if w]
+        cut = [w.strip(around) for w in re.split(r"[\s\x1c-\x1f]+", text)]
+        expected = [lower(plain(w)) for w in cut if w]
         assert [w.replace("ς", "σ") for w in got] == [w.replace("ς", "σ") for w in expected], text
 
 
@@ -543,6 +543,29 @@ def test_composed_grammar_is_its_transducers_in_turn():
             assert out == seen and factor == pytest.approx(product)
 
 
+def test_batches_read_as_single_words_do():
+    """Against one word after the other, looked up by Python's strings."""
+    rng = random.Random(13)
+    lexicon = toxicity.BUILT_IN | {"réeuxe*": ("I", 1.5), "zork*": ("H", 2.0), "größe": ("I", 0.7)}
+    reader = toxicity.Reader(lexicon)
+    pieces = ["idiot", "Idiot.", "kill,", "you", "not", "said:", "will", "trash###", "a\nb", "Réeuxelle", "réeux", "zorks!***", "GRÖSSE", "Größe;", "word", "—", "...", "“scum”", "no-one", "(moron)", "été"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(300)] + ["", None]
+
+    def one_by_one(text):
+        codes, scores = [], []
+        for line in (text or "").split("\n"):
+            for word in [*line.split(), "."]:
+                code = reader[word]
+                codes.append(code >> 1)
+                if code & 1:
+                    if any(reader.classes[c] in "IH" for c in codes):
+                        scores.append(reader.score(codes))
+                    codes = []
+        return scores
+
+    assert reader.clauses_of(pa.array(texts)) == [one_by_one(t) for t in texts]
+
+
 def test_learned_words_behind_intentions_are_threats():
     lexicon = toxicity.BUILT_IN | {"zork": ("I", 2.0), "blim*": ("I", 2.0)}
     texts = ["we will zork them", "I will then zork it. zork", "they will surely zork", "a blimmer will go. what blims", "will go. blimmed"]

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import mix64, slices
+from tidewell.llm.common import slices
 from tidewell.llm.shingles import BASE, INVERSE, powers
+from tidewell.llm.words import Table, byte_set, cut, hash_of, hashes_of, lowered, shrunk
 
 WIDTH, LEAST, LITERAL = 8, 13, 6
 #: Items of fewer words are looked for as whole sentences.
@@ -41,8 +42,8 @@ SHORT = 4
 #: Alignments of an item whose offsets differ by so many words at most are one copy with words put in or left out.
 SHIFT = 4
 BLOCK_BYTES = 16 << 20
-#: Bytes of texts that are read at once.
-SLICE = 2 << 20
+#: Bytes of texts that are read at once: so many that their arrays fit in a cache.
+SLICE = 1 << 19
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _NUMBER = re.compile(r"[+\-±$€£#]*\d[\d.,:/]*(?:%|°|[a-zµ]{1,3})?")
 #: English, German, French, Spanish; words that are articles or anything else more often are left out.
@@ -60,116 +61,18 @@ _UNITS = set(
     segundo segundos minuto minutos hora horas día días semana semanas mes meses año años kilómetro kilómetros metro metros gramo gramos litro litros grado grados dólar dólares""".split()
 )
 _HASH = {NUMBER: np.uint64(0x1F3A5C7E9B2D4F61), UNIT: np.uint64(0x2E4B6D8FA1C3E507), NAME: np.uint64(0x3D5C7B9AF8E6D4C2)}
-#: A random number for each byte.
-_BYTE = mix64(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _set(*signs: int) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(signs)] = True
-    return out
-
-
-_SPACE, _LINE, _DIGIT = _set(*range(9, 14), *range(0x1C, 0x21)), _set(10, 11, 12, 13, 0x1C, 0x1D, 0x1E), _set(*range(48, 58))
+_DIGIT, _LINE = byte_set(*range(48, 58)), byte_set(10, 11, 12, 13, 0x1C, 0x1D, 0x1E)
 #: What is stripped from words; 0 stands behind a quote or dash that was more than one byte.
-_STRIP, _CLOSE, _END = _set(0, *b".,;:!?\"'()[]{}*_`-|"), _set(0, *b"\"')]"), _set(*b".!?:")
-#: White space and punctuation beyond ASCII, in UTF-8, by the first byte: the bytes behind it, and what stands for it.
-_WIDE = {
-    0xC2: [((0x85,), 10), ((0xA0,), 32), ((0xAB,), 34), ((0xBB,), 34), ((0xA1,), 33), ((0xBF,), 40)],
-    0xE1: [((0x9A, 0x80), 32)],
-    0xE2: [*(((0x80, k), 10 if k in (0xA8, 0xA9) else 32) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), ((0x81, 0x9F), 32), ((0x80, 0xA6), 46), *(((0x80, k), 34) for k in (0x9C, 0x9D, 0x9E, 0x98, 0x99)), *(((0x80, k), 45) for k in (0x93, 0x94))],
-    0xE3: [((0x80, 0x80), 32)],
-}
-#: Letters whose lower case has another length in UTF-8.
-_ODD = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if len(c.lower().encode()) != len(c.encode()))
-_ODD_LEADS = sorted({c.encode()[0] for c in _ODD})
-_EVEN = re.compile(f"[^{re.escape(_ODD)}]+")
-
-
-def plainer(data: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes with all white space and punctuation as ASCII signs, in the same places."""
-    out = data
-    for lead, kinds in _WIDE.items():
-        leads = np.flatnonzero(data[: len(data) - len(kinds[0][0])] == lead)
-        for rest, sign in kinds if len(leads) else ():
-            at = leads
-            for k, byte in enumerate(rest, 1):
-                at = at[data[at + k] == byte]
-            if len(at):
-                out = data.copy() if out is data else out
-                out[at] = sign
-                for k in range(1, len(rest) + 1):
-                    out[at + k] = sign if _SPACE[sign] else 0
-    return out
+_STRIP, _CLOSE, _END = byte_set(0, *b".,;:!?\"'()[]{}*_`-|"), byte_set(0, *b"\"')]"), byte_set(*b".!?:")
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes in lower case, in the same places; the few letters whose lower case is longer or shorter stay."""
-    text = data.tobytes().decode("utf-8", "surrogateescape")
-    there = np.bincount(data, minlength=256) > 0
-    if there[_ODD_LEADS].any() and any(c in text for c in _ODD):
-        raw = _EVEN.sub(lambda m: m.group().lower(), text)
-    else:
-        raw = text.lower()
-    return np.frombuffer(raw.encode("utf-8", "surrogateescape"), np.uint8)
-
-
-def _shrunk(data: np.ndarray, kind: np.ndarray, at: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
-    """Places moved by step over signs of a kind, as far as stop."""
-    at = at.copy()
-    some = np.flatnonzero(at != stop)
-    for _ in range(16):
-        some = some[kind[data[at[some]]]]
-        at[some] += step
-        some = some[at[some] != stop[some]]
-        if not len(some):
-            return at
-    # long runs: the nearest other sign of every place
-    place = np.arange(len(data))
-    if step < 0:
-        near = np.maximum.accumulate(np.where(kind[data], -1, place))
-        at[some] = np.maximum(near[at[some]], stop[some])
-    else:
-        near = np.minimum.accumulate(np.where(kind[data], len(data), place)[::-1])[::-1]
-        at[some] = np.minimum(near[at[some]], stop[some])
-    return at
-
-
-def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of the words at these places."""
-    size = 1 << max(16, int(len(data)).bit_length())
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(BASE, size)[: len(data)], dtype=np.uint64)])
-        return mix64((total[end] - total[start]) * powers(INVERSE, size)[start] + (end - start).astype(np.uint64))
-
-
-def _listed() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and kinds of the words with a kind of their own, at the places that their first 12 bits name, or behind."""
-    known, kinds = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
-    for kind, words in ((NUMBER, _NUMBER_WORDS), (UNIT, {*_UNITS, "%", "°"} - _NUMBER_WORDS)):
-        for w in sorted(words):
-            raw = np.frombuffer(w.encode(), np.uint8)
-            h = hashes_of(raw, np.array([0]), np.array([len(raw)]))[0]
-            at = int(h >> np.uint64(52))
-            while known[at]:
-                at = (at + 1) & 4095
-            known[at], kinds[at] = h, kind
-    return known, kinds
-
-
-_KNOWN, _KINDS = _listed()
+_LISTED = {w: NUMBER for w in _NUMBER_WORDS} | {w: UNIT for w in sorted({*_UNITS, "%", "°"} - _NUMBER_WORDS)}
+_KINDS = Table(np.array([hash_of(w) for w in _LISTED], np.uint64), np.array(list(_LISTED.values())))
 
 
 def kinds_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Numbers and units among words in lower case."""
-    out, at = np.zeros(len(hashes), np.uint8), (hashes >> np.uint64(52)).astype(np.int64)
-    left = np.arange(len(hashes))
-    while len(left):
-        there = _KNOWN[at[left]]
-        same = there == hashes[left]
-        out[left[same]] = _KINDS[at[left[same]]]
-        left = left[~same & (there != 0)]
-        at[left] = (at[left] + 1) & 4095
+    out = _KINDS(hashes).astype(np.uint8)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int32)])
     for k in np.flatnonzero(digits[end] > digits[start]).tolist():
         if _NUMBER.fullmatch(data[start[k] : end[k]].tobytes().decode("utf-8", "replace")):
@@ -196,23 +99,11 @@ class Reading:
 
 
 def read(texts: pa.Array) -> Reading:
-    texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    data = plainer(data)
-    inside = ~_SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1] | cut[1:-1]
-    closes[:-1] &= ~inside[1:] | cut[1:-1]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    n, first = len(start), np.searchsorted(start, offsets)
-    a = _shrunk(data, _STRIP, start, end, 1)
-    b = _shrunk(data, _STRIP, end - 1, a - 1, -1) + 1
-    last = _shrunk(data, _CLOSE, end - 1, start - 1, -1)
+    data, start, end, first = cut(texts)
+    n = len(start)
+    a = shrunk(data, _STRIP, start, end, 1)
+    b = shrunk(data, _STRIP, end - 1, a - 1, -1) + 1
+    last = shrunk(data, _CLOSE, end - 1, start - 1, -1)
     lower = lowered(data)
     keep = np.flatnonzero(a < b)
     ends, capital = np.zeros(n, bool), np.zeros(n, bool)

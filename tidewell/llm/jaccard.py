@@ -45,6 +45,8 @@ HOT_PART, HOT_ROWS, PROBED = 1000, 100_000, 64
 TASK_ROWS = 2_000_000
 #: Cost of a scanned list entry, as a part of that of a written row.
 ENTRY_COST = 0.5
+#: Bytes of texts that are read at once: so many that their arrays fit in a cache.
+SLICE = 1 << 18
 #: A bit map has up to 2 to this power of bits (16 MB).
 BITMAP = 27
 
@@ -56,7 +58,7 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 def _shingled(df: DataFrame, n: int, body, schema: str, *more: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE):
             yield from body(b, shingle_sets(b.column(0), n))
 
     return df.select("text", *more).mapInArrow(run, schema)
@@ -302,7 +304,7 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power, raw = shared.value
         bits, sent = np.frombuffer(raw, np.uint8), set()
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE):
             sets = shingle_sets(b.column(0), n)
             cids = digests(sets)[0]
             at = _places(cids, power)

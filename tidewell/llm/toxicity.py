@@ -25,11 +25,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import crc_mod, drop_table, materialize, slices
+from tidewell.llm.words import Table, byte_set, cut, hash_of, hashes_of, lowered, shrunk
 
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers clown worthless pathetic disgusting dumb imbecile degenerate vermin filth lowlife jerk".split()
 THREATS = "kill hurt beat destroy smash strangle stab shoot punish crush".split()
@@ -42,6 +42,12 @@ ENDS = ".,;:!?…"
 #: Signs strewn around words, behind an end of a clause too.
 STREWN = "*#$%&+=@~^<>|/\\_\"'()[]{}«»„“”‘’`"
 AROUND = ENDS + STREWN + "-–—¿¡"
+_LINE = byte_set(10, 11, 12, 13, 0x1C, 0x1D, 0x1E)
+#: The same signs as bytes; those beyond ASCII have become ASCII ones, with 0 behind.
+_ENDS, _STREWN = byte_set(*b".,;:!?"), byte_set(0, *b"*#$%&+=@~^<>|/\\_\"'()[]{}`")
+_AROUND = _ENDS | _STREWN | byte_set(*b"-")
+#: Bytes of texts that are read at once: so many that their arrays fit in a cache.
+SLICE = 1 << 19
 STEMS = (4, 5, 6, 7)
 FAMILY = 4
 #: Parts of the labelled rows: the features of each come from a lexicon that the others taught.
@@ -135,6 +141,15 @@ class Reader(dict):
         self.remember, self.weights, self.machine = remember, [0.0], grammar()
         self.codes: dict[tuple[str, float], int] = {("O", 0.0): 0}
         self.classes = ["O"]
+        for hit in [*self.whole.values(), *self.stems.values()]:
+            if hit not in self.codes:
+                self.codes[hit] = len(self.classes)
+                self.classes.append(hit[0])
+                self.weights.append(hit[1])
+        self.strong = np.array([c in "IH" for c in self.classes])
+        with np.errstate(over="ignore"):
+            self.table = Table(np.array([hash_of(w) for w in self.whole], np.uint64), np.array([self.codes[v] + 1 for v in self.whole.values()], np.int64))
+            self.beginnings = Table(np.array([hash_of(w) + np.uint64(len(w)) for w in self.stems], np.uint64), np.array([self.codes[v] + 1 for v in self.stems.values()], np.int64))
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.remember:
@@ -143,36 +158,59 @@ class Reader(dict):
         hit = self.whole.get(bare)
         if hit is None:
             hit = next((self.stems[bare[:n]] for n in self.lengths if bare[:n] in self.stems), ("O", 0.0))
-        code = self.codes.get(hit)
-        if code is None:
-            code = self.codes[hit] = len(self.classes)
-            self.classes.append(hit[0])
-            self.weights.append(hit[1])
-        self[word] = out = code * 2 + (word.rstrip(STREWN)[-1:] in tuple(ENDS))
+        self[word] = out = self.codes[hit] * 2 + (word.rstrip(STREWN)[-1:] in tuple(ENDS))
         return out
 
+    def score(self, codes: list[int]) -> float:
+        """Of one clause."""
+        state, total = self.machine.start, 0.0
+        for code in codes:
+            state, _, factor = self.machine.step(state, self.classes[code])
+            total += factor * self.weights[code]
+        return total
+
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses that have an insult or a threat, weights included."""
-        words = (text or "").replace("\n", " . ").split()
-        read = list(map(self.__getitem__, words))
-        if not read:
-            return []
-        codes = np.array(read, np.int64)
-        strong = np.array([c in "IH" for c in self.classes])[codes >> 1]
-        if not strong.any():
-            return []
-        ends = np.flatnonzero(codes & 1)
-        at = np.flatnonzero(strong)
-        scores = []
-        for k in sorted(set(np.searchsorted(ends, at).tolist())):
-            first = ends[k - 1] + 1 if k else 0
-            last = ends[k] + 1 if k < len(ends) else len(codes)
-            state, total = self.machine.start, 0.0
-            for code in (codes[first:last] >> 1).tolist():
-                state, _, factor = self.machine.step(state, self.classes[code])
-                total += factor * self.weights[code]
-            scores.append(total)
-        return scores
+        return self.clauses_of(pa.array([text or ""], pa.large_string()))[0]
+
+    def clauses_of(self, texts: pa.Array) -> list[list[float]]:
+        """The same for each text of a batch, whose words are looked up at once; only clauses with an insult or a threat are run through the machine."""
+        out: list[list[float]] = [[] for _ in range(len(texts))]
+        data, start, end, first = cut(texts)
+        if not len(start):
+            return out
+        lower = lowered(data)
+        a = shrunk(data, _AROUND, start, end, 1)
+        b = shrunk(data, _AROUND, end - 1, a - 1, -1) + 1
+        last = shrunk(data, _STREWN, end - 1, start - 1, -1)
+        code = np.zeros(len(start), np.int64)
+        keep = np.flatnonzero(a < b)
+        a, b = a[keep], b[keep]
+        found = self.table(hashes_of(lower, a, b))
+        if self.lengths:
+            # beginnings are so many signs long, not bytes
+            signs = np.flatnonzero((lower & 0xC0) != 0x80)
+            sign = np.cumsum((lower & 0xC0) != 0x80, dtype=np.int32)[a] - 1
+            for n in self.lengths:
+                k = np.flatnonzero((found == 0) & (sign + n <= len(signs)))
+                stop = np.append(signs, len(lower))[sign[k] + n]
+                k, stop = k[stop <= b[k]], stop[stop <= b[k]]
+                found[k] = self.beginnings(hashes_of(lower, a[k], stop) + np.uint64(n))
+        code[keep] = np.maximum(0, found - 1)
+        strong = np.flatnonzero(self.strong[code])
+        if not len(strong):
+            return out
+        # a clause ends with its last word, before a new line, and with its text
+        ends = ((last >= start) & _ENDS[data[np.maximum(0, last)]]).astype(bool)
+        lines = np.concatenate([[0], np.cumsum(_LINE[data], dtype=np.int32)])
+        ends[:-1] |= lines[start[1:]] != lines[start[:-1]]
+        ends[first[1:][first[1:] > 0] - 1] = True
+        clause = np.concatenate([[0], np.cumsum(ends)[:-1]])
+        stops = np.flatnonzero(ends) + 1
+        of = np.searchsorted(first, strong, "right") - 1
+        for k, text in dict(zip(clause[strong].tolist(), of.tolist())).items():
+            out[text].append(self.score(code[(stops[k - 1] if k else 0) : stops[k]].tolist()))
+        return out
 
 
 def document_features(scores: list[float]) -> list[float]:
@@ -407,8 +445,8 @@ def _features(docs: DataFrame, lexicon: dict[str, tuple[str, float]], kind: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
-        for b in slices(batches, 1):
-            f = [document_features(reader.clauses(t)) for t in b.column(1).to_pylist()]
+        for b in slices(batches, 1, SLICE):
+            f = [document_features(c) for c in reader.clauses_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.float64()))], ["id", "f"])
 
     return docs.mapInArrow(run, f"id {kind}, f array<double>")
@@ -428,10 +466,12 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """docs' rows that are not rejected, in docs' columns; no shuffle: texts are judged where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader, w = Reader(shared.value.lexicon), shared.value.weights
         for batch in texts:
-            f = [document_features(reader.clauses(t)) for t in batch]
-            yield pd.Series([1 / (1 + math.exp(-(sum(a * b for a, b in zip(v, w)) + w[-1]))) for v in f], dtype="float64")
+            f = []
+            for b in slices([pa.RecordBatch.from_arrays([batch], ["text"])], 0, SLICE):
+                f += [document_features(c) for c in reader.clauses_of(b.column(0))]
+            yield pa.array([1 / (1 + math.exp(-(sum(a * b for a, b in zip(v, w)) + w[-1]))) for v in f], pa.float64())
 
-    return docs.where(F.pandas_udf(judge, "double")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)
+    return docs.where(F.arrow_udf(judge, "double")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)
