@@ -195,14 +195,14 @@ def test_drift_purge_erase_catch_up(spark):
 
 
 def test_stream_is_the_fold(spark, tmp_path):
-    from tidewell.streaming.jobs import ingest_stream, latest_state, signal_state, signal_stream
+    from tidewell.streaming.jobs import ingest_stream, state, signal_state, signal_stream
 
     log = spark.createDataFrame([(str(k % 7), k, k % 11, f"e{k}", f"v{k}") for k in range(60)], "doc_key string, arrival long, seq long, eid string, v string")
     for k in range(3):  # files are read in the order in which they were written
         log.where(f"arrival div 20 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     ingest_stream(stream, ["v"], str(tmp_path / "state"), str(tmp_path / "c")).awaitTermination()
-    got = {(r.doc_key, r.seq, r.v) for r in latest_state(spark, str(tmp_path / "state")).collect()}
+    got = {(r.doc_key, r.seq, r.v) for r in state(spark, str(tmp_path / "state")).collect()}
     whole = {(r.doc_key, r.seq, r.v) for r in changes.guard_fold(log, ["v"]).collect()}
     assert {k for k, _, _ in got} == {k for k, _, _ in whole} and got == whole
     signals = spark.createDataFrame([(1, "s1", "a", "boost", 9.0, None), (2, "s2", "a", "boost", 2.0, None), (1, "s1", "a", "boost", 9.0, None)], "arrival long, sig_id string, doc_key string, kind string, value double, expires_at timestamp")

@@ -254,3 +254,30 @@ def test_geohash_cells():
             south, west, north, east = geo.geohash_box(geo.geohash(lat, lon, n))
             assert south <= lat < north and west <= lon < east
             assert geo.geohash((south + north) / 2, (west + east) / 2, n) == geo.geohash(lat, lon, n)
+
+
+def test_cover_density_is_brute_force(spark):
+    import random
+
+    from tidewell.functions.covers import cover_density
+
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdxyz") for _ in range(rng.randrange(30))] for _ in range(80)]
+    for groups in ((("a",),), (("a", "b"), ("c",)), (("a",), ("b",), ("c", "d"))):
+
+        def brute(words):
+            runs = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if all(set(g) & set(words[i : j + 1]) for g in groups)]
+            least = [(i, j) for i, j in runs if not any((a, b) != (i, j) and i <= a and b <= j for a, b in runs)]
+            return sum(1 / (1 + max(0, j - i - (len(groups) - 1))) for i, j in least)
+
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t array<string>")
+        got = {r.k: r.d for r in df.select("k", cover_density(F.col("t"), groups).alias("d")).collect()}
+        assert all(abs(got[k] - brute(t)) < 1e-9 for k, t in enumerate(texts))
+
+
+def test_close_words_rank_first(spark):
+    from tidewell.sources.registry import COVER_DENSITY
+
+    rows = index(spark, [doc("1", "red and then a very long way from any ring"), doc("2", "of a red ring")])
+    e = Engine(rows, EngineConf(scorers={"cover_density": COVER_DENSITY}), SOURCES.overlay({"thing": SOURCES["listing"]}))
+    assert [i["key"] for i in e.search({"type": "thing", "q": "red ring", "sort": "relevance", "as_of": AT}, "en")["items"]] == ["2", "1"]

@@ -46,11 +46,16 @@ def facet_counts(index: DataFrame, q: Search, plan: CountPlan, text=None) -> Dat
     return rows.groupBy("slug", "value").agg(F.count("*").alias("count"))
 
 
+def tallies(index: DataFrame, q: Search, text=None) -> DataFrame:
+    """only, n: documents by the one facet filter that they fail; null: those that fail none, which are the result."""
+    return failing(index, q, text).groupBy(F.get("failed", F.lit(0)).alias("only")).agg(F.count("*").alias("n"))
+
+
 def facet_candidates(index: DataFrame, q: Search, plan: CountPlan, text=None) -> DataFrame:
     """slug, candidates: documents that each slug's counts are made of; documents without terms count."""
-    rows = failing(index, q, text).groupBy(F.get("failed", F.lit(0)).alias("only")).count()
+    rows = tallies(index, q, text)
     slugs = _listed(index.sparkSession, [{"slug": s} for s in plan.slugs])
-    n = F.coalesce(F.sum(F.when(F.col("only").isNull() | (F.col("only") == F.col("slug")), F.col("count"))), F.lit(0))
+    n = F.coalesce(F.sum(F.when(F.col("only").isNull() | (F.col("only") == F.col("slug")), F.col("n"))), F.lit(0))
     # both sides are a few rows: one for each slug
     return slugs.join(rows, F.col("only").isNull() | (F.col("only") == F.col("slug")), "left").groupBy("slug").agg(n.alias("candidates"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.functions.covers import cover_density
 from tidewell.functions.geo import haversine_col
+from tidewell.functions.text import tokens_col
 from tidewell.model import Cursor, Search
 from tidewell.operators.filters import text_score
 from tidewell.sources.registry import SCORERS, Registry, scorers_for
@@ -19,6 +21,10 @@ def scored(df: DataFrame, q: Search, scorers: Registry = SCORERS) -> DataFrame:
     df = df.withColumn("distance_km", F.round(distance, 6))
     now = F.lit(q.as_of).cast("timestamp") if q.as_of else F.current_timestamp()
     context: dict[str, Column] = {"text_score": text_score(q.words), "distance_km": F.col("distance_km"), "boost": F.col("boost"), "popularity": F.col("popularity"), "published_at": F.col("published_at").cast("timestamp"), "as_of": now, "category_path": F.col("category_path"), "facet_terms": F.col("facet_terms")}
+    if q.words and "body" in df.columns:  # read by scorers that ask for it, and by no others
+        context["covers"] = cover_density(tokens_col(F.concat_ws(" ", "title", "text_extra", "body")), q.words.groups)
+    else:
+        context["covers"] = F.lit(0.0)
     total = F.lit(0.0)
     for s in scorers_for(q.sort, scorers):
         if s.expr is not None:

@@ -110,11 +110,12 @@ class Engine:
         if q.as_of is None:
             q = replace(q, as_of=datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))  # one now for all of its pages
         fuzzy = False
-        total, exact = ranking.total(self.candidates(q), None)
-        if q.words and total < self.conf.typo_threshold:
+        tally = self._tally(q, False)
+        if q.words and tally.get(None, 0) < self.conf.typo_threshold:
             # the typed words decide by the whole result, so that a last page is no reason for it
             fuzzy = True
-            total, exact = ranking.total(self.candidates(q, True), None)
+            tally = self._tally(q, True)
+        total, exact = tally.get(None, 0), True
         rows = ranking.page(self.hits(q, fuzzy).withColumn("sort_value", ranking.sort_value(q.sort)), q, 1).collect()
         backwards = q.backwards
         offset = q.cursor.offset if q.cursor else 0
@@ -125,7 +126,7 @@ class Engine:
         else:
             has_next, has_prev = len(rows) > q.limit, offset > 0
             rows = rows[: q.limit]
-        plan, counts, meta, degraded = self._facets(q, fuzzy)
+        plan, counts, meta, degraded = self._facets(q, fuzzy, tally)
         items = []
         for r in rows:
             item = {"key": r.doc_key, "score": r.score, "promoted": bool(r.promoted), "card": dict(r.card or {})}
@@ -144,12 +145,16 @@ class Engine:
         features = schema.get(q.within[-1], schema.get("", [])) if q.within else []
         return facets.facet_plan(features, q.counted, self.conf, FACET_MAPPINGS.overlay(self.conf.facet_mappings))
 
-    def _facets(self, q: Search, fuzzy: bool) -> tuple:
+    def _tally(self, q: Search, fuzzy: bool) -> dict[str | None, int]:
+        """The total (at None) and what each facet's own filter keeps out, from one scan; a row for each filter at most."""
+        return {r.only: r.n for r in facets.tallies(self.index, q, self._text(q, fuzzy)).collect()}
+
+    def _facets(self, q: Search, fuzzy: bool, tally: dict[str | None, int]) -> tuple:
         plan, degraded = self.plan_of(q) if q.counting else facets.CountPlan(), list(self.degraded)
         if not plan.slugs:
             return plan, {}, {"approximate": False, "candidates": 0, "counted": [], "skipped": list(plan.left_out)}, degraded
         text = self._text(q, fuzzy)
-        n = facets.facet_candidates(self.index, q, plan, text).agg(F.max("candidates")).first()[0]
+        n = tally.get(None, 0) + max((tally.get(s, 0) for s in plan.slugs), default=0)
         cap = self.conf.facet_candidate_cap
         approximate = cap is not None and n > cap
         counts = facets.sampled_counts(self.index, q, plan, cap / n, text) if approximate else facets.facet_counts(self.index, q, plan, text)

@@ -438,6 +438,27 @@ def q_postings_search(spark, sf_dir):
     return postings.search(index, spark.read.parquet(_STORED[at]), "document", Words(_STEMMED), "en").select("doc_key")
 
 
+_COVER = (("antion", "thened", "inth"), ("the", "is"))
+
+
+def _cover_sql() -> str:
+    ins = ["(" + ", ".join(f"'{t}'" for t in g) + ")" for g in _COVER]
+    return _DOC + f""", w AS (SELECT doc_key, {_TOKENS.format('body')} AS ws FROM vis), t AS (SELECT doc_key, unnest(ws) AS tok, generate_subscripts(ws, 1) AS pos FROM w),
+      m AS (SELECT *, max(CASE WHEN tok IN {ins[0]} THEN pos END) OVER p AS l0, max(CASE WHEN tok IN {ins[1]} THEN pos END) OVER p AS l1 FROM t WHERE tok IN {ins[0]} OR tok IN {ins[1]} WINDOW p AS (PARTITION BY doc_key ORDER BY pos)),
+      c AS (SELECT doc_key, pos, least(l0, l1) AS lft FROM m WHERE l0 IS NOT NULL AND l1 IS NOT NULL),
+      d AS (SELECT *, max(lft) OVER (PARTITION BY doc_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c)
+      SELECT doc_key, round(sum(1.0::DOUBLE / (1 + pos - lft - 1)), 4) AS density FROM d WHERE seen IS NULL OR lft > seen GROUP BY doc_key"""
+
+
+@query(_cover_sql())
+def q_cover_density(spark, sf_dir):
+    """Whole texts that have the words, by how closely."""
+    from tidewell.functions.covers import cover_density
+
+    rows = document(spark, sf_dir).where("visible").select("doc_key", cover_density(text.tokens_col(F.col("body")), _COVER).alias("density"))
+    return rows.where("density > 0").select("doc_key", F.round("density", 4).alias("density"))
+
+
 def _two_types(spark, sf_dir) -> DataFrame:
     """Listings and pages in one index: their keys are the same numbers."""
     return listing(spark, sf_dir).unionByName(engine(spark, sf_dir, "page").index)

@@ -111,6 +111,10 @@ SCORERS = Registry(
 )
 
 
+#: For a host to lay over SCORERS: words close together count more. It reads whole texts of the candidates.
+COVER_DENSITY = Scorer("cover_density", 0.5, lambda c: c["covers"] / (1 + c["covers"]), reason="words close together")
+
+
 def scorers_for(sort: str, scorers: Registry = SCORERS) -> list[Scorer]:
     return [s for _, s in sorted(scorers.items()) if sort in s.sorts]
 
