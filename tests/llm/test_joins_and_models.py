@@ -672,25 +672,47 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
             assert sizes == [0] * 5
 
 
-def test_pipeline_keeps_what_its_stages_say(spark):
+def test_pipeline_keeps_what_its_stages_say(spark, tmp_path):
+    """Every stage against a version of its own: scores text by text, all pairs, items text by text, SQL, and shards from one sorted list."""
+    import math
+
     import corpus_pipeline
 
     sf_dir = "/root/testdata/sf0.001"
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stage, before = dict(corpus_pipeline.STAGES), source
-    kept = {}
+    kept, counts = {}, {}
     for name, f in corpus_pipeline.STAGES[:-1]:
         before = jaccard.materialize(f(spark, before, sf_dir), "test")
         assert before.columns == source.columns
-        kept[name] = {r.doc_id: r.text for r in before.collect()}
+        rows = before.collect()
+        kept[name] = {r.doc_id: r.text for r in rows}
+        counts = {k: sum(r.doc_id == k for r in rows) for k in kept[name]}
+        if name == "benchmark decontamination":
+            before.write.parquet(str(tmp_path / "mixed_from"))
     clean, unique, decontaminated, mixed = kept.values()
-    assert set(mixed) <= set(decontaminated) <= set(unique) <= set(clean)
+    whole = {r.doc_id: r.text for r in source.collect()}
+    model = toxicity.train(source, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    reader = toxicity.Reader(model.lexicon)
+    score = lambda t: 1 / (1 + math.exp(-sum(a * b for a, b in zip([*toxicity.document_features(reader.clauses(t)), 1.0], model.weights))))
+    assert set(clean) == {k for k, t in whole.items() if score(t) < 0.5} and len(clean) < len(whole)
     expected = brute_join(sorted(clean.items()))
     assert set(unique) == {c if n else k for k, n, _, c in expected}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     m = decontamination.Matcher(bench)
-    assert set(decontaminated) == {k for k, t in unique.items() if not m.find(t)}
+    assert set(decontaminated) == {k for k, t in unique.items() if not m.find(t)} and len(decontaminated) < len(unique)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/mixed_from/*.parquet'")
+    copies = {r[0]: r[5] for r in con.sql(mixing.ORACLE).fetchall() if r[5]}
+    assert counts == copies and all(mixed[k] == decontaminated[k] for k in mixed)
     out = stage["sharding"](spark, before, sf_dir)
-    assert out.count() == before.count() and {*source.columns, "size", "shard", "slot"} == {*out.columns}
-    whole = corpus_pipeline.run(spark, sf_dir).select("doc_id", "shard", "slot").orderBy("shard", "slot").collect()
-    assert whole == out.select("doc_id", "shard", "slot").orderBy("shard", "slot").collect()
+    assert {*source.columns, "size", "shard", "slot"} == {*out.columns}
+    placed = out.select("doc_id", "size", "shard", "slot").collect()
+    assert len(placed) == sum(counts.values()) and all(r["size"] == len(mixed[r.doc_id].encode()) + 16 for r in placed)
+    sizes = [sum(r["size"] for r in placed if r.shard == k) for k in range(40)]
+    # equal rows stay together, so a shard may be off by those at its two ends
+    most = max(counts[r.doc_id] * r["size"] for r in placed)
+    assert all(abs(s - sum(sizes) / 40) <= 0.01 * sum(sizes) / 40 + 2 * most for s in sizes)
+    assert all(sorted(r.slot for r in placed if r.shard == k) == list(range(sum(r.shard == k for r in placed))) for k in range(40))
+    again = corpus_pipeline.run(spark, sf_dir).select("doc_id", "size", "shard", "slot").collect()
+    assert sorted(again) == sorted(placed)

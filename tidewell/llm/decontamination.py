@@ -299,6 +299,19 @@ class Matcher:
         return None
 
 
+_MATCHERS: dict[int, tuple[list, Matcher]] = {}
+
+
+def _matcher(items: list[tuple[object, str | None]]) -> Matcher:
+    """One for all tasks of a worker that hold the same block; the last two of them."""
+    if id(items) not in _MATCHERS:
+        while len(_MATCHERS) > 1:
+            _MATCHERS.pop(next(iter(_MATCHERS)))
+        # the block is kept with its matcher, so that no other gets its number
+        _MATCHERS[id(items)] = items, Matcher(items)
+    return _MATCHERS[id(items)][1]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about BLOCK_BYTES, by hash of the text."""
     items = benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where("t <> ''").distinct()
@@ -319,7 +332,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = _matcher(shared.value)
             for b in slices(batches, 1, SLICE):
                 rows = []
                 for k, matches in enumerate(matcher.find_all(b.column(1))):
@@ -346,7 +359,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 def _clean(block: Broadcast):
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(block.value)
+        matcher = _matcher(block.value)
         for batch in texts:
             found = []
             for b in slices([pa.RecordBatch.from_arrays([batch], ["text"])], 0, SLICE):
