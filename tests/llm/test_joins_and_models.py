@@ -618,7 +618,7 @@ def test_toxicity_learns_words_and_generalises(spark):
 def test_factorisation_machine_is_all_pairs():
     rng = np.random.default_rng(1)
     m = quality.Machine(0.3, rng.normal(size=quality.WIDTH).astype(np.float32), rng.normal(size=(quality.WIDTH, quality.FACTORS)).astype(np.float32))
-    row = np.unique(quality.features("some words, Some more words.\nAnd a line 12", quality.Vocabulary()))
+    row = quality.features(pa.array(["some words, Some more words.\nAnd a line 12"]))[0]
     x = quality.values(row, np.array([len(row)])).astype(float)
     z = 0.3 + (m.linear[row] * x).sum()
     for i in range(len(row)):
@@ -627,6 +627,26 @@ def test_factorisation_machine_is_all_pairs():
     assert m.scores([row])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
 
 
+def test_statistics_are_brute_force():
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["word ", "Wörd. ", "12 ", "%", "\n", "end! ", "word ", " ", "\n\n", "É"]) for _ in range(rng.randrange(50))) for _ in range(200)] + ["", "x", "\n", "a\na\n"]
+
+    def brute(text):
+        words, lines = text.encode().split(), [x for x in text.encode().split(b"\n") if x]
+        kinds = [0] * 5
+        for c in text.encode():
+            kinds[quality._KIND[c]] += 1
+        signs, n, distinct = max(1, len(text.encode())), max(1, len(words)), set(words)
+        ended = sum(w[-1:] in b".!?" for w in distinct)
+        return [len(distinct) / n, sum(a == b for a, b in zip(words, words[1:])) / n, kinds[1] / signs, kinds[2] / signs, min(1, kinds[3] / signs * 2), kinds[4] / signs, min(1, signs / n / 20), min(1, len(lines) / n * 4), len(set(lines)) / max(1, len(lines)), ended / max(1, len(distinct)), min(1, np.log1p(len(words)) / 12), min(1, np.log1p(len(text)) / 16)]
+
+    got, distinct, _ = quality.statistics(*words.cut(pa.array(texts), plain=False))
+    assert np.allclose(got, [brute(t) for t in texts]) and distinct.tolist() == [len(set(t.encode().split())) for t in texts]
+    rows = quality.features(pa.array([*texts, None]))
+    assert all((np.diff(r) > 0).all() for r in rows) and (rows[-1] == rows[200]).all()
+    assert [r.tolist() for r in quality.features(pa.array(texts).slice(50, 10))] == [r.tolist() for r in rows[50:60]]
+
+
 def test_quality_learns_structure(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))

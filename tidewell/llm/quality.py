@@ -16,14 +16,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import crc_mod, slices
 from tidewell.llm.toxicity import fit_logistic, labelled_sample
+from tidewell.llm.words import byte_set, cut, hashes_of
 
 BITS, FACTORS = 15, 8
 WORDS = 1 << BITS
@@ -37,46 +38,96 @@ _KIND[48:58] = 2
 _KIND[[32, *range(9, 14)]] = 4
 
 
-class Vocabulary(dict):
-    """word -> feature; forgotten beyond `remember` words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORDS - 1)
-        return out
-
-
-def statistics(text: str, words: list[str], distinct: set[str]) -> list[float]:
-    """Each between 0 and 1."""
-    kinds = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=5)
-    signs, n = max(1, int(kinds.sum())), max(1, len(words))
-    lines = [x for x in text.split("\n") if x]
-    repeats = sum(map(eq, words, words[1:]))
-    ended = sum(w[-1] in ".!?" for w in distinct)
-    return [
-        len(distinct) / n,
-        repeats / n,
-        kinds[1] / signs,
-        kinds[2] / signs,
-        min(1.0, kinds[3] / signs * 2),
-        kinds[4] / signs,
-        min(1.0, signs / n / 20),
-        min(1.0, len(lines) / n * 4),
-        len(set(lines)) / max(1, len(lines)),
-        ended / max(1, len(distinct)),
-        min(1.0, np.log1p(len(words)) / 12),
-        min(1.0, np.log1p(len(text)) / 16),
-    ]
-
-
-def features(text: str, vocabulary: Vocabulary) -> np.ndarray:
-    """Indices of the features that are 1; distinct words with equal hashes count once each."""
-    words = text.split()
-    distinct = set(words)
-    stats = statistics(text, words, distinct)
-    bins = [WORDS + k * (BINS + 1) + int(v * BINS) for k, v in enumerate(stats)]
-    return np.fromiter((*map(vocabulary.__getitem__, distinct), *bins), np.int64, len(distinct) + STATS)
+_LINE = byte_set(10)
+_ENDED = byte_set(*b".!?")
+#: Bytes of texts that are read at once: so many that their arrays fit in a cache.
+SLICE = 1 << 19
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of the values between each two bounds."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _distinct(hashes: np.ndarray, bounds: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Between each two bounds, how many hashes differ, and of these how many have their flag, a part of what is hashed; and the places of the first ones."""
+    firsts, n, flagged = [], np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1, np.int64)
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if b > a:
+            order = np.argsort(hashes[a:b])
+            own = hashes[a:b][order]
+            new = np.empty(b - a, bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            first = order[new] + a
+            firsts.append(first)
+            n[k], flagged[k] = len(first), flags[first].sum()
+    return n, flagged, np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text STATS numbers between 0 and 1, then the number of its distinct words, and the places of these among all words."""
+    words, texts = np.diff(first), len(offsets) - 1
+    kinds = np.stack([_sums(_KIND[data] == k, offsets) for k in range(5)], 1)
+    signs, n = np.maximum(1, np.diff(offsets)), np.maximum(1, words)
+    hashed = hashes_of(data, start, end) if len(start) else np.zeros(0, np.uint64)
+    same = np.zeros(len(start), bool)
+    same[1:] = hashed[1:] == hashed[:-1]
+    same[first[:-1][words > 0]] = False
+    repeats = _sums(same, first)
+    distinct, ended, places = _distinct(hashed, first, _ENDED[data[end - 1]])
+    # lines without their ends; a text's end is one
+    inside = ~_LINE[data]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < len(data)]
+    opens[at] |= inside[at]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:]
+    at = offsets[1:][offsets[1:] > 0] - 1
+    closes[at] |= inside[at]
+    line, line_end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    of_line = np.searchsorted(line, offsets)
+    line_hash = hashes_of(data, line, line_end) if len(line) else np.zeros(0, np.uint64)
+    kept, _, _ = _distinct(line_hash, of_line, np.zeros(len(line), bool))
+    lines = np.diff(of_line)
+    points = _sums((data & 0xC0) != 0x80, offsets)
+    out = np.stack(
+        [
+            distinct / n,
+            repeats / n,
+            kinds[:, 1] / signs,
+            kinds[:, 2] / signs,
+            np.minimum(1.0, kinds[:, 3] / signs * 2),
+            kinds[:, 4] / signs,
+            np.minimum(1.0, signs / n / 20),
+            np.minimum(1.0, lines / n * 4),
+            kept / np.maximum(1, lines),
+            ended / np.maximum(1, distinct),
+            np.minimum(1.0, np.log1p(words) / 12),
+            np.minimum(1.0, np.log1p(points) / 16),
+        ],
+        1,
+    ).reshape(texts, STATS)
+    return out, distinct, places
+
+
+def features(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text the indices of the features that are 1, rising; distinct words with equal indices count once."""
+    if not len(texts):
+        return []
+    texts = pc.fill_null(texts, "")
+    data, offsets, start, end, first = cut(texts, plain=False)
+    stats, distinct, places = statistics(data, offsets, start, end, first)
+    bins = WORDS + np.arange(STATS) * (BINS + 1) + (stats * BINS).astype(np.int64)
+    index = (hashes_of(data, start[places], end[places]) >> np.uint64(64 - BITS)).astype(np.int64) if len(places) else np.zeros(0, np.int64)
+    bounds = np.concatenate([[0], np.cumsum(distinct)])
+    out = []
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        own = np.sort(index[a:b])
+        out.append(np.concatenate([own[np.concatenate([[True], own[1:] != own[:-1]])] if b > a else own, bins[k]]))
+    return out
 
 
 @dataclass
@@ -164,9 +215,8 @@ def _index(rows: DataFrame) -> DataFrame:
     """y, i: each row's features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
-        for b in slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([np.unique(features(t, vocabulary)).astype(np.int32).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["y", "i"])
+        for b in slices(batches, 0, SLICE):
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.astype(np.int32).tobytes() for r in features(b.column(0))], pa.binary())], ["y", "i"])
 
     return rows.select("text", "y").mapInArrow(run, "y int, i binary")
 
@@ -187,9 +237,9 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = Vocabulary(), shared.value
-        for b in slices(batches, 1, 1 << 20):
-            rows = [np.unique(features(t, vocabulary)) for t in b.column(1).to_pylist()]
+        model = shared.value
+        for b in slices(batches, 1, SLICE):
+            rows = features(b.column(1))
             p = model.scores(rows) if model else np.full(len(rows), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.astype(np.float64))], ["id", "score"])
 

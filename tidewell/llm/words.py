@@ -91,14 +91,15 @@ def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         return mix64((total[end] - total[start]) * powers(INVERSE, size)[start] + (end - start).astype(np.uint64))
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts, as `plainer` has them; where words start and end; and the first word of each text, with all words' number behind."""
+def cut(texts: pa.Array, plain: bool = True) -> tuple[np.ndarray, ...]:
+    """The bytes of all texts, as `plainer` has them (or, if not plain, as they are, with the places of texts); where words start and end; and the first word
+    of each text, with all words' number behind."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    data = plainer(data)
+    data = plainer(data) if plain else data
     inside = ~SPACE[data]
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets] = True
@@ -106,7 +107,8 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     opens[1:] &= ~inside[:-1] | breaks[1:-1]
     closes[:-1] &= ~inside[1:] | breaks[1:-1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return data, start, end, np.searchsorted(start, offsets)
+    first = np.searchsorted(start, offsets)
+    return (data, start, end, first) if plain else (data, offsets, start, end, first)
 
 
 class Table:
