@@ -294,14 +294,15 @@ def q_rebuild(spark, sf_dir):
     return changes.rebuild(*_old_and_new(spark, sf_dir), "2024-01-02").select("doc_key", "visible")
 
 
-_DRIFT = "s AS (SELECT doc_key, max(seq) AS seq FROM log GROUP BY 1), i AS (SELECT doc_key, max(seq) AS seq FROM log WHERE arrival < 12000 AND CAST(doc_key AS BIGINT) % 9 <> 0 GROUP BY 1), j AS (SELECT s.doc_key AS a, i.doc_key AS b, s.seq AS sq, i.seq AS iq FROM s FULL JOIN i ON s.doc_key = i.doc_key)"
+_DRIFT = "s AS (SELECT doc_key, max(seq) AS seq FROM log GROUP BY 1), i AS (SELECT doc_key, max(seq) AS seq FROM log WHERE arrival * 5 < 4 * (SELECT max(arrival) FROM log) AND CAST(doc_key AS BIGINT) % 9 <> 0 GROUP BY 1), j AS (SELECT s.doc_key AS a, i.doc_key AS b, s.seq AS sq, i.seq AS iq FROM s FULL JOIN i ON s.doc_key = i.doc_key)"
 
 
 @query(_CHANGES + f", {_DRIFT} SELECT *, source_rows = index_rows AND stale = 0 AS in_sync FROM (SELECT count(a) AS source_rows, count(b) AS index_rows, count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a IS NULL) AS surplus, count(*) FILTER (a IS NOT NULL AND coalesce(iq, -1) < sq) AS stale FROM j)")
 def q_drift_full_outer(spark, sf_dir):
     log = corpora.changes(spark, sf_dir)
     source = log.groupBy("doc_key").agg(F.max("seq").alias("seq"))
-    return changes.drift(log.where("arrival < 12000 AND CAST(doc_key AS BIGINT) % 9 <> 0").groupBy("doc_key").agg(F.max("seq").alias("seq")), source)
+    last = F.lit(log.agg(F.max("arrival")).first()[0] or 0)  # the index has seen four fifths of the log
+    return changes.drift(log.where((F.col("arrival") * 5 < last * 4) & F.expr("CAST(doc_key AS BIGINT) % 9 <> 0")).groupBy("doc_key").agg(F.max("seq").alias("seq")), source)
 
 
 @query(_CHANGES + ", k AS (SELECT DISTINCT doc_key FROM log) SELECT k.doc_key FROM k WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.doc_key = k.doc_key AND l.status = 'pending' AND l.arrival % 3 = 0)")

@@ -40,8 +40,8 @@ SELECT event_id AS arrival, CAST(event_id AS string) AS sig_id, CAST(user_id AS
   CASE WHEN event_type = 'signup' THEN ts + INTERVAL 7 days ELSE NULL END AS expires_at, ts FROM {events}
 """
 CHANGES = """
-SELECT o_orderkey AS arrival, CAST(o_orderkey % 500 AS string) AS doc_key, CAST(o_orderkey AS string) AS eid,
-  CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE o_custkey END AS seq,
+SELECT o_orderkey AS arrival, CAST(o_custkey AS string) AS doc_key, CAST(o_orderkey AS string) AS eid,
+  CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE o_orderkey * 7919 % 1009 END AS seq,
   CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'published' END AS status, o_orderpriority AS title FROM {orders}
 """
 

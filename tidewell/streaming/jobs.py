@@ -60,7 +60,8 @@ def _store(rows: DataFrame, folder: str, number: int, keys: list[str], read: set
     """read: the buckets that the batch had before it, None for all: those without rows now are written as empty ones."""
     spark = rows.sparkSession
     before = {b for b, v in _versions(spark, folder).items() if any(n < number for n in v)}
-    rows.withColumn("bucket", bucket_of(*keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+    # few files for a small bucket, tasks of the usual size for a large one
+    rows.withColumn("bucket", bucket_of(*keys)).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
     for b in before if read is None else before & read:
         path, fs = _files(spark, f"{folder}/v={number}/bucket={b}")
         if not fs.exists(path):
