@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import crc_mod, slices
 from tidewell.llm.toxicity import fit_logistic, labelled_sample
-from tidewell.llm.words import byte_set, cut, hashes_of
+from tidewell.llm.words import Hashes, byte_set, cut
 
 BITS, FACTORS = 15, 8
 WORDS = 1 << BITS
@@ -67,11 +67,12 @@ def _distinct(hashes: np.ndarray, bounds: np.ndarray, flags: np.ndarray) -> tupl
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text STATS numbers between 0 and 1, then the number of its distinct words, and the places of these among all words."""
+    """Of each text STATS numbers between 0 and 1, then the number of its distinct words, and the hashes of these."""
     words, texts = np.diff(first), len(offsets) - 1
     kinds = np.stack([_sums(_KIND[data] == k, offsets) for k in range(5)], 1)
     signs, n = np.maximum(1, np.diff(offsets)), np.maximum(1, words)
-    hashed = hashes_of(data, start, end) if len(start) else np.zeros(0, np.uint64)
+    hashes = Hashes(data)
+    hashed = hashes(start, end)
     same = np.zeros(len(start), bool)
     same[1:] = hashed[1:] == hashed[:-1]
     same[first[:-1][words > 0]] = False
@@ -89,7 +90,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np
     closes[at] |= inside[at]
     line, line_end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     of_line = np.searchsorted(line, offsets)
-    line_hash = hashes_of(data, line, line_end) if len(line) else np.zeros(0, np.uint64)
+    line_hash = hashes(line, line_end)
     kept, _, _ = _distinct(line_hash, of_line, np.zeros(len(line), bool))
     lines = np.diff(of_line)
     points = _sums((data & 0xC0) != 0x80, offsets)
@@ -110,7 +111,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np
         ],
         1,
     ).reshape(texts, STATS)
-    return out, distinct, places
+    return out, distinct, hashed[places]
 
 
 def features(texts: pa.Array) -> list[np.ndarray]:
@@ -119,9 +120,9 @@ def features(texts: pa.Array) -> list[np.ndarray]:
         return []
     texts = pc.fill_null(texts, "")
     data, offsets, start, end, first = cut(texts, plain=False)
-    stats, distinct, places = statistics(data, offsets, start, end, first)
+    stats, distinct, hashed = statistics(data, offsets, start, end, first)
     bins = WORDS + np.arange(STATS) * (BINS + 1) + (stats * BINS).astype(np.int64)
-    index = (hashes_of(data, start[places], end[places]) >> np.uint64(64 - BITS)).astype(np.int64) if len(places) else np.zeros(0, np.int64)
+    index = (hashed >> np.uint64(64 - BITS)).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(distinct)])
     out = []
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import crc_mod, drop_table, materialize, slices
-from tidewell.llm.words import Table, byte_set, cut, hash_of, hashes_of, lowered, shrunk
+from tidewell.llm.words import Hashes, Table, byte_set, cut, hash_of, lowered, shrunk
 
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers clown worthless pathetic disgusting dumb imbecile degenerate vermin filth lowlife jerk".split()
 THREATS = "kill hurt beat destroy smash strangle stab shoot punish crush".split()
@@ -149,6 +149,9 @@ class Reader(dict):
         self.strong = np.array([c in "IH" for c in self.classes])
         with np.errstate(over="ignore"):
             self.table = Table(np.array([hash_of(w) for w in self.whole], np.uint64), np.array([self.codes[v] + 1 for v in self.whole.values()], np.int64))
+            shortest = self.lengths[-1] if self.lengths else 0
+            openings = sorted({w[:shortest] for w in self.stems})
+            self.openings = Table(np.array([hash_of(w) + np.uint64(shortest) for w in openings], np.uint64), np.ones(len(openings), np.int64))
             self.beginnings = Table(np.array([hash_of(w) + np.uint64(len(w)) for w in self.stems], np.uint64), np.array([self.codes[v] + 1 for v in self.stems.values()], np.int64))
 
     def __missing__(self, word: str) -> int:
@@ -186,16 +189,24 @@ class Reader(dict):
         code = np.zeros(len(start), np.int64)
         keep = np.flatnonzero(a < b)
         a, b = a[keep], b[keep]
-        found = self.table(hashes_of(lower, a, b))
+        hashes = Hashes(lower)
+        found = self.table(hashes(a, b))
         if self.lengths:
             # beginnings are so many signs long, not bytes
             signs = np.flatnonzero((lower & 0xC0) != 0x80)
             sign = np.cumsum((lower & 0xC0) != 0x80, dtype=np.int32)[a] - 1
-            for n in self.lengths:
-                k = np.flatnonzero((found == 0) & (sign + n <= len(signs)))
-                stop = np.append(signs, len(lower))[sign[k] + n]
+            signs = np.append(signs, len(lower))
+            maybe = np.arange(len(a))
+            # first those words that begin as any of the beginnings does, by as many signs as the shortest has
+            for n, table in [(self.lengths[-1], self.openings), *((n, self.beginnings) for n in self.lengths)]:
+                k = maybe[(found[maybe] == 0) & (sign[maybe] + n < len(signs))]
+                stop = signs[sign[k] + n]
                 k, stop = k[stop <= b[k]], stop[stop <= b[k]]
-                found[k] = self.beginnings(hashes_of(lower, a[k], stop) + np.uint64(n))
+                hit = table(hashes(a[k], stop) + np.uint64(n))
+                if table is self.openings:
+                    maybe = k[hit > 0]
+                else:
+                    found[k] = hit
         code[keep] = np.maximum(0, found - 1)
         strong = np.flatnonzero(self.strong[code])
         if not len(strong):

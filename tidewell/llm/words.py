@@ -83,12 +83,22 @@ def shrunk(data: np.ndarray, kind: np.ndarray, at: np.ndarray, stop: np.ndarray,
     return at
 
 
+class Hashes:
+    """Hashes of any runs of the bytes, from sums over all of them."""
+
+    def __init__(self, data: np.ndarray):
+        self.size = 1 << max(16, int(len(data)).bit_length())
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(BASE, self.size)[: len(data)], dtype=np.uint64)])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.total[end] - self.total[start]) * powers(INVERSE, self.size)[start] + (end - start).astype(np.uint64))
+
+
 def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of the words at these places."""
-    size = 1 << max(16, int(len(data)).bit_length())
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(BASE, size)[: len(data)], dtype=np.uint64)])
-        return mix64((total[end] - total[start]) * powers(INVERSE, size)[start] + (end - start).astype(np.uint64))
+    return Hashes(data)(start, end)
 
 
 def cut(texts: pa.Array, plain: bool = True) -> tuple[np.ndarray, ...]:
