@@ -182,10 +182,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 750, batch: int
             z = bias + np.add.reduceat(w[index] * x, start) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), start))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[take]).astype(np.float32)
             each = np.repeat(g, lengths) * x
-            seen, back = np.unique(index, return_inverse=True)
-            dw = np.bincount(back, each, len(seen)).astype(np.float32) / len(take) + decay * w[seen]
+            seen = np.flatnonzero(np.bincount(index, minlength=WIDTH))
+            dw = np.bincount(index, each, WIDTH)[seen].astype(np.float32) / len(take) + decay * w[seen]
             slope = each[:, None] * (np.repeat(s, lengths, axis=0) - vx)
-            dv = np.column_stack([np.bincount(back, slope[:, f], len(seen)) for f in range(FACTORS)]).astype(np.float32) / len(take) + decay * v[seen]
+            dv = np.column_stack([np.bincount(index, slope[:, f], WIDTH)[seen] for f in range(FACTORS)]).astype(np.float32) / len(take) + decay * v[seen]
             gw[seen] += dw * dw
             gv[seen] += dv * dv
             w[seen] -= rate * dw / np.sqrt(gw[seen])
