@@ -105,6 +105,46 @@ def test_crowded_signatures_lose_no_link(spark, monkeypatch, chunk, hot):
     assert got == sorted(map(repr, brute_join(rows)))
 
 
+def test_only_crowded_classes_move_to_tiles(spark):
+    """Of 3000 classes, of which 40 have a home, the lists of these move, and of a bit map's few false hits."""
+    rng = np.random.default_rng(8)
+    cids = rng.integers(-(1 << 63), 1 << 63, 3000)
+    early = {int(c): rng.integers(0, 1 << 63, 12, np.uint64) for c in cids}
+    classes = spark.createDataFrame([(c, 50, 50, bytearray(s.tobytes())) for c, s in early.items()], "cid long, n long, light long, early binary")
+    homes = spark.createDataFrame([(int(c),) for c in cids[:40]], "cid long")
+    got = {r.cid: bytes(r.early) for r in jaccard._lists(classes, homes, 80).collect()}
+    assert {int(c) for c in cids[:40]} <= set(got) and len(got) < 60
+    assert all(raw == np.unique(early[c][:11].astype(np.uint32)).tobytes() for c, raw in got.items())
+    assert jaccard._lists(classes, homes.limit(0), 80).count() == 0
+
+
+@pytest.mark.parametrize("shared, hope", [(6, True), (5, False)])
+def test_halves_of_shingles_that_are_alike_lose_no_pair(spark, shared, hope):
+    """Sets of 50 need 6 of the 11 that are looked up; two of them are alike in their low half, so that 5 halves are."""
+    rng = np.random.default_rng(9)
+    both, a, b = (np.sort(rng.integers(0, 1 << 63, k, np.uint64)) for k in (12, 11, 11))
+    both[1] = both[0] + np.uint64(1 << 40)
+    rows = [(k + 1, 50, 0, bytearray(np.concatenate([both[:shared], own])[:12].tobytes())) for k, own in enumerate((a, b))]
+    classes = spark.createDataFrame(rows, "cid long, n long, light long, early binary")
+    homes = spark.createDataFrame([(1, 7, 1, []), (2, 7, 1, [])], "cid long, home long, k int, near array<struct<home:long,k:int>>")
+    assert sorted(r.cid for r in jaccard._hopeful(homes, classes, 80).collect()) == ([1, 2] if hope else [])
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    def held():
+        return set(re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")))
+
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    setting, before = spark.conf.get(jaccard.CLEANUP, None), held()
+    kept = jaccard.materialize(rows, "shuffled")
+    assert not held() - before and spark.conf.get(jaccard.CLEANUP, None) == setting
+    assert kept.count() == 7 and rows.count() == 7
+    spark.conf.set(jaccard.CLEANUP, "false")
+    jaccard.materialize(rows, "shuffled")
+    assert spark.conf.get(jaccard.CLEANUP) == "false"
+    spark.conf.unset(jaccard.CLEANUP)
+
+
 def test_tiles_are_brute_force():
     rng = np.random.default_rng(4)
     for g, spread in ((2, 10), (40, 30), (40, 3000), (150, 400)):

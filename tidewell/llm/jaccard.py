@@ -32,7 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import drop_table, materialize, mix64, skew_join, slices
+from tidewell.llm import common
+from tidewell.llm.common import drop_table, mix64, skew_join, slices
 from tidewell.llm.shingles import shingle_sets
 
 #: One in so many elements is counted for the order; a shingle counted so often comes last; at most so many do (8 MB).
@@ -49,6 +50,22 @@ ENTRY_COST = 0.5
 SLICE = 1 << 18
 #: A bit map has up to 2 to this power of bits (16 MB).
 BITMAP = 27
+#: Has Spark remove a query's shuffle files when it ends, rather than when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """common.materialize; what the writing shuffled leaves the disks with it."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return common.materialize(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -297,20 +314,24 @@ def _places(ids: np.ndarray, power: int) -> np.ndarray:
     return bucket * 32768 + np.where(bit > 0, (bit - 1) % 32768, -bit % 32768)
 
 
+def _wanted(ids: np.ndarray, bitmap: tuple[int, bytes]) -> np.ndarray:
+    """Whether the bit map has them: true for all that it was made of, and for few others."""
+    power, raw = bitmap
+    at = _places(ids, power)
+    return ((np.frombuffer(raw, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _candidate_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """cid, shingles of candidate classes (and few others), computed again from the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power, raw = shared.value
-        bits, sent = np.frombuffer(raw, np.uint8), set()
+        sent = set()
         for b in slices(batches, 0, SLICE):
             sets = shingle_sets(b.column(0), n)
             cids = digests(sets)[0]
-            at = _places(cids, power)
-            wanted = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             ids, found = [], []
-            for k in np.flatnonzero(wanted):
+            for k in np.flatnonzero(_wanted(cids, shared.value)):
                 cid = int(cids[k])
                 if cid not in sent and len(sets[k]):
                     if len(sent) > 100_000:
@@ -430,17 +451,28 @@ def _in_tiles(rows: DataFrame, judge: Callable[[list, list[tuple]], pa.RecordBat
     return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(run, schema)
 
 
-def _hopeful(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The rows of tiles whose looked-up shingles allow a partner in the tile."""
+def _lists(classes: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """cid, n, last, lost, early of the classes in ids, and few others: only these move. early: the looked-up shingles, of each the low
+    half, which adds to overlaps but for the lost ones that are alike in it."""
+    shared = classes.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 3, 1 << 20):
+            b = b.filter(pa.array(_wanted(b.column(0).to_numpy(), shared.value)))
             found = [looked_up(np.frombuffer(raw, np.uint64), n, light, percent) for n, light, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w for _, w in found], pa.int32()), pa.array([s.tobytes() for s, _ in found], pa.binary())], ["cid", "n", "last", "early"])
+            halves = [np.unique(s.astype(np.uint32)) for s, _ in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w for _, w in found], pa.int32()), pa.array([len(s) - len(h) for (s, _), h in zip(found, halves)], pa.int32()), pa.array([h.tobytes() for h in halves], pa.binary())], ["cid", "n", "last", "lost", "early"])
+
+    return classes.select("cid", "n", "light", "early").mapInArrow(run, "cid long, n long, last int, lost int, early binary")
+
+
+def _hopeful(homes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows of tiles whose looked-up shingles allow a partner in the tile."""
 
     def judge(at: list, tile: list[tuple]) -> pa.RecordBatch:
-        side, n, last = (np.array([r[k] for r in tile], np.int64) for k in (0, 2, 3))
-        both = overlaps([np.frombuffer(r[4], np.uint64) for r in tile]).astype(np.int64)
+        side, n, last, lost = (np.array([r[k] for r in tile], np.int64) for k in (0, 2, 3, 4))
+        both = overlaps([np.frombuffer(r[5], np.uint32) for r in tile]).astype(np.int64)
+        both = np.where(both > 0, both + np.minimum(lost[:, None], lost[None, :]), 0)
         rest = (n * percent + 99) // 100 - 1
         one, other, a, b = last[:, None], last[None, :], rest[:, None], rest[None, :]
         behind = np.where(one < other, a, np.where(other < one, b, np.maximum(a, b)))
@@ -453,8 +485,8 @@ def _hopeful(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         place = [pa.array(np.full(len(kept), v, t)) for v, t in zip(at, (np.int64, np.int64, np.int32, np.int32))]
         return pa.RecordBatch.from_arrays([*place, pa.array(side[kept].astype(np.int32)), pa.array([tile[k][1] for k in kept.tolist()], pa.int64())], [*TILE, "side", "cid"])
 
-    early = classes.select("cid", "n", "light", "early").mapInArrow(lists, "cid long, n long, last int, early binary")
-    return _in_tiles(tiles.join(early, "cid").select(*TILE, "side", "cid", "n", "last", "early"), judge, "g long, h long, i int, j int, side int, cid long")
+    early = _lists(classes, homes.select("cid"), percent)
+    return _in_tiles(_tiles(homes).join(early, "cid").select(*TILE, "side", "cid", "n", "last", "lost", "early"), judge, "g long, h long, i int, j int, side int, cid long")
 
 
 def _tile_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -513,7 +545,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     homes = _homes(met, sigs, hottest, percent)
     pairs = materialize(_apart(met.where("crowd = 0").select("a", "b"), homes), "jaccard-pairs")
     drop_table(met)
-    tiles = materialize(_hopeful(_tiles(homes), classes, percent), "jaccard-hopeful")
+    tiles = materialize(_hopeful(homes, classes, percent), "jaccard-hopeful")
     drop_table(classes)
     drop_table(homes)
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(tiles.select("cid"))
