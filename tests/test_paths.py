@@ -163,6 +163,18 @@ def test_event_stream(spark, tmp_path):
     assert [(r.doc_type, r.event_id) for r in events.without_key(bad, sources).collect()] == [("thing", "d")]
 
 
+def test_event_numbers_beyond_times(spark, tmp_path):
+    from tidewell.sources.registry import Registry, Source
+    from tidewell.streaming.jobs import event_stream, state
+
+    sources = Registry({"thing": Source("thing", lambda s, d: None, signals=("listing.updated",))})
+    rows = [("a", "listing.updated", 1_000, {"key": "1"}), ("b", "listing.updated", -(2**63), {"key": "2"}), ("c", "search.signal", 2**62, {"doc_type": "thing", "doc_key": "1", "boost": 2.0}), ("d", "search.signal", 2**62 - 1, {"doc_type": "thing", "doc_key": "1", "boost": 3.0})]
+    spark.createDataFrame([(i, n, t, json.dumps(p)) for i, n, t, p in rows], events.ENVELOPE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    event_stream(spark.readStream.schema(events.ENVELOPE).parquet(str(tmp_path / "in")), sources, lambda kind, keys: changes.pulled(index(spark), keys), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.doc_key: (r.boost, r.source_seq, r.at) for r in state(spark, str(tmp_path / "state")).withColumn("at", F.col("indexed_at").cast("string")).collect()}
+    assert got == {"1": (2.0, 1_000, "1970-01-01 00:00:01"), "2": (0.0, -(2**63), "1970-01-01 00:00:01")}
+
+
 def test_wiring_is_refused():
     import pytest
 

@@ -20,6 +20,8 @@ from tidewell.sources import events as inbound
 from tidewell.sources.registry import Registry
 
 BUCKETS = 64
+#: Milliseconds of the years 1 to 9999. A number of an event that is beyond them still orders it, but is no time.
+TIMES = (-62_135_596_800_000, 253_402_300_799_999)
 
 
 def bucket_of(*keys: str) -> Column:
@@ -109,7 +111,7 @@ def event_stream(events: DataFrame, sources: Registry, pull: Callable[[str, Data
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        last = batch.agg(F.max("timestamp")).first()[0] or 0
+        last = batch.agg(F.max(F.when(F.col("timestamp").between(*TIMES), F.col("timestamp")))).first()[0] or 0
         at = spark.range(1).select(F.date_format(F.timestamp_millis(F.lit(last)), "yyyy-MM-dd HH:mm:ss")).first()[0]
         keys = None
         for s in sources.values():
