@@ -287,6 +287,29 @@ def test_cover_density_is_brute_force(spark):
         assert all(abs(got[k] - brute(t)) < 1e-9 for k, t in enumerate(texts))
 
 
+def test_tokens_are_folded_alike(spark):
+    """Whole texts and token by token; signs that one of Java and Unicode's tables doesn't know; marks before, in and after words."""
+    from tidewell.functions.stem import stem, stemmed
+    from tidewell.functions.text import fold, tokens, tokens_col
+
+    texts = ["", None, "Plain ASCII-text_with/parts 1-2", "Größe ÉCOLE ΑΣ ΣΑ", "İstanbul e\u0301te\u0301", "и\u0301х й\u0301\u0301b", "\u0482\u0301abc", "ﬁn ẞ", "a\ua7cbb", "\u0301", "x" * 40 + "--y/z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.w for r in df.select("k", tokens_col(F.col("t")).alias("w")).collect()}
+    assert all(got[k] == tokens(texts[k]) for k in (0, 1, 2, 3, 7, 10))
+    assert got[4] == ["istanbul", "ete"] and got[6][-1] == "abc" and got[8] == ["a", "b"] and got[9] == [""]
+    words = [fold(w) for w in "nationalization hopefulness ness sses Walking walked ies es s edly Häuser Freiheiten ungen en nst ходившись красивыми дома я".split()]
+    rows = spark.createDataFrame([(words,)], "w array<string>")
+    for language in ("en", "de", "ru", "fr"):
+        assert rows.select(stemmed(F.col("w"), language)).first()[0] == [stem(w, language) for w in words]
+
+
+def test_cover_density_takes_texts_that_may_have_the_words(spark):
+    from tidewell.queries import QUERIES
+
+    df = QUERIES["q_cover_density"](spark, "/root/testdata/sf0.001")
+    assert "Contains(text_plain" in plan(df)
+
+
 def test_close_words_rank_first(spark):
     from tidewell.sources.registry import COVER_DENSITY
 

@@ -5,6 +5,8 @@ A rule takes the longest ending that leaves enough of the word; rules of a langu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from tidewell.conf import DEFAULT, EngineConf
@@ -32,14 +34,21 @@ def stem(word: str, language: str) -> str:
     return word
 
 
-def stem_col(word: Column, language: str) -> Column:
-    for least, endings in _RULES.get(language, ()):
-        word = F.regexp_replace(word, _pattern(least, endings), "$1")
-    return word
+def _rule(least: int, endings: str):
+    """A word after one rule; one without any of the endings isn't searched for them."""
+
+    def apply(word: Column) -> Column:
+        ends = reduce(lambda a, b: a | b, [F.endswith(word, F.lit(e)) for e in endings.split()])
+        return F.when(ends, F.regexp_replace(word, _pattern(least, endings), "$1")).otherwise(word)
+
+    return apply
 
 
-def _stemmer(language: str):
-    return lambda word: stem_col(word, language)
+def stemmed(words: Column, language: str) -> Column:
+    """stem() of each of an array's folded words: rule by rule, so that a word is a variable in each."""
+    for rule in _RULES.get(language, ()):
+        words = F.transform(words, _rule(*rule))
+    return words
 
 
 def stems_col(text: Column, language: Column, conf: EngineConf = DEFAULT) -> Column:
@@ -47,9 +56,9 @@ def stems_col(text: Column, language: Column, conf: EngineConf = DEFAULT) -> Col
     words = F.array_distinct(tokens_col(text))
     out: Column | None = None
     for name in (n for n in _RULES if n in conf.stemmed_languages):
-        these = F.transform(words, _stemmer(name))
+        these = stemmed(words, name)
         out = F.when(F.lower(language) == name, these) if out is None else out.when(F.lower(language) == name, these)
-    rest = F.transform(words, _stemmer(conf.fallback_language)) if conf.fallback_language in _RULES else words
+    rest = stemmed(words, conf.fallback_language)
     return F.array_distinct(rest if out is None else out.otherwise(rest))
 
 

@@ -56,18 +56,36 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 _WIDE = "ßﬀﬁﬂﬃﬄﬅﬆ"
 
 
-def fold_col(text: Column) -> Column:
-    """fold() inside whole-stage codegen; composed input is assumed for Cyrillic letters with marks."""
+#: TOKEN for Java; no character ends two of its parts, so that nothing is tried twice.
+_TOKEN = "(?U)[\\w&&[^_]]++(?:[-/][\\w&&[^_]]++)*+"
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _signs(text: Column) -> Column:
+    """fold_col() but for marks: each character by itself."""
     source, target, many = _fold_tables()
-    out = F.translate(F.lower(F.coalesce(text, F.lit(""))), source, target)
+    out = F.translate(F.lower(text), source, target)
     for c, to in many:
         if c in _WIDE:
             out = F.replace(out, F.lit(c), F.lit(to))
-    return F.regexp_replace(out, "(?<![Ѐ-ӿ\\p{Mn}])\\p{Mn}+", "")
+    return out
+
+
+def fold_col(text: Column) -> Column:
+    """fold() inside whole-stage codegen; composed input is assumed for Cyrillic letters with marks."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(_ascii(text), F.lower(text)).otherwise(F.regexp_replace(_signs(text), "(?<![Ѐ-ӿ\\p{Mn}])\\p{Mn}+", ""))
 
 
 def tokens_col(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)([^\\W_]+(?:[-/][^\\W_]+)*)"), 1), fold_col)
+    """tokens(). Where no mark is (İ becomes one) and nothing that Java doesn't know, folding takes each character by itself and letters to letters,
+    so that the whole text can be folded before it is cut; else token by token."""
+    text = F.coalesce(text, F.lit(""))
+    cut = lambda t: F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
+    return F.when(_ascii(text), cut(F.lower(text))).when(~text.rlike("[\\p{Mn}\\p{Cn}İ]"), cut(_signs(text))).otherwise(F.transform(cut(text), fold_col))
 
 
 def _pairs(line: str) -> list[tuple[str, str]]:

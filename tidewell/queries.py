@@ -453,10 +453,13 @@ def _cover_sql() -> str:
 
 @query(_cover_sql())
 def q_cover_density(spark, sf_dir):
-    """Whole texts that have the words, by how closely."""
+    """Whole texts that have the words, by how closely. A text without them, as parts of words even, isn't cut into tokens."""
     from tidewell.functions.covers import cover_density
 
-    rows = document(spark, sf_dir).where("visible").select("doc_key", cover_density(text.tokens_col(F.col("body")), _COVER).alias("density"))
+    rows = document(spark, sf_dir).where("visible")
+    for group in _COVER:
+        rows = rows.where(text.contains_group(F.col("text_plain"), group))
+    rows = rows.select("doc_key", cover_density(text.tokens_col(F.col("body")), _COVER).alias("density"))
     return rows.where("density > 0").select("doc_key", F.round("density", 4).alias("density"))
 
 
