@@ -258,6 +258,20 @@ def test_stems_and_postings(spark, tmp_path):
     assert "PushedFilters" in text and "EqualTo(stem,walk)" in text or "In(stem" in text
 
 
+def test_postings_are_segments_of_the_index(spark, tmp_path):
+    """Written where they are: each file is some partition's, in the order of stems."""
+    from tidewell.operators import postings
+
+    docs = [doc(str(k), f"walk w{k % 7} boots{k}", language="en") for k in range(60)]
+    index(spark, docs).repartition(3).write.parquet(str(tmp_path / "i"))
+    table = postings.store(spark.read.parquet(str(tmp_path / "i")).repartition(3, "doc_key"), str(tmp_path / "p"))
+    files = [spark.read.parquet(str(f)).select("stem", "doc_key").collect() for f in (tmp_path / "p" / "doc_type=thing").glob("*.parquet")]
+    assert len(files) == 3 and all(f == sorted(f) for f in files)
+    owners = [{r.doc_key for r in f} for f in files]
+    assert all(owners) and sum(map(len, owners)) == 60 and table.where("stem = 'walk'").count() == 60
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "p").rglob("*.parquet"))
+
+
 def test_geohash_cells():
     from tidewell.functions import geo
 

@@ -1,4 +1,4 @@
-"""Postings: which documents have a stem, as a table of its own, so that a search of words reads the rows of its stems alone."""
+"""Postings: which documents have a stem, as a table of its own in segments, so that a search of words reads the rows of its stems alone."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ def postings(index: DataFrame) -> DataFrame:
 
 
 def store(index: DataFrame, folder: str) -> DataFrame:
-    """Postings in the order of stems, so that a filter on one skips files and row groups; a frequent stem takes many files."""
-    rows = postings(index).repartitionByRange("doc_type", "stem", "doc_key").sortWithinPartitions("doc_type", "stem", "doc_key")
-    rows.write.mode("overwrite").partitionBy("doc_type").parquet(folder)
+    """Postings as segments: each partition of the index sorts its own by stem, nothing is moved. A filter on a stem reads of each file the pages that have it."""
+    rows = postings(index).sortWithinPartitions("doc_type", "stem", "doc_key")
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("doc_type").parquet(folder)
     return index.sparkSession.read.parquet(folder)
 
 

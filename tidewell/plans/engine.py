@@ -58,7 +58,7 @@ class Engine:
 
     def stored(self, folder: str) -> Engine:
         """The same engine over the index written to a folder, by type: what serves queries, as filters and columns reach the scan. Other types there stay."""
-        self.index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_type").parquet(folder)
+        self.index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("doc_type").parquet(folder)
         return self.over_index(self.index.sparkSession.read.parquet(folder).select(*self.index.columns))
 
     def reindexed(self, folder: str, doc_type: str, keys: DataFrame, at: str, sf_dir: str, categories: DataFrame | None = None) -> tuple[Engine, DataFrame]:
