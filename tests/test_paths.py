@@ -272,6 +272,22 @@ def test_postings_are_segments_of_the_index(spark, tmp_path):
     assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "p").rglob("*.parquet"))
 
 
+def test_texts_are_not_moved_to_their_labels(spark, monkeypatch):
+    from tidewell.sources import corpora
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = corpora.document(spark, "/root/testdata/sf0.001")
+        assert "BroadcastHashJoin" in plan(sent) and "SortMergeJoin" not in plan(sent)
+        monkeypatch.setattr(corpora, "LABELS_SENT", 0)
+        moved = corpora.document(spark, "/root/testdata/sf0.001")
+        assert "SortMergeJoin" in plan(moved)
+        seen = lambda df: sorted((r.doc_key, r.status, r.features["quality"].scalar) for r in df.collect())
+        assert seen(sent) == seen(moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_geohash_cells():
     from tidewell.functions import geo
 

@@ -77,7 +77,10 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load_sql(spark, sf_dir, DOCUMENT)
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")}
+    if tables["labels"].count() <= LABELS_SENT:
+        tables["labels"] = F.broadcast(tables["labels"])
+    df = spark.sql(DOCUMENT, **tables)
     features = F.create_map(F.lit("quality"), feature("string", F.col("quality")), F.lit("source"), feature("string", F.col("owner_key")), F.lit("n_chars"), feature("int", F.col("n_chars")))
     return _input(df, "document", features=features, category_path=F.array("language"))
 
@@ -95,6 +98,9 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_sql(spark, sf_dir, CHANGES)
 
 
+#: Rows of labels that are sent to where the texts are, about 100 bytes each; with more of them the texts are moved.
+LABELS_SENT = 1_500_000
+
 _SCHEMA = {
     "": [
         {"slug": "brand", "config": {"type": "string"}},
